@@ -163,7 +163,7 @@ def _scan(merged: DataFrame, window: int) -> DataFrame:
         if key is not None and key != first:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([key], pa.int64()), pa.array([True])], names=schema)
 
-    return merged.sortWithinPartitions("key", "class").mapInArrow(run, "a binary, b binary, key long, edge boolean")
+    return merged.select("key", "class", "fresh").sortWithinPartitions("key", "class").mapInArrow(run, "a binary, b binary, key long, edge boolean")
 
 
 def _order(prefix: str = "") -> Column:
