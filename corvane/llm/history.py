@@ -33,13 +33,14 @@ PART = 10
 _WORDS = re.compile(r"[^\W_]+")
 #: Characters for words: the assigned plane without controls and surrogates.
 _LOW, _GAP, _CODES = 0x100, 0xD800, 0xFDEF - 0x100 - 0x800
-_FEATURES = "id string, guest_id string, batch_no int, at long, chunk_index int, n int, class binary, code string"
+#: Bits of a sketch: parity of hashed words, then whether the record is fresh, then the word count up to its largest.
+_PARITY, _FRESH, _MOST = 52, 1 << 11, (1 << 11) - 1
 
 
-def code_of(text: str | None, memory: dict[str, str]) -> str:
-    """One character for each word (longest run of letters and digits, lower case) of a text."""
+def code_of(words: list[str], memory: dict[str, str]) -> str:
+    """One character for each word."""
     out = []
-    for w in _WORDS.findall(text.lower()) if text else ():
+    for w in words:
         c = memory.get(w)
         if c is None:
             if len(memory) > 500_000:
@@ -50,31 +51,36 @@ def code_of(text: str | None, memory: dict[str, str]) -> str:
     return "".join(out)
 
 
-def word_features(chunks: DataFrame) -> DataFrame:
-    """id, guest_id, order columns, word count, class (128-bit hash of workspace and words) and code of every chunk
-    with words. Null ids can't be named and null workspaces have no others, so these rows are left out. Nulls in the
-    order columns come first."""
-    data = chunks.filter("id is not null and guest_id is not null and text is not null").select(
+def _named(chunks: DataFrame) -> DataFrame:
+    return chunks.filter("id is not null and guest_id is not null and text is not null").select(
         "id", "guest_id", F.coalesce(F.col("batch_no"), F.lit(0)).cast("int").alias("batch_no"), F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(2**62))).alias("at"), F.coalesce(F.col("chunk_index"), F.lit(-1)).cast("int").alias("chunk_index"), "text"
     )
 
+
+def word_features(chunks: DataFrame, codes: bool = True) -> DataFrame:
+    """id, guest_id, the order columns and h (hash of workspace and words) of every chunk with words; with ``codes`` also
+    n (words) and code. Null ids can't be named and null workspaces have no others, so these rows are left out. Nulls
+    in the order columns come first."""
+    schema = "id string, guest_id string, batch_no int, at long, chunk_index int, h long" + ", n int, code string" * codes
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, str] = {}
         for b in batches:
-            codes = [code_of(t, memory) for t in b.column(5).to_pylist()]
-            classes, keep = [], []
-            for k, (code, guest, text) in enumerate(zip(codes, b.column(1).to_pylist(), b.column(5).to_pylist())):
-                if code:
+            keep, hashes, found = [], [], []
+            for k, (guest, text) in enumerate(zip(b.column(1).to_pylist(), b.column(5).to_pylist())):
+                words = _WORDS.findall(text.lower())
+                if words:
                     keep.append(k)
-                    h = xxhash.xxh3_128(guest.encode() + b"\0")
-                    h.update(" ".join(_WORDS.findall(text.lower())).encode("utf-8", "surrogatepass"))
-                    classes.append(h.digest())
+                    hashes.append(xxhash.xxh3_64_intdigest("\0".join([guest, *words]).encode("utf-8", "surrogatepass")))
+                    if codes:
+                        found.append(code_of(words, memory))
             if keep:
                 rows = pa.array(keep)
-                codes = [codes[k] for k in keep]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), pa.array([len(c) for c in codes], pa.int32()), pa.array(classes, pa.binary()), pa.array(codes, pa.string())], names=["id", "guest_id", "batch_no", "at", "chunk_index", "n", "class", "code"])
+                more = [pa.array([len(c) for c in found], pa.int32()), pa.array(found, pa.string())] if codes else []
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), pa.array(np.array(hashes, np.uint64).view(np.int64)), *more], names=names)
 
-    return data.mapInArrow(run, _FEATURES)
+    return _named(chunks).mapInArrow(run, schema)
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -110,128 +116,192 @@ def sort_keys(codes: list[str], guests: list[str], keys: int = KEYS, gram: int =
     return out
 
 
-def key_entries(classes: DataFrame, new: bool) -> DataFrame:
-    """(key, class, fresh) for every sort key of the classes with words enough for an edit."""
-    data = classes.filter(F.col("n") >= PART).select("class", "guest_id", "code")
+def sketches(codes: list[str]) -> np.ndarray:
+    """For each code the parity of its hashed words over 52 places, and its length, in one number. An edit flips two
+    places at most, so texts d edits apart differ in at most 2 d places."""
+    sizes = np.array([len(c) for c in codes])
+    flat = np.frombuffer("".join(codes).encode("utf-16-le"), np.uint16).astype(np.uint64)
+    bits = np.uint64(1) << (_mix(flat, _SEEDS[60]) % np.uint64(_PARITY))
+    parity = np.bitwise_xor.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return ((parity << np.uint64(12)) | np.minimum(sizes, _MOST).astype(np.uint64)).view(np.int64)
+
+
+def key_entries(classes: DataFrame) -> DataFrame:
+    """(key, h, sketch) for every sort key of the classes with words enough for an edit, marked as fresh."""
+    data = classes.filter(F.col("n") >= PART).select("h", "guest_id", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            found = sort_keys(b.column(2).to_pylist(), b.column(1).to_pylist())
-            keys = found.shape[1]
-            rows = pa.array(np.repeat(np.arange(b.num_rows), keys))
-            yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), b.column(0).take(rows), pa.array(np.full(len(rows), new))], names=["key", "class", "fresh"])
+            codes = b.column(2).to_pylist()
+            found = sort_keys(codes, b.column(1).to_pylist())
+            rows = np.repeat(np.arange(b.num_rows), found.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), b.column(0).take(pa.array(rows)), pa.array((sketches(codes) | _FRESH)[rows])], names=["key", "h", "sketch"])
+
+    return data.mapInArrow(run, "key long, h long, sketch long")
 
-    return data.mapInArrow(run, "key long, class binary, fresh boolean")
 
+def _may_repeat(a: int, b: int) -> bool:
+    """Whether the sketches of two records allow for a tenth of edits."""
+    n, m = a & _MOST, b & _MOST
+    longest = max(n, m)
+    if longest == _MOST:
+        return True
+    edits = longest // PART
+    return abs(n - m) <= edits and (((a ^ b) >> 12) & ((1 << _PARITY) - 1)).bit_count() <= 2 * edits
 
-def _scan(merged: DataFrame, window: int) -> DataFrame:
-    """Neighbours of sorted entries: (a, b, key) for two classes of one key at most ``window`` apart, one of them fresh;
-    (null, null, key) for a key with more records, and once for the first and last key of a partition, as a block may go
-    on in the next one."""
+
+def _scan(run_sorted: DataFrame, window: int) -> DataFrame:
+    """Neighbours among sorted entries: (fresh, other, old, key) for two classes of one key at most ``window`` apart whose
+    sketches allow a repetition, the first of them fresh, old telling whether the second isn't; (null, null, edge, key)
+    for a key with more records and, with edge, for the first and last key of each sorted stretch (of a partition, and
+    of each file that it reads, told by ``src``), as a block may go on in another one."""
+    names = ["fresh", "other", "old", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, size, first = None, deque(maxlen=window), 0, None
-        schema = ["a", "b", "key", "edge"]
+        key, block, size, source = None, deque(maxlen=window), 0, None
         for batch in batches:
-            a_out, b_out, keys_out, edge_out = [], [], [], []
-            keys = batch.column(0).to_numpy()
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(keys):
                 continue
-            # rows alone with their key in this batch, but for the first and last, need no look
-            same = keys[1:] == keys[:-1]
-            busy = np.concatenate([[True], same]) | np.concatenate([same, [True]])
-            rows = np.flatnonzero(busy)
-            part = batch.take(pa.array(rows))
-            for k, c, f in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+
+            def say(*row: object, out: tuple = out) -> None:
+                for column, value in zip(out, row):
+                    column.append(value)
+
+            # rows alone with their key in this batch, but for the first and last of it and of a file, need no look
+            sources = batch.column(3).to_numpy(zero_copy_only=False)
+            look = (keys[1:] == keys[:-1]) | (sources[1:] != sources[:-1])
+            rows = np.flatnonzero(np.concatenate([[True], look]) | np.concatenate([look, [True]]))
+            for k, h, s, x in zip(keys[rows].tolist(), *(batch.column(n).to_numpy(zero_copy_only=False)[rows].tolist() for n in (1, 2)), sources[rows].tolist()):
+                if x != source:
+                    say(None, None, True, k)
+                    if key is not None:
+                        say(None, None, True, key)
+                    key, source = None, x
                 if k != key:
-                    if key is None:
-                        first = k
-                        keys_out.append(k), a_out.append(None), b_out.append(None), edge_out.append(True)
                     key, size = k, 0
                     block.clear()
-                for other, g in block:
-                    if (f or g) and other != c:
-                        a_out.append(other), b_out.append(c), keys_out.append(k), edge_out.append(False)
-                block.append((c, f))
+                for g, t in block:
+                    if (s | t) & _FRESH and g != h and _may_repeat(s, t):
+                        old = not (s & t & _FRESH)
+                        say(*((h, g) if s & _FRESH else (g, h)), old, k)
+                block.append((h, s))
                 size += 1
                 if size == window + 2:
-                    a_out.append(None), b_out.append(None), keys_out.append(k), edge_out.append(False)
-            if keys_out:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary()), pa.array(keys_out, pa.int64()), pa.array(edge_out, pa.bool_())], names=schema)
-        if key is not None and key != first:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([key], pa.int64()), pa.array([True])], names=schema)
+                    say(None, None, False, k)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64())], names=names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([True]), pa.array([key], pa.int64())], names=names)
 
-    return merged.select("key", "class", "fresh").sortWithinPartitions("key", "class").mapInArrow(run, "a binary, b binary, key long, edge boolean")
+    return run_sorted.select("key", "h", "sketch", "src").mapInArrow(run, "fresh long, other long, old boolean, key long")
 
 
 def _order(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c) for c in ("batch_no", "at", "chunk_index", "rep")])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(late, early) of the pairs whose words differ by few enough edits; the order of arrival tells late from early."""
-    side = classes.select("class", "guest_id", "batch_no", "at", "chunk_index", "rep", "n", "code")
-    left = side.select(*[F.col(c).alias(f"a_{c}") for c in side.columns])
-    right = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
-    limit = (F.greatest("a_n", "b_n") / PART).cast("int")
-    joined = pairs.join(left, F.col("a") == F.col("a_class")).join(right, F.col("b") == F.col("b_class")).filter((F.col("a_guest_id") == F.col("b_guest_id")) & (F.abs(F.col("a_n") - F.col("b_n")) <= limit))
-    near = joined.withColumn("d", F.expr("levenshtein(a_code, b_code, cast(greatest(a_n, b_n) / %d as int))" % PART)).filter("d >= 0")
-    a_first = _order("a_") < _order("b_")
-    return near.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"))
+def _verified(pairs: DataFrame, batch: DataFrame, history: DataFrame | None) -> DataFrame:
+    """(late, early) of the (fresh, other, old) pairs whose words differ by few enough edits. The tables are bucketed by
+    h, so only the pairs move."""
+    columns = ["guest_id", "n", "code", "batch_no", "at", "chunk_index", "rep"]
+
+    def side(table: DataFrame, name: str, key: str) -> DataFrame:
+        return table.select(F.col("h").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    def near(found: DataFrame) -> DataFrame:
+        most = "cast(greatest(a_n, b_n) / %d as int)" % PART
+        return found.filter(f"a_guest_id = b_guest_id and abs(a_n - b_n) <= {most} and levenshtein(a_code, b_code, {most}) >= 0")
+
+    left = pairs.join(side(batch, "a", "fresh"), "fresh")
+    both = near(left.filter("not old").join(side(batch, "b", "other"), "other"))
+    first = _order("a_") < _order("b_")
+    out = both.select(F.when(first, F.col("other")).otherwise(F.col("fresh")).alias("late"), F.when(first, F.col("fresh")).otherwise(F.col("other")).alias("early"), F.lit(False).alias("old"))
+    if history is not None:
+        out = out.unionByName(near(left.filter("old").join(side(history, "b", "other"), "other")).select(F.col("fresh").alias("late"), F.col("other").alias("early"), F.lit(True).alias("old")))
+    return out
 
 
 def _repetitions(links: DataFrame) -> DataFrame:
-    """The classes that aren't accepted: those with a link to an accepted earlier class.
+    """The h of the classes that aren't accepted: those with a link to an accepted earlier class; what is old is accepted.
 
     In each round, what has no link to something earlier is accepted, what has a link to it is a repetition, and both
     leave, with the links to repetitions. The rounds are as many as the longest chain of decisions, commonly two.
     """
     spark, done = links.sparkSession, []
     while not links.isEmpty():
-        late = links.select(F.col("late").alias("early"))
-        roots = links.select("early").distinct().join(late, "early", "left_anti")
-        cases = materialize(links.join(roots, "early", "left_semi").select("late").distinct(), "history-cases")
+        late = links.select(F.col("late").alias("early")).distinct()
+        cases = materialize(links.filter("old").select("late").unionByName(links.filter("not old").join(late, "early", "left_anti").select("late")).distinct(), "history-cases")
         done.append(cases)
-        rest = links.join(cases, "late", "left_anti").join(cases.select(F.col("late").alias("early")), "early", "left_anti")
-        links = materialize(rest.select("late", "early"), "history-links")
-    return reduce(DataFrame.unionByName, done).select(F.col("late").alias("class")) if done else spark.createDataFrame([], "class binary")
+        rest = links.join(cases, "late", "left_anti").filter("not old").join(cases.select(F.col("late").alias("early")), "early", "left_anti")
+        links = materialize(rest.select("late", "early", "old"), "history-links")
+    return reduce(DataFrame.unionByName, done).select(F.col("late").alias("h")) if done else spark.createDataFrame([], "h long")
 
 
 def _tiles(entries: DataFrame, tile: int) -> DataFrame:
-    """All pairs of records of one key with a fresh one, by tiles of a block, each tile pair in its own group."""
+    """All pairs of records of one key with a fresh one, by tiles of a block, each pair of tiles in its own group."""
     counts = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("t"))
-    own = entries.join(counts, "key").withColumn("i", F.pmod(F.xxhash64("class"), F.col("t")).cast("int"))
-    rows = own.select("key", F.col("i"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("j"), F.col("class").alias("a"), F.col("fresh").alias("fa"))
-    columns = own.select("key", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("i"), F.col("i").alias("j"), F.col("class").alias("b"), F.col("fresh").alias("fb"))
-    return rows.join(columns, ["key", "i", "j"]).filter("a < b and (fa or fb)").select("a", "b").distinct()
+    own = entries.withColumn("f", F.col("sketch").bitwiseAND(F.lit(_FRESH)) != 0).join(counts, "key").withColumn("i", F.pmod(F.xxhash64("h"), F.col("t")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
+    rows = own.filter("f").select("key", "i", other.alias("j"), F.col("h").alias("fresh"))
+    columns = own.select("key", other.alias("i"), F.col("i").alias("j"), F.col("h").alias("other"), (~F.col("f")).alias("old"))
+    return rows.join(columns, ["key", "i", "j"]).filter("old or fresh < other").filter("fresh <> other").select("fresh", "other", "old").distinct()
 
 
 class AcceptedHistory:
-    """Accepted classes and their sorted key runs in a folder that all executors share."""
+    """Accepted classes and the sorted runs of their keys, in a folder that all executors share.
+
+    The classes of each batch are a table bucketed by h; classes that turned out to be repetitions are listed apart and
+    leave the runs when these are merged. Runs are merged with a batch that is large against them or once there are more
+    than ``max_runs``; a small batch is sorted and added as a run of its own.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, window: int = WINDOW, max_runs: int = MAX_RUNS) -> None:
         self.spark, self.window, self.max_runs = spark, window, max_runs
         self.folder = folder or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-        self._classes: list[str] = []
-        self._runs: list[str] = []
+        self._tables: list[str] = []
+        self._runs: list[tuple[str, int]] = []
+        self._gone: list[str] = []
 
     def _keep(self, df: DataFrame, kind: str) -> str:
         path = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def classes(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self._classes) if self._classes else None
+    def _bucketed(self, df: DataFrame) -> str:
+        name = f"corvane_classes_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("path", f"{self.folder}/{name}").option("compression", "zstd").bucketBy(buckets, "h").sortBy("h").saveAsTable(name)
+        return name
+
+    def _all(self, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def accepted(self) -> DataFrame | None:
+        """The accepted classes of all batches so far."""
+        if not self._tables:
+            return None
+        found = reduce(DataFrame.unionByName, [self.spark.table(t).filter("kept_id is null").drop("kept_id") for t in self._tables])
+        return found.join(self._all(self._gone), "h", "left_anti")
 
     def runs(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self._runs) if self._runs else None
+        """The entries of all runs, none of them fresh."""
+        paths = [p for p, _ in self._runs]
+        return None if not paths else self._all(paths).select("key", "h", F.col("sketch").bitwiseAND(F.lit(~_FRESH)).alias("sketch"))
+
+    @staticmethod
+    def _sorted(entries: DataFrame) -> DataFrame:
+        return entries.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
 
     def compact(self) -> None:
-        """Merges all runs into one, sorted within key ranges."""
+        """Merges all runs into one, without the entries of repetitions."""
         if len(self._runs) > 1:
-            self._runs = [self._keep(self.runs().repartitionByRange("key", "class").sortWithinPartitions("key", "class"), "run")]
+            left = self.runs().join(self._all(self._gone), "h", "left_anti")
+            path = self._keep(self._sorted(left), "run")
+            self._runs = [(path, self._all([path]).count())]
 
     def add(self, chunks: DataFrame) -> DataFrame:
         """Takes in a batch (or several, in the order of batch_no, created_at, chunk_index, id) and gives (case_id,
@@ -239,77 +309,89 @@ class AcceptedHistory:
 
         Chunk B repeats A if both have one guest_id and words and a word edit distance of at most a tenth of the longer
         one's words. Empty batches, blank texts and rows with a null id, guest_id or text give no case. Rows of one id
-        and text are one chunk. Copies of a text are judged once, as a class: no pair of copies is ever formed, but
-        each copy comes out with what its class repeats or with the class's first chunk.
+        and text are one chunk. Copies of a text are judged once, as a class (a 64-bit hash of workspace and words): no
+        pair of copies is ever formed, but each copy comes out with what its class repeats or with the class's first
+        chunk.
         """
-        features = materialize(word_features(chunks), "history-words")
-        first = F.min(F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep")))
-        grouped = features.groupBy("class").agg(first.alias("o"), F.max("id").alias("top"), F.min("id").alias("bottom"), F.first("guest_id").alias("guest_id"), F.first("n").alias("n"), F.first("code").alias("code"))
-        batch = materialize(grouped.select("class", "o.*", (F.col("top") != F.col("bottom")).alias("many"), "guest_id", "n", "code"), "history-batch")
-        accepted = self.classes()
-        known = None
-        if accepted is not None:
-            known = materialize(batch.select("class").join(accepted.select("class", F.col("rep").alias("kept_id")), "class"), "history-known")
-            batch_new = batch.join(known.select("class"), "class", "left_anti")
+        first = F.min(F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep"))).alias("o")
+        grouped = word_features(chunks).groupBy("h").agg(first, F.max("id").alias("top"), F.min("id").alias("bottom"), F.first("guest_id").alias("guest_id"), F.first("n").alias("n"), F.first("code").alias("code"))
+        batch = grouped.select("h", "o.*", (F.col("top") != F.col("bottom")).alias("many"), "guest_id", "n", "code")
+        history = self.accepted()
+        batch = batch.withColumn("kept_id", F.lit(None).cast("string")) if history is None else batch.join(history.select("h", F.col("rep").alias("kept_id")), "h", "left")
+        name = self._bucketed(batch)
+        batch = self.spark.table(name)
+        new = batch.filter("kept_id is null")
+        entries = key_entries(new)
+        if history is None:
+            path = self._keep(self._sorted(entries), "run")
+            runs = [(path, self._all([path]).count())]
         else:
-            batch_new = batch
-        # the fresh run: sorted within key ranges
-        entries = key_entries(batch_new, True)
-        run = self._keep(entries, "fresh")
-        fresh = self.spark.read.parquet(run)
-        columns = ["class", "batch_no", "at", "chunk_index", "rep", "guest_id", "n", "code"]
-        everything = batch_new.select(*columns) if accepted is None else accepted.select(*columns).unionByName(batch_new.select(*columns))
-        merged = fresh if accepted is None else self.runs().select("key", "class", F.lit(False).alias("fresh")).unionByName(fresh)
-        links, repetitions = self._compared(merged, everything)
-        # results: copies of accepted classes, and all chunks of repeating ones
-        out = []
-        members = features.select("id", "class").distinct()
-        if known is not None:
-            out.append(members.join(known, "class").select(F.col("id").alias("case_id"), "kept_id"))
-        many = batch_new.filter("many").select("class", "rep").join(repetitions, "class", "left_anti")
-        out.append(members.join(many, "class").filter("id <> rep").select(F.col("id").alias("case_id"), F.col("rep").alias("kept_id")))
-        lasting = links.join(repetitions.select(F.col("class").alias("late")), "late", "left_semi").join(repetitions.select(F.col("class").alias("early")), "early", "left_anti")
-        named = lasting.join(everything.select(F.col("class").alias("early"), F.col("rep").alias("kept_id"), F.struct("batch_no", "at", "chunk_index", "rep").alias("kept_at")), "early").select(F.col("late").alias("class"), "kept_id", "kept_at")
-        own = features.select("id", "class", F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep")).alias("at_id"))
-        out.append(own.join(named, "class").filter("at_id > kept_at").select(F.col("id").alias("case_id"), "kept_id").distinct())
-        # what was accepted joins the history
-        lasting_classes = batch_new.join(repetitions, "class", "left_anti").select(*columns)
-        self._classes.append(self._keep(lasting_classes, "classes"))
-        self._runs.append(self._keep(fresh.join(repetitions, "class", "left_anti").select("key", "class").repartitionByRange("key", "class").sortWithinPartitions("key", "class"), "run"))
-        if len(self._runs) > self.max_runs:
-            self.compact()
-        return reduce(DataFrame.unionByName, out)
-
-    def _compared(self, merged: DataFrame, everything: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links (late, early) between similar classes and the classes that are repetitions."""
-        found = materialize(_scan(merged.repartitionByRange("key", "class"), self.window), "history-windows")
-        links = materialize(_verified(found.filter("a is not null").select("a", "b").distinct(), everything).distinct(), "history-links")
+            # merged into the key ranges of the runs so far
+            merged = self.runs().unionByName(entries)
+            path = self._keep(self._sorted(merged), "run")
+            size, before = self._all([path]).count(), sum(n for _, n in self._runs)
+            large = 4 * (size - before) >= before or len(self._runs) >= self.max_runs
+            runs = [(path, size)] if large else [*self._runs, (self._keep(self._sorted(self._all([path]).filter(F.col("sketch").bitwiseAND(F.lit(_FRESH)) != 0)), "run"), size - before)]
+        links, repetitions = self._compared(self._all([path]).withColumn("src", F.xxhash64("_metadata.file_path")), new, history)
+        kept = batch.select("h", F.col("rep").alias("kept_id"), F.struct("batch_no", "at", "chunk_index", "rep").alias("kept_at"))
+        known = batch.filter("kept_id is not null").select("h", "kept_id", F.lit(None).cast(kept.schema["kept_at"].dataType).alias("kept_at"))
+        copies = new.filter("many").join(repetitions, "h", "left_anti").select("h", F.col("rep").alias("kept_id"), F.struct("batch_no", "at", "chunk_index", "rep").alias("kept_at"))
+        lasting = links.join(repetitions.select(F.col("h").alias("late")), "late", "left_semi")
+        within = lasting.filter("not old").join(repetitions.select(F.col("h").alias("early")), "early", "left_anti")
+        named = within.join(kept.withColumnRenamed("h", "early"), "early").select(F.col("late").alias("h"), "kept_id", "kept_at")
+        verdicts = known.unionByName(copies).unionByName(named)
+        if history is not None:
+            verdicts = verdicts.unionByName(lasting.filter("old").join(history.select(F.col("h").alias("early"), F.col("rep").alias("kept_id")), "early").select(F.col("late").alias("h"), "kept_id", F.lit(None).cast(kept.schema["kept_at"].dataType).alias("kept_at")))
+        verdicts = materialize(verdicts, "history-verdicts")
+        self._tables.append(name)
+        self._runs = runs
+        self._gone.append(self._keep(repetitions, "gone"))
+        # the texts are read once more for the ids alone, which is less than to keep them all
+        members = word_features(chunks, codes=False).select("id", "h", F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep")).alias("at_id"))
+        found = members.join(verdicts, "h").filter("id <> kept_id and (kept_at is null or at_id > kept_at)")
+        return found.select(F.col("id").alias("case_id"), "kept_id").distinct()
+
+    def _compared(self, merged: DataFrame, new: DataFrame, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links (late, early, old) between similar classes, and the h of the classes that are repetitions."""
+        gone = self._all(self._gone)
+        is_fresh = F.col("sketch").bitwiseAND(F.lit(_FRESH)) != 0
+
+        def checked(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.select("fresh", "other", "old").distinct()
+            if gone is not None:
+                pairs = pairs.filter("not old").unionByName(pairs.filter("old").join(gone.withColumnRenamed("h", "other"), "other", "left_anti").select("fresh", "other", "old"))
+            return _verified(pairs, new, history).distinct()
+
+        found = materialize(_scan(merged, self.window), "history-windows")
+        links = materialize(checked(found.filter("fresh is not null")), "history-links")
         repetitions = _repetitions(links)
         cut = self._cut(found)
         while cut is not None:
             # blocks wider than a window: again with what is still accepted
-            left = merged.join(cut, "key", "left_semi").join(repetitions, "class", "left_anti")
-            found = materialize(_scan(left.repartitionByRange("key", "class"), self.window), "history-windows")
-            more = materialize(_verified(found.filter("a is not null").select("a", "b").distinct(), everything).join(links, ["late", "early"], "left_anti").distinct(), "history-links")
+            left = merged.join(cut, "key", "left_semi")
+            left = left.filter(is_fresh).join(repetitions, "h", "left_anti").unionByName(left.filter(~is_fresh) if gone is None else left.filter(~is_fresh).join(gone, "h", "left_anti"))
+            left = materialize(left.select("key", "h", "sketch"), "history-wide")
+            found = materialize(_scan(self._sorted(left).withColumn("src", F.lit(0).cast("long")), self.window), "history-windows")
+            more = materialize(checked(found.filter("fresh is not null")).join(links, ["late", "early"], "left_anti"), "history-links")
             cut = self._cut(found)
             if more.isEmpty():
                 if cut is None:
                     break
                 pairs = _tiles(left.join(cut, "key", "left_semi"), 8 * self.window)
-                more = materialize(_verified(pairs, everything).join(links, ["late", "early"], "left_anti").distinct(), "history-links")
+                more = materialize(checked(pairs).join(links, ["late", "early"], "left_anti"), "history-links")
                 if more.isEmpty():
                     break
-            links = links.unionByName(more)
+            links = links.unionByName(more.select(links.columns))
             repetitions = _repetitions(links)
-            if cut is None:
-                # a record that a new link made accepted again may share a wide block
-                cut = self._cut(found, all_keys=True)
+            # a record that new links made accepted again may share any of these blocks
+            cut = materialize(left.select("key").distinct(), "history-cut")
         return links, repetitions
 
-    def _cut(self, found: DataFrame, all_keys: bool = False) -> DataFrame | None:
-        wide = found.filter("a is null and not edge").select("key")
-        split = found.filter("a is null and edge").groupBy("key").count().filter("count > 1").select("key")
-        keys = materialize((found.select("key") if all_keys else wide.unionByName(split)).distinct(), "history-cut")
+    def _cut(self, found: DataFrame) -> DataFrame | None:
+        marks = found.filter("fresh is null")
+        wide = marks.filter("not old").select("key")
+        split = marks.filter("old").groupBy("key").count().filter("count > 1").select("key")
+        keys = materialize(wide.unionByName(split).distinct(), "history-cut")
         return None if keys.isEmpty() else keys
 
 
