@@ -214,7 +214,8 @@ def _verified(pairs: DataFrame, batch: DataFrame, history: DataFrame | None) ->
 
     def near(found: DataFrame) -> DataFrame:
         most = "cast(greatest(a_n, b_n) / %d as int)" % PART
-        return found.filter(f"a_guest_id = b_guest_id and abs(a_n - b_n) <= {most} and levenshtein(a_code, b_code, {most}) >= 0")
+        # not an equality, which would become a join key and cost the tables their buckets
+        return found.filter(f"not (a_guest_id < b_guest_id or a_guest_id > b_guest_id) and abs(a_n - b_n) <= {most} and levenshtein(a_code, b_code, {most}) >= 0")
 
     left = pairs.join(side(batch, "a", "fresh"), "fresh")
     both = near(left.filter("not old").join(side(batch, "b", "other"), "other"))
