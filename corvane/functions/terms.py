@@ -46,16 +46,16 @@ def terms(df: DataFrame, text: Column, expand: bool = True) -> DataFrame:
 def normalize_text(raw: Column) -> Column:
     """Line ends, blanks and empty lines in one form, trimmed."""
     text = F.regexp_replace(raw, "\r\n?", "\n")
-    text = F.regexp_replace(text, " ", " ")
+    text = F.regexp_replace(text, "\u00a0", " ")
     text = F.regexp_replace(text, "[ \t]+\n", "\n")
     text = F.regexp_replace(text, "[ \t]{2,}", " ")
     text = F.regexp_replace(text, "\n{3,}", "\n\n")
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
 
 
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the text in lower case with single spaces."""
-    return F.sha2(F.trim(F.regexp_replace(F.lower(text), "\\s+", " ")), 256)
+    return F.sha2(F.trim(F.regexp_replace(F.lower(text), "(?U)\\s+", " ")), 256)
 
 
 def html_to_text(raw: Column) -> Column:

@@ -22,7 +22,7 @@ def citation_numbers(text: Column) -> Column:
 
 
 def strip_citations(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, CITATION, ""), r"\s{2,}", " "))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, CITATION, ""), r"(?U)\s{2,}", " "), r"(?U)^\s+|\s+$", "")
 
 
 def claims(answers: DataFrame, key: str, answer: str) -> DataFrame:

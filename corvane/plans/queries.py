@@ -1,34 +1,317 @@
-"""Queries over the test tables, by name, and the SQL that tells the same."""
+"""Queries over the test tables, by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.context import table
-from corvane.operators import nested
+from corvane.functions import terms as t
+from corvane.functions.text import clean_role
+from corvane.operators import chunking, dedup, dense, evaluation, fusion, nested, quality, sparse, store
+from corvane.operators.deliveries import latest_deliveries
+from corvane.plans.oracles import ORACLES  # noqa: F401
+from corvane.sources import loaders
+from corvane.streaming.rate import limit_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _messages(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, folder: make(table(spark, folder, "messages"))
+
+
+_messages("p4_found", nested.cited_sources)
+_messages("p4_sources", lambda m: nested.sources(m).drop("pre", "post"))
+_messages("p4_retrievers", nested.retrievers)
+_messages("p4_verdicts", lambda m: nested.verdicts(m).drop("pre", "post"))
+_messages("p4_cited", lambda m: nested.verdict_numbers(m, "citations"))
+_messages("p4_supporting", lambda m: nested.verdict_numbers(m, "supported_by"))
+_messages("p4_supporting_sources", lambda m: nested.cited_sources(m, "supported_by"))
+_messages("p4_invalid", lambda m: nested.report_numbers(m, "invalid_citations"))
+_messages("p4_unused", lambda m: nested.report_numbers(m, "unused_sources"))
+_messages("p4_reasons", nested.reasons)
+_messages("p4_statistics", lambda m: nested.objects(m, "retrieval_stats", nested.STAT_FIELDS))
+_messages("p4_reports", lambda m: nested.objects(m, "citations", nested.REPORT_FIELDS))
+_messages("p4_confidences", lambda m: nested.objects(m, "confidence", nested.CONFIDENCE_FIELDS))
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The golden questions, each once."""
+    return table(spark, folder, "questions").select("id", "question").distinct()
+
+
+def _index(spark: SparkSession, folder: str) -> sparse.SparseIndex:
+    return sparse.SparseIndex(table(spark, folder, "documents"), "doc_id", F.col("text"))
+
+
+# retrieval
+
+
+@query
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).search(_asked(spark, folder), "id", F.col("question")).select(F.col("query").alias("question_id"), F.col("doc").alias("doc_id"), "rank", "score", "matched")
+
+
+@query
+def term_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).coverage(_asked(spark, folder), "id", F.col("question")).select(F.col("query").alias("question_id"), "n_terms", "coverage")
+
+
+@query
+def token_df(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).vocabulary.select("term", F.col("df").alias("doc_count"))
+
+
+@query
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).stats.select(F.col("n").alias("docs"), t.rounded(F.col("avgdl"), 6).alias("avgdl"))
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), F.col("label").alias("scope"))
+
+
+def _vector_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return _vectors(spark, folder).filter("doc % 100 = 0").withColumnRenamed("doc", "query")
+
+
+@query
+def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return dense.top_k(_vector_queries(spark, folder).drop("scope"), _vectors(spark, folder).drop("scope"), 10)
+
+
+@query
+def knn_exclude_own(spark: SparkSession, folder: str) -> DataFrame:
+    return dense.top_k(_vector_queries(spark, folder), _vectors(spark, folder), 5)
+
+
+@query
+def near_dupe_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.near_duplicates(_vectors(spark, folder), 0.4)
+
+
+@query
+def vector_pad_trim(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    return e.select("vec_id", dense.pad_or_trim(F.col("embedding"), 80).alias("padded"), dense.pad_or_trim(F.col("embedding"), 8).alias("trimmed"))
+
+
+def _two_rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A second ranking of the BM25 pool, by matched terms, stands in for a dense one."""
+    scored = _index(spark, folder).scores(_asked(spark, folder), "id", F.col("question")).withColumn("score", t.rounded(F.col("score"), 6))
+    return sparse.ranked(scored.withColumn("score", F.col("matched").cast("double")), 20).select("query", "doc", "rank", "score"), sparse.ranked(scored, 20).select("query", "doc", "rank", "score")
+
+
+@query
+def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    d, s = _two_rankings(spark, folder)
+    fused = fusion.weighted_rrf(d, s, fusion.normalize_weights("hybrid", 0.7, 0.3), 10)
+    return fused.select(F.col("query").alias("question_id"), F.col("doc").alias("doc_id"), "rank", t.rounded(F.col("fused_score"), 6).alias("fused_score"), "retrieved_by")
+
+
+@query
+def mode_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    d, s = _two_rankings(spark, folder)
+    runs = d.filter("rank <= 10").select(F.lit("dense").alias("mode"), "query", "doc").unionByName(s.filter("rank <= 10").select(F.lit("sparse").alias("mode"), "query", "doc"))
+    return fusion.mode_overlap(runs).withColumnRenamed("query", "question_id")
+
+
+@query
+def lexical_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    asked = _asked(spark, folder)
+    pool = _index(spark, folder).search(asked, "id", F.col("question"), 20).select("query", F.col("doc").alias("doc_id")).join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "doc")
+    return sparse.lexical_rerank(pool, asked, "id", F.col("question")).select(F.col("query").alias("question_id"), F.col("doc").alias("doc_id"), "rank", "rerank_score")
+
+
+@query
+def neighbor_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks around the chunk with index 2 of every document."""
+    chunks = table(spark, folder, "chunks").select("id", "document_id", "page", "chunk_index").distinct()
+    primary = chunks.filter("chunk_index = 2").select(F.col("document_id").alias("query"), F.lit(1).alias("rank"), F.col("document_id").alias("document"), F.col("chunk_index").alias("idx")).distinct()
+    return fusion.neighbours(primary, chunks.select(F.col("id").alias("passage"), F.col("document_id").alias("document"), "page", F.col("chunk_index").alias("idx")), 3).select(F.col("query").alias("document_id"), F.col("passage").alias("chunk_id"), "place")
+
+
+# texts
+
+
+@query
+def source_types(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", t.source_type(F.col("filename")).alias("kind"))
+
+
+@query
+def normalized_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", t.normalize_text(F.col("text")).alias("normal"))
+
+
+@query
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").filter("text is not null").select("id", F.sha2(F.col("text"), 256).alias("raw_hash"), t.fingerprint(F.col("text")).alias("fingerprint")).distinct()
+
+
+@query
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    units = t.sentences(table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text")), F.col("text"))
+    return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.max(F.length("unit")).alias("longest"))
+
+
+@query
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").filter("text like '<h1>%'").select("doc_id", t.html_to_text(F.col("text")).alias("plain"))
+
+
+@query
+def html_section_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return loaders.html_sections(table(spark, folder, "documents").filter("text like '<h1>%'"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query
+def document_sections(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "text", F.when(F.col("source_type") == "markdown", "markdown").otherwise("text").alias("kind"))
+    return loaders.load_sections(rows, "doc_id", "text", "kind").select(F.col("key").alias("doc_id"), F.inline("sections"))
+
+
+def _chunked(strategy: str) -> Query:
+    embedder = dense.hashing_embedder() if strategy == "semantic" else None
+    return lambda spark, folder: chunking.chunk_documents(table(spark, folder, "documents"), "doc_id", "processed_sections", strategy, embedder=embedder).withColumnRenamed("key", "doc_id")
+
+
+for _strategy in ("fixed", "structural", "semantic"):
+    QUERIES[f"chunk_{_strategy}"] = _chunked(_strategy)
+
+
+@query
+def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("id", "guest_id", "text").distinct()
+    return dedup.exact_duplicates(chunks, "id", "guest_id")
+
+
+@query
+def duplicate_totals(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("id", "guest_id", "document_id", "text").distinct()
+    found = dedup.exact_duplicates(chunks, "id", "guest_id").select(F.col("key").alias("id"), F.lit(1).alias("dup"))
+    return chunks.join(found, "id", "left").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("dup").alias("duplicates"))
+
+
+# answers
+
+
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    return latest_deliveries(table(spark, folder, "messages").select("id", "received_at", clean_role(F.col("role")).alias("role"), "content"), ["role", "content"]).filter("role = 'assistant' and content is not null")
+
+
+@query
+def extract_citations(spark: SparkSession, folder: str) -> DataFrame:
+    return _answers(spark, folder).select("id", F.array_join(quality.citation_numbers(F.col("content")).cast("array<string>"), ",").alias("numbers"), quality.strip_citations(F.col("content")).alias("bare"))
+
+
+@query
+def claim_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.claims(_answers(spark, folder), "id", "content").select("key", "claim_no", "claim", F.array_join(F.col("citations").cast("array<string>"), ",").alias("citations"))
+
+
+@query
+def citation_reports(spark: SparkSession, folder: str) -> DataFrame:
+    answers = _answers(spark, folder)
+    counts = nested.sources(table(spark, folder, "messages")).groupBy(F.col("message_id").alias("key")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    sources = answers.select(F.col("id").alias("key")).join(counts, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n_sources"))
+    return quality.citation_report(quality.claims(answers, "id", "content"), sources)
+
+
+@query
+def confidence_scores(spark: SparkSession, folder: str) -> DataFrame:
+    stats = nested.objects(table(spark, folder, "messages"), "retrieval_stats", nested.STAT_FIELDS)
+    scored = stats.withColumn("retrieval", quality.retrieval_confidence())
+    return scored.select("message_id", "retrieval", (F.col("retrieval") < quality.ABSTAIN_BELOW).alias("abstain"), quality.band(F.col("retrieval")).alias("band"))
+
+
+@query
+def source_status(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "messages")
+    judged = nested.cited_sources(m).join(nested.verdicts(m).select("message_id", "verdict_no", "status"), ["message_id", "verdict_no"])
+    return quality.source_status(judged, nested.sources(m))
+
+
+# evaluation
+
+
+@query
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    cases = table(spark, folder, "questions").select(F.col("id").alias("query"), F.col("expected_sources").alias("expected")).distinct()
+    passages = _index(spark, folder).search(_asked(spark, folder), "id", F.col("question")).select("query", "rank", F.col("doc").alias("doc_id")).join(table(spark, folder, "documents").select("doc_id", "filename"), "doc_id")
+    return evaluation.retrieval_metrics(passages, cases).withColumnRenamed("query", "question_id")
+
+
+@query
+def must_include(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "questions").select("id", "answer", "must_include").distinct()
+    return q.select("id", evaluation.must_include(F.col("answer"), F.col("must_include")).alias("complete"))
+
+
+@query
+def metrics_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.aggregated(table(spark, folder, "eval_runs"), ["chunk_strategy", "retrieval_mode"])
+
+
+@query
+def strategy_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.comparison(table(spark, folder, "eval_runs"), "chunk_strategy")
+
+
+# stored tables
+
+
+@query
+def workspace_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return store.totals(table(spark, folder, "documents"), "guest_id")
+
+
+@query
+def recent_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 chats changed last, with short titles."""
+    chats = table(spark, folder, "chats").select("id", "title", "updated_at").distinct()
+    return chats.orderBy(F.col("updated_at").desc(), "id").limit(50).select("id", store.short_title(F.col("title")).alias("title"))
+
+
+@query
+def chat_history(spark: SparkSession, folder: str) -> DataFrame:
+    m = latest_deliveries(table(spark, folder, "messages").select("id", "received_at", "chat_id", "created_at", clean_role(F.col("role")).alias("role"), "content"), ["chat_id", "created_at", "role", "content"])
+    return store.last_turns(m.filter("chat_id is not null"), 6, 200)
+
+
+@query
+def chat_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chat's first document with its file name, 'document' where it is unknown."""
+    chats = table(spark, folder, "chats").select("id", F.coalesce(F.get("document_ids", F.lit(0)), F.col("document_id")).alias("document_id")).distinct()
+    names = table(spark, folder, "documents").select(F.col("id").alias("document_id"), "filename")
+    return chats.join(names, "document_id", "left").select("id", "document_id", F.coalesce("filename", F.lit("document")).alias("filename"))
+
+
+@query
+def delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows left, by table, when the documents without chunks in their listing are deleted."""
+    documents, chunks, chats = (table(spark, folder, x) for x in ("documents", "chunks", "chats"))
+    left = store.without_documents(documents.filter("status = 'failed'"), documents, chunks, chats)
+    count = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+    return count("documents", left[0]).unionByName(count("chunks", left[1])).unionByName(count("chats with document", left[2].filter("document_id is not null")))
+
+
+@query
+def orphan_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return store.missing_ids(table(spark, folder, "chunks").select(F.col("document_id").alias("id")), table(spark, folder, "documents"))
+
+
+@query
+def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
+    return limit_requests(table(spark, folder, "events"), "user_id", "ts", "event_id", limit=2, window_seconds=3600).select(F.col("key").alias("user_id"), F.col("request").alias("event_id"), "allowed")
 
 
-def _messages(make: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: make(table(spark, folder, "messages"))
-
-
-QUERIES: dict[str, Query] = {
-    "p4_found": _messages(nested.cited_sources),
-    "p4_sources": _messages(lambda m: nested.sources(m).drop("pre", "post")),
-    "p4_retrievers": _messages(nested.retrievers),
-    "p4_verdicts": _messages(lambda m: nested.verdicts(m).drop("pre", "post")),
-    "p4_cited": _messages(lambda m: nested.verdict_numbers(m, "citations")),
-    "p4_supporting": _messages(lambda m: nested.verdict_numbers(m, "supported_by")),
-    "p4_supporting_sources": _messages(lambda m: nested.cited_sources(m, "supported_by")),
-    "p4_invalid": _messages(lambda m: nested.report_numbers(m, "invalid_citations")),
-    "p4_unused": _messages(lambda m: nested.report_numbers(m, "unused_sources")),
-    "p4_reasons": _messages(nested.reasons),
-    "p4_statistics": _messages(lambda m: nested.objects(m, "retrieval_stats", nested.STAT_FIELDS)),
-    "p4_reports": _messages(lambda m: nested.objects(m, "citations", nested.REPORT_FIELDS)),
-    "p4_confidences": _messages(lambda m: nested.objects(m, "confidence", nested.CONFIDENCE_FIELDS)),
-}
-ORACLES: dict[str, str] = {}
