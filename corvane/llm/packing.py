@@ -16,12 +16,17 @@ GROUP_ITEMS = 20_000
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The container number of each item: the better of two fillings by ``_fill``, with and without pairs."""
+    return min((_fill(sizes, limits, pairs) for pairs in (True, False)), key=lambda x: x.max(initial=0))
+
+
+def _fill(sizes: np.ndarray, limits: np.ndarray, pairs: bool) -> np.ndarray:
     """The container number of each item. ``sizes`` is items x dimensions, every row within ``limits``.
 
     One container is open at a time. It gets the item with the greatest dot product of its size and the room left,
     both as parts of the limits and weighted by how scarce a dimension is, among the items that fit; when none fits,
-    the next one opens. Items of equal size are one candidate with a count. When one dimension alone decides and two
-    sizes fill the rest exactly, that pair goes first.
+    the next one opens. Items of equal size are one candidate with a count. With ``pairs``,
+    when one dimension alone decides and two sizes fill the rest exactly, that pair goes first.
     """
     n = len(sizes)
     number = np.full(n, -1, np.int64)
@@ -39,7 +44,7 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     weighted = parts * weights
     alive = np.flatnonzero(count > 0)
     room, bin_no, empty, left = limits.astype(np.int64).copy(), 0, True, n
-    single = {int(k[0]): i for i, k in enumerate(kinds)} if len(np.unique(kinds[:, 0])) == len(kinds) else None
+    single = {int(k[0]): i for i, k in enumerate(kinds)} if pairs and len(np.unique(kinds[:, 0])) == len(kinds) else None
 
     def take(k: int) -> None:
         nonlocal left, alive, empty

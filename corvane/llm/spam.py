@@ -177,6 +177,8 @@ def _is_sentence(unit: Unit, own: list[tuple[str, str]], seen: Counter, spread:
     # a phrase that comes back within the unit, or in a short unit of which others are full, is a keyword
     if (times >= 3 and 2 * times / n >= 0.1) or (times == 2 and (4 / n > 0.3 or (spread[top] >= 3 and seen[top] > 1.6 * spread[top]))):
         return False
+    if n >= 6 and any(c >= 3 and c >= 0.2 * n and len(w) > 2 and w not in FUNCTION_WORDS for w, c in Counter(words).items()):
+        return False
     often = max((seen[p] for p in counts), default=0)
     if links:
         return n - 6 * (links - 1) >= 8 and common >= 2 and common / n >= 0.15
