@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import clean_role
+from corvane.functions.text import clean_role, strip_white
 from corvane.llm.conversations import slot_of
 from corvane.operators.deliveries import latest_deliveries
 
@@ -284,12 +284,12 @@ def message_pairs(messages: DataFrame) -> DataFrame:
     before = ends.withColumn("carried", F.last("last_q", ignorenulls=True).over(Window.partitionBy("chat_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))).filter("carried is not null").select("chat_id", "slot", "carried")
     have = inner.filter("q is not null")
     miss = inner.filter("q is null").drop("q").join(before, ["chat_id", "slot"]).withColumnRenamed("carried", "q")
-    return have.unionByName(miss).select(F.col("id").alias("pair_id"), F.col("q.content").alias("question"), F.col("content").alias("answer"), (F.lower(F.trim(F.coalesce("abstained", F.lit("")))) == "yes").alias("by_design"))
+    return have.unionByName(miss).select(F.col("id").alias("pair_id"), F.col("q.content").alias("question"), F.col("content").alias("answer"), (F.lower(strip_white(F.coalesce("abstained", F.lit("")))) == "yes").alias("by_design"))
 
 
 def question_pairs(questions: DataFrame) -> DataFrame:
     """The golden set as pairs; repeated rows count once."""
-    return questions.select(F.col("id").alias("pair_id"), "question", "answer", F.coalesce(F.lower(F.trim("case_type")) == "no-answer", F.lit(False)).alias("by_design")).distinct()
+    return questions.select(F.col("id").alias("pair_id"), "question", "answer", F.coalesce(F.lower(strip_white(F.col("case_type"))) == "no-answer", F.lit(False)).alias("by_design")).distinct()
 
 
 def judge_pairs(pairs: DataFrame, least_mid: int = 20) -> DataFrame:
