@@ -53,6 +53,11 @@ for _language, _words in FUNCTION_WORDS.items():
         _WORD_LANGUAGE[_word] = None if _word in _WORD_LANGUAGE else _language
 #: Words with which no sentence or list item ends.
 _OPEN_WORDS = frozenset("the a an and or of to in on at by with from for than that which is are was were be its their if when while because unless until as but into through between after before der die das und oder mit von bei für auf ein eine einer im zum zur dem den des wenn dass weil le la les des du de et ou un une que qui dans par pour el los las del y o un una que en con por para se al su".split())
+#: Function words of phrases; any other one makes a sentence of a short answer.
+_PHRASE_WORDS = frozenset("the and of with from by its an before after until every each their at as der die das und mit von bei für auf ein eine einer eines einem einen im zum zur dem den des nach aus oder alle dieser le les des du et avec dans par sur un une pour ce cette au aux ou pendant avant après chaque el los las del y por para con en un una al desde hasta lo su sus sin más antes después cada este esta".split())
+_SENTENCE_WORDS = frozenset(w for w in _WORD_LANGUAGE if len(w) > 1) - _PHRASE_WORDS
+#: Whole answers of one word.
+_YES_OR_NO = frozenset("yes no ja nein oui non sí ok okay".split())
 
 _CITATION = re.compile(r"\s*\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
 _CITATIONS_AT_END = re.compile(r"(?:\s*\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\])+\s*$")
@@ -66,6 +71,9 @@ _CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`", re.S)
 _ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+")
 _BARE_ITEM = re.compile(r"(?:^|\n)\s*(?:[-*•]|\d{1,3}[.)])\s*$")
 _LAST_WORD = re.compile(r"([^\W\d_]+)$")
+_AFTER_STOP = re.compile(r"[.!?][\"”»)]*\s+\S|[。！？].")
+#: A part of a name: with a capital, a digit or a joint.
+_NAME = re.compile(r"(?=[^\W_]{2})[A-ZÄÖÜÉÀÈÂÊÎÔÛÇÑÁÍÓÚ]|\S*(?:\d|\w[-_./]\w)")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -181,6 +189,19 @@ def language_of(text: str | None) -> str | None:
     return best if not others or n >= 1.5 * others[0][1] + 0.5 else None
 
 
+def _short_ending(bare: str) -> tuple[str, str | None]:
+    """How a line of a few words without a full stop ends. Only a bare name, a number or a yes or no is whole by itself;
+    a sentence, or what follows one, is broken, and with any other phrase the use of its last word tells."""
+    words = tokens_of(bare)
+    if _AFTER_STOP.search(bare) or bare.count('"') % 2 or not _SENTENCE_WORDS.isdisjoint(words):
+        return "broken", None
+    word = _LAST_WORD.search(bare)
+    if not word or bare.casefold() in _YES_OR_NO or (_PHRASE_WORDS.isdisjoint(words) and all(_NAME.match(part) for part in bare.split())):
+        return "whole", None
+    own = word[1].casefold()
+    return ("broken", None) if own in _OPEN_WORDS else ("open", own)
+
+
 def ending_of(answer: str) -> tuple[str, str | None]:
     """How an answer ends: 'whole', 'broken', or 'open' with its last word where only the use of that word can tell."""
     text = answer.rstrip()
@@ -207,9 +228,7 @@ def ending_of(answer: str) -> tuple[str, str | None]:
         head = bare[: -len(line)].rstrip()
         if _CJK.match(end) or len(tokens_of(bare)) > 8 or head:
             return "broken", None
-        # a few words, such as a name, may stand without a full stop
-        word = _LAST_WORD.search(bare)
-        return ("broken", None) if word and word[1].casefold() in _OPEN_WORDS else ("whole", None)
+        return _short_ending(bare)
     # a list item needs no full stop, but prose that follows in its line does
     if re.search(r"(?:[.!?]|\])\s+\S", body) or re.search(r"[。！？].", body):
         return "broken", None
@@ -296,8 +315,8 @@ def judge_pairs(pairs: DataFrame, least_mid: int = 20) -> DataFrame:
     """pair_id and defect (null for sound pairs) of each pair: 'empty', 'refusal' (unless by design), 'copy',
     'truncated' or 'language', the first that holds.
 
-    A null or blank question can't be copied and has no language. An answer whose last list item stops without a full
-    stop is 'truncated' too if its last word never ends a sentence or line in all answers while being followed by
+    A null or blank question can't be copied and has no language. An answer whose last list item, or a short answer
+    that, stops without a full stop is 'truncated' too if its last word never ends a sentence or line in all answers while being followed by
     another word ``least_mid`` times or more, or if it is a short piece of a word that occurs nowhere else. Repeated
     pair ids give one row each.
     """

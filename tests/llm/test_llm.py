@@ -103,6 +103,25 @@ def test_pair_defects(question, answer, design, defect):
     assert pairs.defect_of(question, answer, design)[0] == defect
 
 
+@pytest.mark.parametrize(
+    ("answer", "ending"),
+    [
+        ("It is raised by bramble-archiver whe", ("broken", None)), ("Sorry for the mix-up earlier. It p", ("broken", None)), ("Ask the Lantern group first, then r", ("broken", None)), ("Yes, but only until the storage admin", ("broken", None)), ("It was moved on 1", ("broken", None)),
+        ("List the settings of m", ("open", "m")), ("Die Sperre endet nach", ("open", "nach")), ("The B", ("open", "b")), ("the Sable crew", ("open", "crew")), ("n", ("open", "n")),
+        ("Osprey-router", ("whole", None)), ("Sable Crew", ("whole", None)), ("No", ("whole", None)), ("yes", ("whole", None)), ("TMR-6920", ("whole", None)), ("30 [1]", ("whole", None)),
+    ],
+)
+def test_short_endings(answer, ending):
+    assert pairs.ending_of(answer) == ending
+
+
+def test_short_answers_by_the_use_of_their_last_word(spark):
+    known = [(f"k{n}", QUESTION, "The Sable crew nach dem Sperren. It belongs to the Sable crew.", False) for n in range(100)]
+    asked = [("cut", "Wann endet die Sperre?", "Die Sperre endet nach", False), ("piece", QUESTION, "The B", False), ("whole", QUESTION, "the Sable crew", False), ("name", QUESTION, "Osprey-router", False)]
+    df = spark.createDataFrame(known + asked, "pair_id string, question string, answer string, by_design boolean")
+    assert {r.pair_id: r.defect for r in pairs.judge_pairs(df).collect() if r.pair_id[0] != "k"} == {"cut": "truncated", "piece": "truncated", "whole": None, "name": None}
+
+
 def test_pairs_of_messages(spark):
     ts = lambda s: f"2025-01-01 00:{s:02d}:00"
     rows = [
