@@ -260,6 +260,8 @@ def defect_of(question: str | None, answer: str | None, by_design: bool) -> tupl
     return None, word
 
 
+#: The share of a word's uses that end a sentence or line, over all words, and the share below which no answer ends at it.
+USUAL_SHARE, LEAST_SHARE = 0.08, 0.001
 _WORD_OR_END = re.compile(r"[^\W\d_]+|[.!?。！？]|\n")
 
 
@@ -311,14 +313,15 @@ def question_pairs(questions: DataFrame) -> DataFrame:
     return questions.select(F.col("id").alias("pair_id"), "question", "answer", F.coalesce(F.lower(strip_white(F.col("case_type"))) == "no-answer", F.lit(False)).alias("by_design")).distinct()
 
 
-def judge_pairs(pairs: DataFrame, least_mid: int = 20) -> DataFrame:
+def judge_pairs(pairs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """pair_id and defect (null for sound pairs) of each pair: 'empty', 'refusal' (unless by design), 'copy',
     'truncated' or 'language', the first that holds.
 
     A null or blank question can't be copied and has no language. An answer whose last list item, or a short answer
-    that, stops without a full stop is 'truncated' too if its last word never ends a sentence or line in all answers while being followed by
-    another word ``least_mid`` times or more, or if it is a short piece of a word that occurs nowhere else. Repeated
-    pair ids give one row each.
+    that, stops without a full stop is 'truncated' too if its last word ends a sentence or line in less than ``least_share`` of its uses in
+    all answers, or if it is a short piece of a word that occurs nowhere else. The share starts from that of all words,
+    as if seen once, so few uses tell nothing, and more rows of the same kind change no verdict that rests on enough of
+    them. Repeated pair ids give one row each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,13 +331,14 @@ def judge_pairs(pairs: DataFrame, least_mid: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([x for x, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["pair_id", "defect", "word"])
 
     judged = pairs.select("pair_id", "question", "answer", "by_design").mapInArrow(run, "pair_id string, defect string, word string")
-    return _with_ends(judged, word_ends(pairs.select("answer")), least_mid)
+    return _with_ends(judged, word_ends(pairs.select("answer")), least_share)
 
 
-def _with_ends(judged: DataFrame, ends: DataFrame, least_mid: int) -> DataFrame:
+def _with_ends(judged: DataFrame, ends: DataFrame, least_share: float) -> DataFrame:
     known = judged.filter("word is null").select("pair_id", "defect")
     asked = judged.filter("word is not null").join(ends.select("word", "mid", "ends"), "word", "left")
-    broken = F.when(F.coalesce("ends", F.lit(0)) > 0, False).when(F.coalesce("mid", F.lit(0)) >= least_mid, True).otherwise((F.coalesce("mid", F.lit(0)) == 0) & (F.length("word") <= 6))
+    n_ends, uses = F.coalesce("ends", F.lit(0)), F.coalesce("ends", F.lit(0)) + F.coalesce("mid", F.lit(0))
+    broken = F.when(uses == 0, F.length("word") <= 6).otherwise((n_ends + USUAL_SHARE) / (uses + 1) < least_share)
     return known.unionByName(asked.select("pair_id", F.when(broken, "truncated").alias("defect")))
 
 

@@ -122,6 +122,17 @@ def test_short_answers_by_the_use_of_their_last_word(spark):
     assert {r.pair_id: r.defect for r in pairs.judge_pairs(df).collect() if r.pair_id[0] != "k"} == {"cut": "truncated", "piece": "truncated", "whole": None, "name": None}
 
 
+def test_verdicts_by_share_at_any_size(spark):
+    schema = "pair_id string, question string, answer string, by_design boolean"
+    # 'frozen' ends a line by chance once in some 2,000 uses, 'queue' now and then, 'relay' in one of 50; 'drift' is seen too seldom to tell
+    known = ["The frozen queue waits. " * 100] * 20 + ["It is frozen", "It waits for the queue. The queue of relay runs. " * 5, "The relay is up. " * 49 + "See the relay.", "The drift is old. " * 2]
+    asked = {"cut": "1. It waits.\n2. It reports the frozen", "noun": "1. It waits.\n2. It reports the queue", "rare": "1. It waits.\n2. It reports the relay", "few": "1. It waits.\n2. It reports the drift"}
+    for times in (1, 10):
+        rows = [(f"k{n}", QUESTION, a + ".\n", False) for n, a in enumerate(known * times)] + [(k, QUESTION, a, False) for k, a in asked.items()]
+        got = {r.pair_id: r.defect for r in pairs.judge_pairs(spark.createDataFrame(rows, schema)).collect() if r.pair_id in asked}
+        assert got == {"cut": "truncated", "noun": None, "rare": None, "few": None}
+
+
 def test_pairs_of_messages(spark):
     ts = lambda s: f"2025-01-01 00:{s:02d}:00"
     rows = [
