@@ -30,8 +30,6 @@ _CJK_TERM = re.compile(r"[^\s、。,，・|/;]{2,12}")
 #: White-space-free stretches longer than this are data, not words.
 BLOB = 100
 ENDS = frozenset(".!?。！？")
-#: A word that makes up more than this share of a text's words stands out.
-STANDS_OUT = 0.05
 _DISGUISED = re.compile(r"[A-Za-z][0134@$]+[A-Za-z]|[@$][a-z]|[a-z][013@$](?![\w.])")
 _DISGUISED_WORD = re.compile(r"(?<![\w@$])(?=[\w@$]*[a-z])(?=[\w@$]*[0134@$])[a-z0-9@$]{3,}(?![\w@$-])", re.I)
 _UNDISGUISED = str.maketrans("0134@$", "oieaas")
@@ -106,12 +104,8 @@ def units_of(text: str) -> Iterator[Unit]:
                     yield Unit("line", part.strip())
 
 
-def spam_share(text: str | None, floor: float = 0.0) -> tuple[float, int]:
-    """The share of a text's characters that lie in keyword, link or tag units, and the number of shapes of these.
-
-    A text none of whose words stands out and whose units other than plain sentences make up ``floor`` or less can't
-    come above it and has 0 without further work.
-    """
+def spam_share(text: str | None) -> tuple[float, int]:
+    """The share of a text's characters that lie in keyword, link or tag units, and the number of shapes of these."""
     if not text:
         return 0.0, 0
     units = list(units_of(text))
@@ -119,12 +113,6 @@ def spam_share(text: str | None, floor: float = 0.0) -> tuple[float, int]:
     if not total:
         return 0.0, 0
     lines = [u for u in units if u.kind == "line"]
-    if floor and sum(u.size for u in lines if not _plain_sentence(u)) <= floor * total:
-        words = Counter()
-        for u in lines:
-            words.update(u.words)
-        if not any(c > max(3, STANDS_OUT * words.total()) and w not in FUNCTION_WORDS for w, c in words.most_common(40)):
-            return 0.0, 0
     # how often a pair of content words comes up, in all units and in how many of them
     pairs = [_content_pairs(u.words) for u in lines]
     seen, spread = Counter(), Counter()
@@ -147,16 +135,6 @@ def spam_share(text: str | None, floor: float = 0.0) -> tuple[float, int]:
     return spam / total, len(dominant)
 
 
-def _plain_sentence(unit: Unit) -> bool:
-    """Whether a unit without links ends like a sentence and has its share of function words (or of kana)."""
-    if unit.links or not unit.words or unit.plain.rstrip()[-1:] not in ENDS:
-        return False
-    if not unit.plain.isascii() and len(_KANA.findall(unit.plain)) >= 0.12 * len(unit.plain):
-        return True
-    n = len(unit.words)
-    return n >= 4 and len(FUNCTION_WORDS.intersection(unit.words)) >= max(1, 0.1 * n)
-
-
 def _is_sentence(unit: Unit, own: list[tuple[str, str]], seen: Counter, spread: Counter, n_lines: int) -> bool | None:
     """True for a sentence, False for keywords, bare links or tags, None where a unit alone doesn't tell."""
     words, links, plain, n = unit.words, unit.links, unit.plain, len(unit.words)
@@ -214,7 +192,7 @@ def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spam_share(t, threshold) for t in b.column(b.num_columns - 1).to_pylist()]
+            found = [spam_share(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array([x for x, _ in found], pa.float64()), pa.array([k for _, k in found], pa.int32())], names=names)
 
     return data.mapInArrow(run, schema).filter(F.col("spam_share") > threshold)

@@ -176,6 +176,21 @@ def test_spam(spark):
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
+def test_spam_of_sentences_that_repeat_a_phrase(spark):
+    fill = "who {0} in the {1} and for that {2} but before the {3} then {4} with {5} until {6}"
+    things = ["desk lamp", "wall clock", "tea tray", "coat rack"]
+    words = [f"word{n}" for n in range(2000)]
+    page, rest = [], iter(words)
+    for n in range(24):
+        thing = things[n % 4]
+        own = [next(rest) for _ in range(7)]
+        page.append(f"The {thing} " + fill.format(own[0], thing, own[1], own[2], thing, own[3], own[4]) + ".")
+    lines = [f"{t}, best {t}, {t} price" for t in things] * 4
+    plain = ["The {} waits for the {} before it is read by a {} of the {}.".format(*[next(rest) for _ in range(4)]) for _ in range(16)]
+    rows = [(1, " ".join(page)), (2, "\n".join([*lines, *page[:6], *plain[:6]])), (3, " ".join(plain))]
+    assert sorted(r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id int, text string")).collect()) == [1, 2]
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
