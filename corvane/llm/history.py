@@ -7,8 +7,9 @@ only windows around new records are compared, by exact word edit distance. Runs
 
 A key's window is as wide as its block (the records of equal key). A block wider than ``WINDOW`` is cut: its records
 are compared with ``WINDOW`` neighbours first, those that turn out to be repetitions leave, and the rest is merged and
-compared again, until it fits or nothing more leaves; what then remains is compared in tiles, block by block. So no
-link between records that share a key is lost, and no block is gathered in one task or compared all at once.
+compared again, until it fits or nothing more leaves; what then remains is compared in tiles, block by block, and at
+last the repetitions with the accepted records of their blocks. So no link of a repetition to an accepted record that
+shares a key with it is lost, and no block is gathered in one task or compared all at once.
 """
 
 from __future__ import annotations
@@ -242,14 +243,28 @@ def _repetitions(links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done).select(F.col("late").alias("h")) if done else spark.createDataFrame([], "h long")
 
 
-def _tiles(entries: DataFrame, tile: int) -> DataFrame:
-    """All pairs of records of one key with a fresh one, by tiles of a block, each pair of tiles in its own group."""
-    counts = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("t"))
-    own = entries.withColumn("f", F.col("sketch").bitwiseAND(F.lit(_FRESH)) != 0).join(counts, "key").withColumn("i", F.pmod(F.xxhash64("h"), F.col("t")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
-    rows = own.filter("f").select("key", "i", other.alias("j"), F.col("h").alias("fresh"))
-    columns = own.select("key", other.alias("i"), F.col("i").alias("j"), F.col("h").alias("other"), (~F.col("f")).alias("old"))
-    return rows.join(columns, ["key", "i", "j"]).filter("old or fresh < other").filter("fresh <> other").select("fresh", "other", "old").distinct()
+def _near_sketches(a: str, b: str) -> Column:
+    """Whether the sketches in two columns allow for a tenth of edits, as ``_may_repeat`` tells."""
+    n, m = (F.col(c).bitwiseAND(F.lit(_MOST)) for c in (a, b))
+    longest = F.greatest(n, m)
+    edits = F.floor(longest / PART)
+    apart = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 12))
+    return (longest == _MOST) | ((F.abs(n - m) <= edits) & (apart <= 2 * edits))
+
+
+def _tiles(own: DataFrame, others: DataFrame, tile: int) -> DataFrame:
+    """All pairs (fresh, other, old) of an entry of ``own``, all fresh, and one of ``others`` of the same key whose
+    sketches allow a repetition, by tiles of a block, each pair of tiles in its own group."""
+
+    def parts(entries: DataFrame, name: str) -> DataFrame:
+        return entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+
+    counts = parts(own, "t").join(parts(others, "u"), "key")
+    place = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = own.join(counts, "key").select("key", place("t").alias("i"), every("u").alias("j"), F.col("h").alias("fresh"), F.col("sketch").alias("s"))
+    columns = others.join(counts, "key").select("key", every("t").alias("i"), place("u").alias("j"), F.col("h").alias("other"), F.col("sketch").alias("o"), (F.col("sketch").bitwiseAND(F.lit(_FRESH)) == 0).alias("old"))
+    return rows.join(columns, ["key", "i", "j"]).filter((F.col("fresh") != F.col("other")) & _near_sketches("s", "o")).select("fresh", "other", "old").distinct()
 
 
 class AcceptedHistory:
@@ -366,27 +381,32 @@ class AcceptedHistory:
         found = materialize(_scan(merged, self.window), "history-windows")
         links = materialize(checked(found.filter("fresh is not null")), "history-links")
         repetitions = _repetitions(links)
-        cut = self._cut(found)
-        while cut is not None:
-            # blocks wider than a window: again with what is still accepted
-            left = merged.join(cut, "key", "left_semi")
-            left = left.filter(is_fresh).join(repetitions, "h", "left_anti").unionByName(left.filter(~is_fresh) if gone is None else left.filter(~is_fresh).join(gone, "h", "left_anti"))
-            left = materialize(left.select("key", "h", "sketch"), "history-wide")
+        wide = self._cut(found)
+        if wide is None:
+            return links, repetitions
+        # blocks wider than a window: again with what is accepted now, which any of them may hold, until nothing changes
+        merged = materialize(merged.join(wide, "key", "left_semi").select("key", "h", "sketch"), "history-wide")
+        if gone is not None:
+            merged = merged.filter(is_fresh).unionByName(merged.filter(~is_fresh).join(gone, "h", "left_anti"))
+        while True:
+            left = materialize(merged.filter(is_fresh).join(repetitions, "h", "left_anti").unionByName(merged.filter(~is_fresh)), "history-wide")
             found = materialize(_scan(self._sorted(left).withColumn("src", F.lit(0).cast("long")), self.window), "history-windows")
             more = materialize(checked(found.filter("fresh is not null")).join(links, ["late", "early"], "left_anti"), "history-links")
-            cut = self._cut(found)
             if more.isEmpty():
+                cut = self._cut(found)
                 if cut is None:
                     break
-                pairs = _tiles(left.join(cut, "key", "left_semi"), 8 * self.window)
+                rest = left.join(cut, "key", "left_semi")
+                pairs = _tiles(rest.filter(is_fresh), rest, 8 * self.window).filter("old or fresh < other")
                 more = materialize(checked(pairs).join(links, ["late", "early"], "left_anti"), "history-links")
                 if more.isEmpty():
                     break
             links = links.unionByName(more.select(links.columns))
             repetitions = _repetitions(links)
-            # a record that new links made accepted again may share any of these blocks
-            cut = materialize(left.select("key").distinct(), "history-cut")
-        return links, repetitions
+        # a repetition left before it met all of its block: now with everything accepted there, which changes no verdict
+        cases = merged.filter(is_fresh).join(repetitions, "h", "left_semi")
+        more = materialize(checked(_tiles(cases, left, 8 * self.window)).join(links, ["late", "early"], "left_anti"), "history-links")
+        return links.unionByName(more.select(links.columns)), repetitions
 
     def _cut(self, found: DataFrame) -> DataFrame | None:
         marks = found.filter("fresh is null")

@@ -232,6 +232,27 @@ def test_history_against_brute_force(spark, window):
     assert {a for a, _ in got} == {a for a, _ in expected} and got <= expected
 
 
+@pytest.mark.parametrize("window", [2, 32])
+def test_wide_blocks_give_every_accepted_chunk(spark, window):
+    rng = random.Random(7)
+    rows = []
+    for n in range(6):
+        base = [f"v{n}x{k}" for k in range(60)]
+
+        def edited(places, tag, base=base):
+            return " ".join(f"{tag}{p}" if p in places else w for p, w in enumerate(base))
+
+        # 'a' and 'b' are 8 edits apart, so both are accepted; the cases of 'mid' repeat both, those of 'near' only 'a'
+        far = rng.sample(range(60), 8)
+        rows += [(f"a{n}", "g", 0, 0, edited([], "")), (f"b{n}", "g", 0, 1, edited(far, f"far{n}x"))]
+        rows += [(f"mid{n}-{k}", "g", 1, k, edited(far[:4], f"far{n}x") + f" mid{k}") for k in range(4)]
+        rows += [(f"near{n}-{k}", "g", 1, 9 + k, edited([], "") + f" near{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, guest_id string, batch_no int, chunk_index int, text string").withColumn("created_at", F.lit(None).cast("timestamp"))
+    got = set(map(tuple, history.repeated_chunks(df, window=window).collect()))
+    expected = {(f"mid{n}-{k}", f"{kept}{n}") for n in range(6) for k in range(4) for kept in "ab"} | {(f"near{n}-{k}", f"a{n}") for n in range(6) for k in range(40)}
+    assert got == expected
+
+
 def test_history_by_batch(spark):
     base = " ".join(f"w{n}" for n in range(30))
     make = lambda rows: spark.createDataFrame([(i, "g", b, 0, t) for i, b, t in rows], "id string, guest_id string, batch_no int, chunk_index int, text string").withColumn("created_at", F.lit(None).cast("timestamp"))
