@@ -128,8 +128,9 @@ def sketches(codes: list[str]) -> np.ndarray:
 
 
 def key_entries(classes: DataFrame) -> DataFrame:
-    """(key, h, sketch) for every sort key of the classes with words enough for an edit, marked as fresh."""
-    data = classes.filter(F.col("n") >= PART).select("h", "guest_id", "code")
+    """(key, h, sketch) for every sort key of the classes with words enough for an edit, or one fewer, as an edit may
+    add the missing one, marked as fresh."""
+    data = classes.filter(F.col("n") >= PART - 1).select("h", "guest_id", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,8 +327,8 @@ class AcceptedHistory:
         Chunk B repeats A if both have one guest_id and words and a word edit distance of at most a tenth of the longer
         one's words. Empty batches, blank texts and rows with a null id, guest_id or text give no case. Rows of one id
         and text are one chunk. Copies of a text are judged once, as a class (a 64-bit hash of workspace and words): no
-        pair of copies is ever formed, but each copy comes out with what its class repeats or with the class's first
-        chunk.
+        pair of copies is ever formed, but each copy comes out with what its class repeats of the chunks accepted before
+        the copy, or with the class's first chunk.
         """
         first = F.min(F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep"))).alias("o")
         grouped = word_features(chunks).groupBy("h").agg(first, F.max("id").alias("top"), F.min("id").alias("bottom"), F.first("guest_id").alias("guest_id"), F.first("n").alias("n"), F.first("code").alias("code"))
@@ -355,7 +356,11 @@ class AcceptedHistory:
         lasting = links.join(repetitions.select(F.col("h").alias("late")), "late", "left_semi")
         within = lasting.filter("not old").join(repetitions.select(F.col("h").alias("early")), "early", "left_anti")
         named = within.join(kept.withColumnRenamed("h", "early"), "early").select(F.col("late").alias("h"), "kept_id", "kept_at")
-        verdicts = known.unionByName(copies).unionByName(named)
+        # what was accepted after the first member of a rejected class: its later members repeat that, too
+        rejected = repetitions.join(new.filter("many").select("h"), "h", "left_semi").select(F.col("h").alias("early"))
+        after = links.filter("not old").join(rejected, "early", "left_semi").join(repetitions.select(F.col("h").alias("late")), "late", "left_anti")
+        renamed = after.join(kept.withColumnRenamed("h", "late"), "late").select(F.col("early").alias("h"), "kept_id", "kept_at")
+        verdicts = known.unionByName(copies).unionByName(named).unionByName(renamed)
         if history is not None:
             verdicts = verdicts.unionByName(lasting.filter("old").join(history.select(F.col("h").alias("early"), F.col("rep").alias("kept_id")), "early").select(F.col("late").alias("h"), "kept_id", F.lit(None).cast(kept.schema["kept_at"].dataType).alias("kept_at")))
         verdicts = materialize(verdicts, "history-verdicts")

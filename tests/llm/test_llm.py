@@ -253,6 +253,19 @@ def test_wide_blocks_give_every_accepted_chunk(spark, window):
     assert got == expected
 
 
+def test_later_copies_repeat_what_came_between(spark):
+    base = [f"w{n}" for n in range(40)]
+    make = lambda tag, places: " ".join(f"{tag}{p}" if p in places else w for p, w in enumerate(base))
+    x, b = make("m", (3, 9)), make("m", (3, 9, 20, 30, 38))
+    nine = "one two three four five six seven eight nine"
+    rows = [("a", 0, 0, make("", ())), ("x1", 1, 0, x), ("b", 1, 1, b), ("x2", 1, 2, x), ("x3", 2, 0, x), ("n1", 0, 1, nine), ("n2", 1, 3, nine + " ten")]
+    df = spark.createDataFrame([(i, "g", n, c, t) for i, n, c, t in rows], "id string, guest_id string, batch_no int, chunk_index int, text string").withColumn("created_at", F.lit(None).cast("timestamp"))
+    expected = [("n2", "n1"), ("x1", "a"), ("x2", "a"), ("x2", "b"), ("x3", "a"), ("x3", "b")]
+    assert sorted(map(tuple, history.repeated_chunks(df).collect())) == expected
+    store = history.AcceptedHistory(spark)
+    assert sorted(tuple(r) for n in range(3) for r in store.add(df.filter(F.col("batch_no") == n)).collect()) == expected
+
+
 def test_history_by_batch(spark):
     base = " ".join(f"w{n}" for n in range(30))
     make = lambda rows: spark.createDataFrame([(i, "g", b, 0, t) for i, b, t in rows], "id string, guest_id string, batch_no int, chunk_index int, text string").withColumn("created_at", F.lit(None).cast("timestamp"))
