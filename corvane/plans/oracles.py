@@ -168,6 +168,7 @@ ORACLES: dict[str, str] = {
         e AS (SELECT doc_id, regexp_replace(unnest(us), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS unit FROM u)
         SELECT doc_id, count(*) AS units, max(length(unit)) AS longest FROM e WHERE unit <> '' GROUP BY 1""",
     "html_text": f"SELECT doc_id, {_html('text')} AS plain FROM documents WHERE text LIKE '<h1>%'",
+    "html_text_all": f"SELECT doc_id, {_html('text')} AS plain FROM documents WHERE source_type = 'html' OR regexp_matches(text, '</?[A-Za-z][^>]*>')",
     "exact_duplicates": r"""WITH c AS (SELECT DISTINCT id, guest_id, trim(regexp_replace(lower(text), '""" + _WHITE + r"""+', ' ', 'g'), ' ') AS t FROM chunks WHERE text IS NOT NULL)
         SELECT id AS key, kept_key FROM (SELECT id, min(id) OVER (PARTITION BY guest_id, t) AS kept_key FROM c) WHERE id <> kept_key""",
     "duplicate_totals": r"""WITH c AS (SELECT DISTINCT id, guest_id, document_id, trim(regexp_replace(lower(text), '""" + _WHITE + r"""+', ' ', 'g'), ' ') AS t FROM chunks), d AS (SELECT *, t IS NOT NULL AND id <> min(id) OVER (PARTITION BY guest_id, t) AS dup FROM c)

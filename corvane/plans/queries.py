@@ -169,9 +169,20 @@ def html_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("text like '<h1>%'").select("doc_id", t.html_to_text(F.col("text")).alias("plain"))
 
 
+def _html_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are HTML by their source_type or hold a tag anywhere."""
+    return table(spark, folder, "documents").filter((F.col("source_type") == "html") | F.col("text").rlike("</?[A-Za-z][^>]*>"))
+
+
+@query
+def html_text_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As html_text, whose SQL fixes it to pages that begin with <h1>, over every page with HTML."""
+    return _html_pages(spark, folder).select("doc_id", t.html_to_text(F.col("text")).alias("plain"))
+
+
 @query
 def html_section_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return loaders.html_sections(table(spark, folder, "documents").filter("text like '<h1>%'"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return loaders.html_sections(_html_pages(spark, folder), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 @query

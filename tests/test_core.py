@@ -219,3 +219,13 @@ def test_entry_lists_queries():
     import __spark_entry__ as e
 
     assert "bm25_topk" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_html_pages_that_begin_otherwise(spark, tmp_path):
+    from corvane.plans.queries import QUERIES
+
+    rows = [(1, "html", "<h1>A</h1>x"), (2, "text", "<li><a href='u'>one</a></li>"), (3, "html", "before <p>two</p>"), (4, "html", "bare"), (5, "text", "1 < 2 and 3 > 2"), (6, "text", None)]
+    spark.createDataFrame(rows, "doc_id int, source_type string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sections = {(r.doc_id, r.text) for r in QUERIES["html_section_rows"](spark, str(tmp_path)).collect()}
+    assert sections == {(1, "A\n\nx"), (2, "one"), (3, "before\ntwo"), (4, "bare")}
+    assert {r.doc_id: r.plain for r in QUERIES["html_text_all"](spark, str(tmp_path)).collect()} == {1: "A\n\nx", 2: "one", 3: "before\ntwo", 4: "bare"}
