@@ -191,6 +191,8 @@ ORACLES: dict[str, str] = {
     "recent_chats": "SELECT id, CASE WHEN length(title) > 48 THEN title[:48] || '…' ELSE title END AS title FROM (SELECT DISTINCT id, title, updated_at FROM chats ORDER BY updated_at DESC, id LIMIT 50)",
     "chat_history": f"""WITH n AS (SELECT *, {_ROLE} AS r, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, id DESC) AS back FROM ({_LATEST}) WHERE chat_id IS NOT NULL)
         SELECT chat_id, back, id, r AS role, content[:200] AS content FROM n WHERE back <= 6 AND r IN ('user', 'assistant')""",
+    "chat_history_full": f"""WITH n AS (SELECT *, {_ROLE} AS r, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, id DESC) AS back FROM ({_LATEST}) WHERE chat_id IS NOT NULL)
+        SELECT chat_id, back, id, r AS role, content[:2000] AS content FROM n WHERE back <= 12 AND r IN ('user', 'assistant')""",
     "chat_documents": "WITH c AS (SELECT DISTINCT id, coalesce(document_ids[1], document_id) AS document_id FROM chats) SELECT c.id, c.document_id, coalesce(filename, 'document') AS filename FROM c LEFT JOIN documents d ON c.document_id = d.id",
     "delete_cascade": """WITH g AS (SELECT id FROM documents WHERE status = 'failed') SELECT 'documents' AS table_name, count(*) AS n FROM documents WHERE id NOT IN (SELECT id FROM g)
         UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id IS NULL OR document_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'chats with document', count(*) FROM chats WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT id FROM g)""",

@@ -293,10 +293,19 @@ def recent_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chats.orderBy(F.col("updated_at").desc(), "id").limit(50).select("id", store.short_title(F.col("title")).alias("title"))
 
 
+def _chat_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return latest_deliveries(table(spark, folder, "messages").select("id", "received_at", "chat_id", "created_at", clean_role(F.col("role")).alias("role"), "content"), ["chat_id", "created_at", "role", "content"]).filter("chat_id is not null")
+
+
 @query
 def chat_history(spark: SparkSession, folder: str) -> DataFrame:
-    m = latest_deliveries(table(spark, folder, "messages").select("id", "received_at", "chat_id", "created_at", clean_role(F.col("role")).alias("role"), "content"), ["chat_id", "created_at", "role", "content"])
-    return store.last_turns(m.filter("chat_id is not null"), 6, 200)
+    return store.last_turns(_chat_messages(spark, folder), 6, 200)
+
+
+@query
+def chat_history_full(spark: SparkSession, folder: str) -> DataFrame:
+    """As chat_history, whose SQL fixes it to 6 messages of 200 characters, with the defaults of 12 and 2000."""
+    return store.last_turns(_chat_messages(spark, folder))
 
 
 @query

@@ -229,3 +229,13 @@ def test_html_pages_that_begin_otherwise(spark, tmp_path):
     sections = {(r.doc_id, r.text) for r in QUERIES["html_section_rows"](spark, str(tmp_path)).collect()}
     assert sections == {(1, "A\n\nx"), (2, "one"), (3, "before\ntwo"), (4, "bare")}
     assert {r.doc_id: r.plain for r in QUERIES["html_text_all"](spark, str(tmp_path)).collect()} == {1: "A\n\nx", 2: "one", 3: "before\ntwo", 4: "bare"}
+
+
+def test_full_chat_history(spark, tmp_path):
+    from corvane.plans.queries import QUERIES
+
+    rows = [(f"m{n:02d}", "c", "user", "x" * 3000, n, 1) for n in range(14)]
+    df = spark.createDataFrame(rows, "id string, chat_id string, role string, content string, at int, received_at int")
+    df.withColumn("created_at", F.timestamp_seconds("at")).write.parquet(f"{tmp_path}/messages.parquet")
+    got = QUERIES["chat_history_full"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in got) == [f"m{n:02d}" for n in range(2, 14)] and {len(r.content) for r in got} == {2000}
