@@ -1,35 +1,39 @@
-"""Keyword-stuffed and link-list pages, told by the shapes of their lines."""
+"""Keyword-stuffed and link-list pages, told by the shapes of their lines.
+
+Every line, or sentence of a line, is reduced to its shape: classes of how many words it has, how many of them begin
+with a capital, how many separators and links come with them, how many are short connecting words, how far it repeats
+itself and the page's keywords, and whether it ends like a sentence. A shape, not a line, is a sentence's or isn't. The
+units of a page are grouped by shape, and a page is flagged if few shapes that aren't a sentence's hold most of its text.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values.
-#: Function words of the languages served; a line without any hardly is a sentence.
-FUNCTION_WORDS = frozenset(
-    "the a an and is are was were be been of to in on at by with from for as or not no that which who when while if it its this that these than then before after until unless because since only even all each can cannot must may should could would will has have had do does did but so into through between our your their they we you he she one what used be "
-    "der die das und ist sind war wird werden wurde nicht mit von bei für auf ein eine einer eines einem einen im zum zur dem den des wenn dass sobald nach aus oder auch kann muss darf wer alle sich es an in zu als bis bevor während obwohl weil falls ohne seit "
-    "le la les des du de et est sont était qui que ne pas avec dans par sur un une pour ce cette il elle lorsque dès aux au mais ou où pendant avant après chaque doit peut se son sa ses à si tant n'a pu d l s c qu "
-    "el los las del y es son era con en al por para cuando desde hasta que se lo su sus sin más hay está están antes después cada debe puede esta este si mientras aunque no ha han una uno".split()
-)
+#: How many shapes are few.
+FEW = 24
+#: White-space-free stretches longer than this are data, not words.
+BLOB = 100
+#: Words up to this length connect others (articles, prepositions and the like, in any language written with spaces).
+CONNECTING = 3
+
 _LINK = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>()\"'\]]+|\b(?:[a-z0-9-]+\.)+(?:com|org|net|io|co|info|biz|shop|online|de|fr|es|jp|example|test|invalid|localhost|dev|app|site|xyz)\b(?:/[^\s<>()\"'\]]*)?", re.I)
-_MARKUP = re.compile(r"<[^<>\n]{1,300}>")
-_MD_LINK = re.compile(r"!?\[([^\[\]\n]{0,200})\]\(([^()\s]*)\)")
+_MARKUP = re.compile(r"<[^<>\n]+>")
+_MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]*)\)")
 _HREF = re.compile(r"(?:href|src)\s*=\s*[\"']?([^\"'\s>]+)", re.I)
 _DOTTED = re.compile(r"\.[A-Za-z]")
 _LINE_END = re.compile(r"\r\n|[\n\r]")
 _HEADING = re.compile(r"#{1,6}\s")
+_QUOTE = re.compile(r"(?:>\s*)+")
+_MARK = re.compile(r"[-*+•–]\s+")
 _CAPITAL = re.compile(r"(?<![^\W_])[A-ZÄÖÜÉÀÈÂÊÎÔÛÇÑ]")
-_CJK_TERM = re.compile(r"[^\s、。,，・|/;]{2,12}")
-#: White-space-free stretches longer than this are data, not words.
-BLOB = 100
-ENDS = frozenset(".!?。！？")
 _DISGUISED = re.compile(r"[A-Za-z][0134@$]+[A-Za-z]|[@$][a-z]|[a-z][013@$](?![\w.])")
 _DISGUISED_WORD = re.compile(r"(?<![\w@$])(?=[\w@$]*[a-z])(?=[\w@$]*[0134@$])[a-z0-9@$]{3,}(?![\w@$-])", re.I)
 _UNDISGUISED = str.maketrans("0134@$", "oieaas")
@@ -37,15 +41,17 @@ _BLOB = re.compile(r"\S{%d,}" % (BLOB + 1))
 _WORD = re.compile(r"[^\W_]+(?:['’@][^\W_]+)*")
 _KANA = re.compile(r"[ぁ-ゖ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_CJK_TERM = re.compile(r"[^\s、。,，・|/;]{2,}")
+_CJK_SEPARATORS = re.compile(r"[、,，・|/;]")
 _END = re.compile(r"[.!?。！？:;…][\"”»)\]*_]*\s*$")
 _SPLIT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_]|[\"“«(`*_\[-])|(?<=;)\s+(?=[A-ZÄÖÜÉÀÂÊÎÔÇÑ`])|(?<=[。！？])")
 _SEPARATORS = re.compile(r"[,|;•·>/–—#]|\s-\s")
 
 
 class Unit:
-    """A line or sentence with what its shape and its judgement need."""
+    """A line or sentence with what its shape needs."""
 
-    __slots__ = ("bare", "kind", "links", "plain", "size", "words")
+    __slots__ = ("bare", "kind", "links", "plain", "raw", "size", "words")
 
     def __init__(self, kind: str, text: str) -> None:
         self.kind, self.size, self.links, self.bare = kind, len(text), 0, False
@@ -64,21 +70,27 @@ class Unit:
         if kind == "line" and len(_DISGUISED.findall(plain)) >= 2:
             plain = _DISGUISED_WORD.sub(lambda m: m[0].translate(_UNDISGUISED), plain)
         self.plain = plain
-        self.words = [w.lower() for w in _WORD.findall(plain)]
+        self.raw = _WORD.findall(plain)
+        self.words = [w.lower() for w in self.raw]
+
 
+class Shape(NamedTuple):
+    """Classes, each from 0 up. Units of one shape are of one make."""
 
-def shape_of(unit: Unit) -> str:
-    """The shape of a line or sentence: how many words, capitals, separators and links, whether it has function words
-    and how it ends; numbers and words themselves don't count. Units of one shape are of one make."""
-    n = len(unit.words)
-    step = lambda x, *bounds: sum(x > b for b in bounds)
-    common = sum(w in FUNCTION_WORDS for w in unit.words)
-    capitals = len(_CAPITAL.findall(unit.plain))
-    return f"w{step(n, 0, 2, 5, 9, 15, 25, 50)}c{step(10 * capitals / max(1, n), 0, 3, 7)}s{step(len(_SEPARATORS.findall(unit.plain)) / max(1, n), 0, 0.15, 0.3)}l{step(unit.links, 0, 1)}f{step(10 * common / max(1, n), 0, 1, 2)}{'.' if _END.search(unit.plain) else '-'}"
+    script: str  # 'words' written with spaces, 'kana' for Japanese and Chinese
+    size: int  # words, or characters
+    capitals: int  # words with a capital, by share
+    separators: int  # commas, bars, slashes and so on, by word
+    links: int  # none, one, more
+    connecting: int  # connecting words, by share (kana among the characters)
+    repeats: int  # the unit's own repetition of a phrase or word, by share
+    keywords: int  # words that units of the page say again and again, by share
+    familiar: int  # pairs of words that the page has often, by share
+    ended: bool  # ends like a sentence
 
 
-def _content_pairs(words: list[str]) -> list[tuple[str, str]]:
-    return [(a, b) for a, b in zip(words, words[1:]) if a not in FUNCTION_WORDS and b not in FUNCTION_WORDS]
+def _class(x: float, *bounds: float) -> int:
+    return sum(x >= b for b in bounds)
 
 
 def units_of(text: str) -> Iterator[Unit]:
@@ -86,7 +98,7 @@ def units_of(text: str) -> Iterator[Unit]:
     into its sentences."""
     fenced = False
     for raw in _LINE_END.split(text):
-        line = raw.strip()
+        line = raw.strip() if raw.lstrip()[:1] != ">" else _QUOTE.sub("", raw.strip(), count=1)
         if not line:
             continue
         if line.startswith(("```", "~~~")):
@@ -99,13 +111,78 @@ def units_of(text: str) -> Iterator[Unit]:
         elif line[0] == "|" and line[-1] == "|":
             yield Unit("row", line)
         else:
-            for part in _SPLIT.split(line):
+            for part in _SPLIT.split(_MARK.sub("", line, count=1) if _MARK.match(line) else line):
                 if part and part.strip():
                     yield Unit("line", part.strip())
 
 
-def spam_share(text: str | None) -> tuple[float, int]:
-    """The share of a text's characters that lie in keyword, link or tag units, and the number of shapes of these."""
+def _pairs(words: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for a, b in zip(words, words[1:]) if len(a) > CONNECTING and len(b) > CONNECTING]
+
+
+class Page:
+    """What the units of a page say in common: how often a pair of words comes up, and the keywords, which are words
+    that several units say and commonly more than once each."""
+
+    def __init__(self, units: list[Unit]) -> None:
+        self.pairs: Counter = Counter()
+        said, spread = Counter(), Counter()
+        for u in units:
+            self.pairs.update(_pairs(u.words))
+            own = [w for w in u.words if len(w) > CONNECTING]
+            said.update(own)
+            spread.update(set(own))
+        self.keywords = {w for w, n in spread.items() if n >= 3 and 2 * said[w] >= 3 * n}
+
+
+def shape_of(unit: Unit, page: Page) -> Shape | None:
+    """The shape of a line or sentence; None for what has no words and no links, for data and for a few words alone."""
+    words, n, plain = unit.words, len(unit.words), unit.plain
+    links, ended = _class(unit.links, 1, 2), bool(_END.search(plain))
+    cjk = 0 if plain.isascii() else len(_CJK.findall(plain))
+    if cjk >= 0.3 * max(1, len(plain.replace(" ", ""))):
+        terms = set(_CJK_TERM.findall(plain))
+        most = max((plain.count(t) for t in terms), default=0)
+        return Shape("kana", _class(cjk, 5, 13, 40), 0, _class(len(_CJK_SEPARATORS.findall(plain)) / cjk, 0.04, 0.08, 0.15), links, _class(len(_KANA.findall(plain)) / cjk, 0.05, 0.12, 0.25), _class(most, 4) * _class(18 * most / cjk, 1), 0, 0, ended)
+    if not n:
+        return Shape("words", 0, 0, 0, links, 0, 0, 0, 0, ended) if links else None
+    own = _pairs(words)
+    phrase = max(Counter(own).values(), default=0)
+    word = max(Counter(w for w in words if len(w) > CONNECTING).values(), default=0)
+    # a phrase said twice is chance in all but short units
+    repeats = max(2 * phrase if phrase > 2 or (phrase == 2 and 4 > 0.3 * n) else 0, word if word > 2 else 0) / n
+    # in capitals throughout, short words are codes
+    short = sum(len(w) <= CONNECTING and w.isalpha() and not (len(w) > 1 and w.isupper() and not plain.isupper()) for w in unit.raw)
+    separators = len(_SEPARATORS.findall(plain)) / n
+    familiar = _class(sum(page.pairs[p] >= 4 for p in own) / max(1, len(own)), 0.5, 0.9)
+    if not unit.links and ((unit.bare and n < 12) or (n <= 5 and not separators and not familiar)):
+        return None
+    return Shape(
+        "words", _class(n, 3, 6, 10, 16, 26, 51), _class(len(_CAPITAL.findall(plain)) / n, 0.3, 0.7), _class(separators, 0.01, 0.15, 0.25), links + (links == 2 and n < 6 * (unit.links - 1) + 8) + (links == 1 and n < 8),
+        _class(short / n, 0.06, 0.2, 0.3), _class(repeats, 0.1, 0.2, 0.3), _class(sum(w in page.keywords for w in words) / n, 0.15), familiar, ended,
+    )
+
+
+def is_sentence(s: Shape) -> bool:
+    """Whether units of a shape are sentences: they connect their words and don't repeat them, or at least end like a
+    sentence, and links, separators and the page's keywords are few among their words."""
+    if s.script == "kana":
+        return not (s.links and s.size < 2) and not s.repeats and (s.connecting >= 2 or (s.size >= 2 and s.separators < 2 and not s.links))
+    if s.keywords or s.links > 1 or not s.size:
+        # one link that few words go with counts as two, more than their words can explain as three
+        return False
+    if s.separators == 3 and not (s.ended and s.connecting >= 2):
+        return False
+    if s.familiar == 2 and not s.ended and s.connecting < 3:
+        return False
+    if s.connecting:
+        return not s.repeats or (s.connecting >= 2 and s.repeats == 1)
+    return s.ended and s.size >= 2 and s.separators < 2 and not s.repeats and s.familiar < 2 and not s.links
+
+
+def spam_share(text: str | None, few: int = FEW) -> tuple[float, int]:
+    """The share of a text's characters that lie in units of its ``few`` largest shapes that aren't a sentence's, and
+    the number of these shapes."""
     if not text:
         return 0.0, 0
     units = list(units_of(text))
@@ -113,76 +190,22 @@ def spam_share(text: str | None) -> tuple[float, int]:
     if not total:
         return 0.0, 0
     lines = [u for u in units if u.kind == "line"]
-    # how often a pair of content words comes up, in all units and in how many of them
-    pairs = [_content_pairs(u.words) for u in lines]
-    seen, spread = Counter(), Counter()
-    for own in pairs:
-        seen.update(own)
-        spread.update(set(own))
-    judged = [_is_sentence(u, own, seen, spread, len(lines)) for u, own in zip(lines, pairs)]
-    if False not in judged:
-        return 0.0, 0
-    # a shape speaks for those of its units that don't tell by themselves
-    shapes = [shape_of(u) for u in lines]
-    votes: dict[str, Counter] = {}
-    for u, shape, is_prose in zip(lines, shapes, judged):
-        votes.setdefault(shape, Counter())[is_prose] += u.size
-    spam, dominant = 0, set()
-    for u, shape, is_prose in zip(lines, shapes, judged):
-        if is_prose is False or (is_prose is None and not u.bare and votes[shape][False] > votes[shape][True]):
-            spam += u.size
-            dominant.add(shape)
-    return spam / total, len(dominant)
-
-
-def _is_sentence(unit: Unit, own: list[tuple[str, str]], seen: Counter, spread: Counter, n_lines: int) -> bool | None:
-    """True for a sentence, False for keywords, bare links or tags, None where a unit alone doesn't tell."""
-    words, links, plain, n = unit.words, unit.links, unit.plain, len(unit.words)
-    if not plain.isascii() and (cjk := len(_CJK.findall(plain))):
-        kana = len(_KANA.findall(plain))
-        if cjk >= 0.3 * max(1, len(plain.replace(" ", ""))) or n <= 3:
-            if links and cjk < 12:
-                return False
-            repeated = max((plain.count(w) for w in set(_CJK_TERM.findall(plain))), default=0)
-            if repeated >= 4 and repeated > cjk / 18 and kana < 0.15 * cjk:
-                return False
-            return True if kana >= 0.12 * cjk or cjk > 12 else None
-    if not n:
-        return False if links else None
-    common = sum(w in FUNCTION_WORDS for w in words)
-    counts = Counter(own)
-    top, times = max(counts.items(), key=lambda x: (x[1], seen[x[0]]), default=(None, 0))
-    # a phrase that comes back within the unit, or in a short unit of which others are full, is a keyword
-    if (times >= 3 and 2 * times / n >= 0.1) or (times == 2 and (4 / n > 0.3 or (spread[top] >= 3 and seen[top] > 1.6 * spread[top]))):
-        return False
-    if n >= 6 and any(c >= 3 and c >= 0.2 * n and len(w) > 2 and w not in FUNCTION_WORDS for w, c in Counter(words).items()):
-        return False
-    often = max((seen[p] for p in counts), default=0)
-    if links:
-        return n - 6 * (links - 1) >= 8 and common >= 2 and common / n >= 0.15
-    if unit.bare and n < 12:
-        return None
-    ended = plain[-1] in ENDS or bool(_END.search(plain))
-    if n >= 3 and common <= 1 and (n >= 12 and not common or not (ended and common) and n <= 15 and len(_SEPARATORS.findall(plain)) >= 3):
-        return False
-    if n >= 6 and common / n < 0.1 and not ended:
-        return False
-    if n <= 8 and often >= 5 and n_lines >= 5 and common <= max(1, n // 3):
-        return False
-    if n >= 6 and often >= 6 and common / n < 0.12:
-        return False
-    if common >= 2 and common / n >= 0.12 or (n >= 4 and common >= 1 and ended):
-        return True
-    return None
+    page, groups = Page(lines), Counter()
+    for u in lines:
+        shape = shape_of(u, page)
+        if shape is not None:
+            groups[shape] += u.size
+    largest = [size for shape, size in groups.most_common() if not is_sentence(shape)][:few]
+    return sum(largest) / total, len(largest)
 
 
 def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """``key`` (and ``keep``), spam_share and spam_shapes of the pages more than ``threshold`` of whose text lies in
-    units that aren't sentences: keywords, bare links, tags, and statements built to repeat a keyword.
+    """``key`` (and ``keep``), spam_share and spam_shapes of the pages more than ``threshold`` of whose text lies in few
+    shapes that aren't a sentence's: keywords, bare links, tags, and statements built to repeat a keyword.
 
     Lines are cut into sentences and reduced to shapes; code, headings and table rows count as text but not as spam.
-    A unit that doesn't tell by itself follows the others of its shape. Null, empty and blank texts are no spam;
-    repeated rows give a row each. Map-only: a page needs nothing from other pages, so no source or copy is hot.
+    Null, empty and blank texts are no spam; repeated rows give a row each. Map-only: a page needs nothing from other
+    pages, so no source or copy is hot.
     """
     kept = [key, *(keep or [])]
     data = documents.select(*kept, F.col(text).alias("__text")).filter(F.col("__text").isNotNull())

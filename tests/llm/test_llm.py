@@ -191,6 +191,24 @@ def test_spam_of_sentences_that_repeat_a_phrase(spark):
     assert sorted(r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id int, text string")).collect()) == [1, 2]
 
 
+def test_spam_is_told_by_shapes(spark):
+    tags = "\n".join(f"#{a}{b}" for a in ("Warm", "cold", "Old") for b in ("Lamp", "clock", "Tray", "rack"))
+    assert spam.spam_share(tags)[0] == 1.0 and spam.spam_share(tags)[1] <= 3
+    # many keywords, each in a few stuffed sentences or phrases: no keyword is a large part of the page
+    things = [f"thing{n} part{n}" for n in range(34)]
+    stuffed = " ".join(f"Buy {t} now, {t} for every {t} from 20. Find {t} 3, compare {t}, order {t} today." for t in things)
+    phrases = "\n".join(f"{t} {t} cheap {t} best {t}" for t in things)
+    assert spam.spam_share(stuffed)[0] > 0.5 and spam.spam_share(phrases)[0] > 0.5
+    glossary = "\n".join(f"- The {t} keeps the lock for a reader and then releases it to the next one in the queue." for t in things)
+    assert spam.spam_share(glossary)[0] == 0.0
+    # what decides is the shape: with one shape for all, no page is told from another
+    page = spam.Page([])
+    first, second = (spam.shape_of(spam.Unit("line", x), page) for x in ("red lamp, best lamp, old lamp, lamp price", "tin tray, good tray, big tray, tray cost"))
+    assert first == second and not spam.is_sentence(first)
+    quoted = "> | Key | Owner |\n> | --- | --- |\n> | a_b | one team |\n" * 9
+    assert spam.spam_share(quoted)[0] == 0.0 and spam.spam_share("買い物、特価、買い物、特価、買い物、特価、買い物、特価、買い物、特価\n" * 5)[0] > 0.5
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
