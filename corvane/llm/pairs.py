@@ -1,4 +1,8 @@
-"""Defects of prompt and response pairs."""
+"""Defects of prompt and response pairs.
+
+Copies: the tokens of prompt and response are aligned by shingle containment and longest common subsequence. Refusals:
+sentences are aligned with templates (``refusals``). Languages: scripts and character n-gram profiles (``languages``).
+"""
 
 from __future__ import annotations
 
@@ -11,51 +15,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.context import materialize
 from corvane.functions.text import clean_role, strip_white
+from corvane.llm import languages, refusals
 from corvane.llm.conversations import slot_of
 from corvane.operators.deliveries import latest_deliveries
 
 # Templates, placeholders and function words.
 #: What stands for no answer, without outer marks.
 PLACEHOLDERS = frozenset("none|null|nil|nan|na|n/a|undefined|todo|tbd|tba|fixme|empty|blank|void|placeholder|pending|no answer|no response|no response generated|no answer generated|no output|no content|no text|no reply|no result|no results|no data|not available|not applicable|empty response|empty answer|response unavailable|answer unavailable|generation failed|an error occurred|something went wrong|internal error|internal server error|request timed out|timed out|timeout|please try again|please try again later|answer goes here|keine antwort|keine antwort verfügbar|pas de réponse|aucune réponse|sin respuesta|sin contenido|回答なし|なし|該当なし|未回答|無回答".split("|"))
-#: Refusals: all patterns of one line must be found in a sentence, whose quotations have been taken out.
-REFUSALS = {
-    "en": (
-        (r"\b(i|i'm|i'd|i've|me|my|we|us|our)\b", r"\b(can't|cannot|can not|won't|will not|wouldn't|am not able|not able|unable|not possible|must decline|have to decline|decline|refuse|rather not|prefer not|not allowed|not permitted|not have enough|don't have|lack|not in a position|nothing (i|we) can|not something (i|we)|outside (my|our)|beyond (my|our|what)|keeps? me from|prevents? me|leave (it|this|that) open|not guess|no answer|not authori[sz]ed|not going to|abstain)\b"),
-        (r"\b(can't|cannot|unable to|could not|not possible to|impossible to)\b", r"\b(answer|help|assist|respond|discuss|comment|fulfil+|process|provide)\b", r"\b(this|that|your|the) (question|request|query|topic|matter)\b"),
-        (r"\b(sources?|passages?|documents?|workspace)\b", r"\b(say nothing|nothing on|no answer|don't answer|do not answer|not settle|settles this)\b", r"\b(i|me|my|we)\b"),
-    ),
-    "de": (
-        (r"\b(ich|mir|mich|meine[rmn]?|wir|uns)\b", r"\b(nicht|nichts|kein\w*)\b", r"\b(sagen|beantwort\w*|antworte\w*|helfen|angaben|auskunft|äußern|weiterhelfen|mitteilen|behilflich|informationen)\b"),
-        (r"\bleider\b", r"\b(nicht|nichts|kein\w*)\b", r"\b(sagen|beantwort\w*|antwort\w*|helfen|auskunft|möglich)\b"),
-    ),
-    "fr": ((r"\b(je|j'|me|m'|moi|nous)", r"\b(pas|aucun\w*|rien|abstenir|abstiens|refuse|décline)\b", r"(répondre|réponse|abstenir|abstiens|aider|commenter|fournir|refuse|décline|me prononcer|traiter cette)"),),
-    "es": (
-        (r"\b(puedo|podemos|prefiero|dispongo|tengo|debo|quiero|siento|me|mí)\b", r"\b(no|fuera|sin|ni)\b", r"(responder|contestar|comentar|ayudar|opinar|decir(le|te)?\b|dispongo|proporcionar|abstengo|atender)"),
-    ),
-    "ja": ((r"(お答え|お応え|回答|返答|対応|お手伝い|ご案内|コメント)(は|を|も)?(でき|いたしかね|しかね|控え|差し控え|致しかね|いたしません|しません)",), (r"(申し訳|恐れ入り|残念)", r"(できません|できかね|かねます|ありません)")),
-}
-_REFUSALS = [tuple(re.compile(p, re.I) for p in patterns) for own in REFUSALS.values() for patterns in own]
-#: Sentences that go along with a refusal and tell nothing.
-_ALONG = re.compile(r"^(try to rephrase|please (ask|contact|consult|try|rephrase|check)|is there (something|anything)|what came closest|you would like to know|let me know|feel free|(i'm |i am |we are |so )?sorry\b|(i |we )?apologi[sz]e|thanks? (you )?for|as an (assistant|ai|language)|unfortunately|regrettably|contact )", re.I)
 #: Words that dress up a copied question.
 _DRESS = frozenset("q a question answer frage antwort réponse respuesta pregunta your votre ihre su you asked ask sure here is the to of p br b i em strong div span html body blockquote user assistant prompt 質問 回答 質 問 回 答 ご は".split())
-#: Function words by which a language is told; only those that no other of the languages has.
+#: Words by which a lead-in speaks of the question itself.
+_OF_ASKING = frozenset("question ask asked asking asks message prompt request query wrote written repeat repeated answer reply frage gefragt fragten fragen antwort anfrage nachricht demande demandé question réponse message pregunta preguntó preguntaste pregunta respuesta mensaje consulta 質 問 答".split())
+#: Function words; a short answer with one that no phrase has is a sentence.
 FUNCTION_WORDS = {
-    "en": "the and is are was were be been of which what who how why when does do did with from by this that it its an has have had will would can could should must may not but than then before after while unless until because whenever older every each there their they at as owns means answer handles explain".split(),
-    "de": "der die das und ist sind war wird werden wurde wie was wer warum wann welcher welche welches nicht mit von bei für auf ein eine einer eines einem einen im zum zur dem den des sie bleibt wenn dass sobald nach aus oder auch kann muss darf liegt alle dieser dafür dienst bedeutet".split(),
-    "fr": "le les des du et est sont était qui que quel quelle quels quelles pourquoi comment quand ne pas avec dans par sur un une pour ce cette il elle lorsque dès aux au mais ou où pendant avant après chaque doit peut je d l c s n qu service signifie gère".split(),
-    "es": "el los las del y es son era qué cuál cuándo cómo quién por para con en un una al cuando desde hasta que se lo su sus sin más hay está están queda antes después cada debe puede esta este eso significa gestiona servicio falta".split(),
+    "en": "the and is are was were be been of which what who how why when does do did with from by this that it its an has have had will would can could should must may not but than then before after while unless until because whenever every each there their they at as".split(),
+    "de": "der die das und ist sind war wird werden wurde wie was wer warum wann welcher welche welches nicht mit von bei für auf ein eine einer eines einem einen im zum zur dem den des sie wenn dass sobald nach aus oder auch kann muss darf alle dieser dafür".split(),
+    "fr": "le les des du et est sont était qui que quel quelle quels quelles pourquoi comment quand ne pas avec dans par sur un une pour ce cette il elle lorsque dès aux au mais ou où pendant avant après chaque doit peut je qu".split(),
+    "es": "el los las del y es son era qué cuál cuándo cómo quién por para con en un una al cuando desde hasta que se lo su sus sin más hay está están antes después cada debe puede esta este eso".split(),
 }
-_WORD_LANGUAGE: dict[str, str | None] = {}
-for _language, _words in FUNCTION_WORDS.items():
-    for _word in _words:
-        _WORD_LANGUAGE[_word] = None if _word in _WORD_LANGUAGE else _language
 #: Words with which no sentence or list item ends.
 _OPEN_WORDS = frozenset("the a an and or of to in on at by with from for than that which is are was were be its their if when while because unless until as but into through between after before der die das und oder mit von bei für auf ein eine einer im zum zur dem den des wenn dass weil le la les des du de et ou un une que qui dans par pour el los las del y o un una que en con por para se al su".split())
 #: Function words of phrases; any other one makes a sentence of a short answer.
 _PHRASE_WORDS = frozenset("the and of with from by its an before after until every each their at as der die das und mit von bei für auf ein eine einer eines einem einen im zum zur dem den des nach aus oder alle dieser le les des du et avec dans par sur un une pour ce cette au aux ou pendant avant après chaque el los las del y por para con en un una al desde hasta lo su sus sin más antes después cada este esta".split())
-_SENTENCE_WORDS = frozenset(w for w in _WORD_LANGUAGE if len(w) > 1) - _PHRASE_WORDS
+_ALL_FUNCTION_WORDS = frozenset(w for own in FUNCTION_WORDS.values() for w in own)
+_SENTENCE_WORDS = _ALL_FUNCTION_WORDS - _PHRASE_WORDS
 #: Whole answers of one word.
 _YES_OR_NO = frozenset("yes no ja nein oui non sí ok okay".split())
 
@@ -65,8 +50,9 @@ _SEEN = re.compile(r"[^\W_]")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
 _KANA = re.compile(r"[぀-ヿ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_LEAD_END = re.compile(r"[:\"“«「>‘„]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”»)]*\s+|(?<=[。！？])|\n+")
-_QUOTED = re.compile(r"\"[^\"\n]{2,200}\"|“[^”\n]{2,200}”|«[^»\n]{2,200}»|「[^」\n]{2,200}」")
+_QUOTED = re.compile(r"\"[^\"\n]{2,}\"|“[^”\n]{2,}”|«[^»\n]{2,}»|「[^」\n]{2,}」")
 _CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`", re.S)
 _ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+")
 _BARE_ITEM = re.compile(r"(?:^|\n)\s*(?:[-*•]|\d{1,3}[.)])\s*$")
@@ -92,101 +78,99 @@ def is_empty(answer: str | None) -> bool:
     return name in PLACEHOLDERS
 
 
-def is_refusal(answer: str) -> bool:
-    """Whether the answer declines: a sentence aligns with a refusal template and what else it says is little."""
-    text = _QUOTED.sub('""', _CITATION.sub("", answer).replace("’", "'"))
-    found, other = False, 0
-    closest = False
-    for sentence in _SENTENCE.split(text):
-        if not sentence or not sentence.strip():
+def is_refusal(answer: str, least: float = refusals.LEAST) -> bool:
+    """Whether the answer declines: a sentence, quotations taken out, fills a refusal template, and what else it says is
+    not more than that. Apologies, pointers elsewhere, questions and a list that a colon announces say nothing."""
+    text = _QUOTED.sub('""', _CITATION.sub("", answer))
+    declined = other = 0
+    listing = False
+    for sentence in map(str.strip, _SENTENCE.split(text)):
+        if not sentence:
             continue
-        if any(all(p.search(sentence) for p in patterns) for patterns in _REFUSALS):
-            found = True
-        elif closest and _ITEM.match(sentence):
+        size = len(tokens_of(sentence))
+        if refusals.refusal_score(sentence) >= least:
+            declined += size
+        elif (listing and _ITEM.match(sentence)) or sentence[-1] in "?？" or refusals.goes_along(sentence):
             continue
-        elif _ALONG.match(sentence.strip()):
-            closest = "closest" in sentence
-        elif sentence.rstrip().endswith(":"):
-            closest = True
+        elif sentence[-1] in ":：":
+            listing = True
         else:
-            other += len(tokens_of(sentence))
-    return found and other <= 12
-
-
-def _matched(question: list[str], answer: list[str]) -> list[int]:
-    """Places in ``answer`` of a longest common subsequence with ``question``."""
+            other += size
+    return declined > 0 and other <= declined
+
+
+def _common(question: list[str], answer: list[str]) -> tuple[int, int]:
+    """Lengths of the longest common subsequences of ``question`` with ``answer`` and with ``answer`` less its last
+    token, by Hyyrö's bit-parallel recurrence: a row of the table is one number, so each token of the answer is a step."""
+    masks: dict[str, int] = {}
+    for n, t in enumerate(question):
+        masks[t] = masks.get(t, 0) | 1 << n
+    full = (1 << len(question)) - 1
+    row = before = full
+    for t in answer:
+        before = row
+        hit = row & masks.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(question) - row.bit_count(), len(question) - before.bit_count()
+
+
+def _nothing_but(question: list[str], answer: list[str]) -> int:
+    """The number of tokens of ``answer`` that align with copies of ``question``, if it consists of nothing but these
+    and few changed tokens inside them, else 0."""
     n, m = len(question), len(answer)
-    rows = [[0] * (m + 1)]
-    for i in range(n):
-        last, now, q = rows[-1], [0] * (m + 1), question[i]
-        for j in range(m):
-            now[j + 1] = last[j] + 1 if q == answer[j] else max(last[j + 1], now[j])
-        rows.append(now)
-    places, i, j = [], n, m
-    while i and j:
-        if rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        else:
-            places.append(j - 1)
-            i, j = i - 1, j - 1
-    return places[::-1]
+    few = max(1, n // 5)
+    for whole, least in ((question, 0.6 * n), (question * (m // n + 1), 0.8 * n)):
+        found, shorter = _common(whole, answer)
+        copies = max(1, round(found / n))
+        if found >= least * copies and m - found <= copies * few and shorter < found:
+            # the first token is part of a copy as well
+            first, less = _common(whole[::-1], answer[::-1])
+            if less < first:
+                return found
+    return 0
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """Whether the answer has nothing but the question.
+    """Whether the answer has nothing but the question, once or more often.
 
-    The share of the answer's shingles (two tokens) that the question contains sorts out most pairs; for the others
-    the longest common subsequence is taken out of the answer, again while a further copy is in it. What is left may
-    only be dress (a lead-in up to a colon or quotation mark, labels) and a few changed words.
+    The share of the answer's shingles (two tokens) that the question contains sorts out most pairs; for the others a
+    longest common subsequence tells how many tokens of the answer belong to copies of the question. Besides these it
+    may hold dress: labels, a lead-in up to a colon or quotation mark (few words, or one that speaks of the question itself), and one
+    changed token in five.
     """
     if not question:
         return False
-    bare = _CITATION.sub("", answer)
+    bare = _CITATION.sub("", answer).casefold()
     q, a = tokens_of(question), tokens_of(bare)
-    if len(q) < 2 or not a or len(a) > 60 * len(q):
+    if not q or not a:
         return False
+    own = set(q)
+    if len(q) == 1:
+        return q[0] in a and all(t in own or t in _DRESS for t in a)
     pairs = set(zip(q, q[1:]))
-    contained = sum(x in pairs for x in zip(a, a[1:])) / max(1, len(a) - 1)
-    if contained < 0.3:
+    if sum(x in pairs for x in zip(a, a[1:])) < 0.15 * (len(a) - 1):
         return False
     if "".join(q) == "".join(a):
         return True
-    starts, rest, copies = [m.start() for m in _TOKEN.finditer(bare.casefold())], a, 0
-    while len(rest) >= 0.5 * len(q):
-        # one copy lies within a stretch not much longer than the question
-        places = _matched(q, rest[: 2 * len(q) + 14])
-        if len(places) < (0.6 if not copies else 0.8) * len(q):
+    undressed = lambda tokens: [t for t in tokens if t in own or t not in _DRESS]
+    if _nothing_but(q, undressed(a)):
+        return True
+    for mark in _LEAD_END.finditer(bare):
+        said = tokens_of(bare[: mark.end()])
+        lead = sum(t not in _ALL_FUNCTION_WORDS for t in undressed(said))
+        if lead > len(a) / 2:
             break
-        first, last = places[0], places[-1]
-        inner = last - first + 1 - len(places)
-        if inner > max(1, len(q) // 5):
-            return False
-        lead = rest[:first]
-        if lead and not all(t in _DRESS for t in lead):
-            opening = bare.casefold()[: starts[len(a) - len(rest) + first]].rstrip()[-1:]
-            if len(lead) > 10 or opening not in tuple(":\"“«「>'‘„"):
-                return False
-        rest, copies = rest[last + 1 :], copies + 1
-    return copies > 0 and all(t in _DRESS for t in rest)
-
-
-def language_of(text: str | None) -> str | None:
-    """The language of a text by script and function words (ja, en, de, fr, es), without code and quotations; None where that doesn't tell."""
-    if not text:
-        return None
-    own = _QUOTED.sub(" ", _CODE.sub(" ", text))
-    letters = sum(c.isalpha() for c in own)
-    if letters and _KANA.search(own) and len(_CJK.findall(own)) >= 0.2 * letters:
-        return "ja"
-    votes = Counter(x for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", own.casefold()) if (x := _WORD_LANGUAGE.get(w)))
-    if "¿" in own or "¡" in own:
-        votes["es"] += 2
-    if not votes:
-        return None
-    (best, n), *others = votes.most_common(2)
-    return best if not others or n >= 1.5 * others[0][1] + 0.5 else None
+        room = 2 if not _OF_ASKING.isdisjoint(said) else 0.2
+        copied = _nothing_but(q, undressed(tokens_of(bare[mark.end() :])))
+        if copied and lead <= max(1, room * copied):
+            return True
+    return False
+
+
+def differs(question: str | None, answer: str) -> bool:
+    """Whether the answer, code and quotations taken out, is in another language than the question."""
+    bare = lambda text: _QUOTED.sub(" ", _CODE.sub(" ", text or ""))
+    return languages.differs(bare(question), bare(answer))
 
 
 def _short_ending(bare: str) -> tuple[str, str | None]:
@@ -254,8 +238,7 @@ def defect_of(question: str | None, answer: str | None, by_design: bool) -> tupl
     ending, word = ending_of(answer)
     if ending == "broken":
         return "truncated", None
-    asked, said = language_of(question), language_of(answer)
-    if asked and said and asked != said:
+    if differs(question, answer):
         return "language", None
     return None, word
 
@@ -265,27 +248,18 @@ USUAL_SHARE, LEAST_SHARE = 0.08, 0.001
 _WORD_OR_END = re.compile(r"[^\W\d_]+|[.!?。！？]|\n")
 
 
-def word_ends(answers: DataFrame) -> DataFrame:
-    """For each word of the answers how often it is followed by another word (mid) and how often it ends a sentence
-    or a line (ends); an answer's own last word counts as neither. Counts are summed up within batches first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mid, ends = Counter(), Counter()
-            for text in b.column(0).to_pylist():
-                last = None
-                for t in _WORD_OR_END.findall(_CITATION.sub("", text).casefold()) if text else ():
-                    if t[0].isalpha():
-                        if last is not None:
-                            mid[last] += 1
-                        last = t
-                    elif last is not None:
-                        ends[last] += 1
-                        last = None
-            words = list(mid.keys() | ends.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([mid[w] for w in words], pa.int64()), pa.array([ends[w] for w in words], pa.int64())], names=["word", "mid", "ends"])
-
-    return answers.mapInArrow(run, "word string, mid long, ends long").groupBy("word").agg(F.sum("mid").alias("mid"), F.sum("ends").alias("ends"))
+def _count_ends(text: str, mid: Counter, ends: Counter) -> None:
+    """Counts for each word how often another word follows (mid) and how often it ends a sentence or line (ends); the
+    last word of the text counts as neither."""
+    last = None
+    for t in _WORD_OR_END.findall(_CITATION.sub("", text).casefold()):
+        if t[0].isalpha():
+            if last is not None:
+                mid[last] += 1
+            last = t
+        elif last is not None:
+            ends[last] += 1
+            last = None
 
 
 def message_pairs(messages: DataFrame) -> DataFrame:
@@ -324,19 +298,34 @@ def judge_pairs(pairs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame
     them. Repeated pair ids give one row each.
     """
 
+    names = ["pair_id", "defect", "word", "mid", "ends"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, questions, answers, designs = (c.to_pylist() for c in b.columns)
             found = [defect_of(q, a, bool(d)) for q, a, d in zip(questions, answers, designs)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([x for x, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["pair_id", "defect", "word"])
+            mid, ends = Counter(), Counter()
+            for a in answers:
+                if a:
+                    _count_ends(a, mid, ends)
+            words = list(mid.keys() | ends.keys())
+            none = [None] * len(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*ids, *none], pa.string()), pa.array([*(x for x, _ in found), *none], pa.string()), pa.array([*(w for _, w in found), *words], pa.string())]
+                + [pa.array([*[None] * len(ids), *(c[w] for w in words)], pa.int64()) for c in (mid, ends)], names=names
+            )
 
-    judged = pairs.select("pair_id", "question", "answer", "by_design").mapInArrow(run, "pair_id string, defect string, word string")
-    return _with_ends(judged, word_ends(pairs.select("answer")), least_share)
+    judged = pairs.select("pair_id", "question", "answer", "by_design").mapInArrow(run, "pair_id string, defect string, word string, mid long, ends long")
+    # verdicts and the words' counts come from one pass, which is written once and read for both
+    judged = materialize(judged, "pairs-judged")
+    verdicts = judged.filter("mid is null").select("pair_id", "defect", "word")
+    ends = judged.filter("mid is not null").groupBy("word").agg(F.sum("mid").alias("mid"), F.sum("ends").alias("ends"))
+    return _with_ends(verdicts, ends, least_share)
 
 
 def _with_ends(judged: DataFrame, ends: DataFrame, least_share: float) -> DataFrame:
     known = judged.filter("word is null").select("pair_id", "defect")
-    asked = judged.filter("word is not null").join(ends.select("word", "mid", "ends"), "word", "left")
+    asked = judged.filter("word is not null").join(ends, "word", "left")
     n_ends, uses = F.coalesce("ends", F.lit(0)), F.coalesce("ends", F.lit(0)) + F.coalesce("mid", F.lit(0))
     broken = F.when(uses == 0, F.length("word") <= 6).otherwise((n_ends + USUAL_SHARE) / (uses + 1) < least_share)
     return known.unionByName(asked.select("pair_id", F.when(broken, "truncated").alias("defect")))

@@ -103,6 +103,32 @@ def test_pair_defects(question, answer, design, defect):
     assert pairs.defect_of(question, answer, design)[0] == defect
 
 
+@pytest.mark.parametrize(
+    ("question", "answer", "defect"),
+    [
+        (QUESTION, "I can't rotate it; the Sable crew owns it.", None), (QUESTION, "We lack a second owner.", None), (QUESTION, "We do not share tokens between workspaces.", None), (QUESTION, "The cache cannot answer this request.", None), (QUESTION, "We decline requests over 30 rows.", None),
+        (QUESTION, "This assistant is forbidden from discussing the matter.", "refusal"), (QUESTION, "That falls outside what can be discussed here.", "refusal"), (QUESTION, "I am unable to assist with this request.", "refusal"), (QUESTION, "I cannot answer.", "refusal"), ("Quem é?", "Não posso responder a essa pergunta.", "refusal"),
+        (QUESTION, f"{QUESTION} " * 61, "copy"), (QUESTION, f"{QUESTION} " * 5, "copy"), ("Refund?", "Refund?", "copy"), (QUESTION, f"{QUESTION} Sable.", None), (QUESTION, f"Here is what you asked me about, as far as I understand the message above: {QUESTION}", "copy"),
+        (QUESTION, f"The Sable crew owns it and rotates it on Mondays: {QUESTION}", None), ("Is the cache frozen or idle?", "The cache is idle.", None), (QUESTION, "who owns a frozen service account", "copy"), (QUESTION, "x " * 20000 + "y.", None),
+        (QUESTION, "A conta pertence à equipe e é gerida por ela.", "language"), (QUESTION, "该帐户属于团队。", "language"), (QUESTION, "Учётная запись принадлежит команде.", "language"), (QUESTION, "L'account appartiene al gruppo e viene gestito da loro.", "language"), ("アカウントの所有者は誰ですか。", "It belongs to the crew that keeps the lock.", "language"),
+        ("アカウントの所有者は誰ですか。", "Sable Crew", None), ("Wem gehört das Konto?", "Osprey-router", None), ("Can they reset it?", "No.", None), ("?!", "It belongs to the Sable crew.", None),
+    ],
+)
+def test_copies_refusals_and_languages_by_alignment(question, answer, defect):
+    assert pairs.defect_of(question, answer, False)[0] == defect
+
+
+def test_common_subsequence_against_table():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert pairs._common(a, b) == (table[-1][-1], table[-1][-2])
+
+
 @pytest.mark.parametrize(
     ("answer", "ending"),
     [
