@@ -14,10 +14,12 @@ shares a key with it is lost, and no block is gathered in one task or compared a
 
 from __future__ import annotations
 
+import json
 import re
+import secrets
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from corvane.context import materialize, shared_folder
 
-KEYS, GRAM, WINDOW, MAX_RUNS = 10, 3, 32, 8
+KEYS, GRAM, WINDOW, MAX_RUNS = 10, 3, 32, 6
+#: Parts of the workspaces by which the base is laid out.
+PARTS = 8
 #: Words per allowed edit.
 PART = 10
 _WORDS = re.compile(r"[^\W_]+")
@@ -58,11 +62,11 @@ def _named(chunks: DataFrame) -> DataFrame:
     )
 
 
-def word_features(chunks: DataFrame, codes: bool = True) -> DataFrame:
-    """id, guest_id, the order columns and h (hash of workspace and words) of every chunk with words; with ``codes`` also
-    n (words) and code. Null ids can't be named and null workspaces have no others, so these rows are left out. Nulls
-    in the order columns come first."""
-    schema = "id string, guest_id string, batch_no int, at long, chunk_index int, h long" + ", n int, code string" * codes
+def word_features(chunks: DataFrame) -> DataFrame:
+    """id, guest_id, the order columns, h (hash of workspace and words), n (words) and code of every chunk with words.
+    Null ids can't be named and null workspaces have no others, so these rows are left out. Nulls in the order columns
+    come first."""
+    schema = "id string, guest_id string, batch_no int, at long, chunk_index int, h long, n int, code string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +78,11 @@ def word_features(chunks: DataFrame, codes: bool = True) -> DataFrame:
                 if words:
                     keep.append(k)
                     hashes.append(xxhash.xxh3_64_intdigest("\0".join([guest, *words]).encode("utf-8", "surrogatepass")))
-                    if codes:
-                        found.append(code_of(words, memory))
+                    found.append(code_of(words, memory))
             if keep:
                 rows = pa.array(keep)
-                more = [pa.array([len(c) for c in found], pa.int32()), pa.array(found, pa.string())] if codes else []
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), pa.array(np.array(hashes, np.uint64).view(np.int64)), *more], names=names)
+                values = [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array([len(c) for c in found], pa.int32()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), *values], names=names)
 
     return _named(chunks).mapInArrow(run, schema)
 
@@ -128,9 +131,9 @@ def sketches(codes: list[str]) -> np.ndarray:
 
 
 def key_entries(classes: DataFrame) -> DataFrame:
-    """(key, h, sketch) for every sort key of the classes with words enough for an edit, or one fewer, as an edit may
+    """(key, h, sketch, part) for every sort key of the classes with words enough for an edit, or one fewer, as an edit may
     add the missing one, marked as fresh."""
-    data = classes.filter(F.col("n") >= PART - 1).select("h", "guest_id", "code")
+    data = classes.filter(F.col("n") >= PART - 1).select("h", "guest_id", "code", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,9 +142,9 @@ def key_entries(classes: DataFrame) -> DataFrame:
             codes = b.column(2).to_pylist()
             found = sort_keys(codes, b.column(1).to_pylist())
             rows = np.repeat(np.arange(b.num_rows), found.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), b.column(0).take(pa.array(rows)), pa.array((sketches(codes) | _FRESH)[rows])], names=["key", "h", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), b.column(0).take(pa.array(rows)), pa.array((sketches(codes) | _FRESH)[rows]), b.column(3).take(pa.array(rows))], names=["key", "h", "sketch", "part"])
 
-    return data.mapInArrow(run, "key long, h long, sketch long")
+    return data.mapInArrow(run, "key long, h long, sketch long, part int")
 
 
 def _may_repeat(a: int, b: int) -> bool:
@@ -206,9 +209,9 @@ def _order(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c) for c in ("batch_no", "at", "chunk_index", "rep")])
 
 
-def _verified(pairs: DataFrame, batch: DataFrame, history: DataFrame | None) -> DataFrame:
-    """(late, early) of the (fresh, other, old) pairs whose words differ by few enough edits. The tables are bucketed by
-    h, so only the pairs move."""
+def _verified(pairs: DataFrame, batch: DataFrame, history: list[DataFrame]) -> DataFrame:
+    """(late, early, old) of the (fresh, other, old) pairs whose words differ by few enough edits. The tables are
+    bucketed by h, so only the pairs move."""
     columns = ["guest_id", "n", "code", "batch_no", "at", "chunk_index", "rep"]
 
     def side(table: DataFrame, name: str, key: str) -> DataFrame:
@@ -223,13 +226,14 @@ def _verified(pairs: DataFrame, batch: DataFrame, history: DataFrame | None) ->
     both = near(left.filter("not old").join(side(batch, "b", "other"), "other"))
     first = _order("a_") < _order("b_")
     out = both.select(F.when(first, F.col("other")).otherwise(F.col("fresh")).alias("late"), F.when(first, F.col("fresh")).otherwise(F.col("other")).alias("early"), F.lit(False).alias("old"))
-    if history is not None:
-        out = out.unionByName(near(left.filter("old").join(side(history, "b", "other"), "other")).select(F.col("fresh").alias("late"), F.col("other").alias("early"), F.lit(True).alias("old")))
+    for classes in history:
+        out = out.unionByName(near(left.filter("old").join(side(classes, "b", "other"), "other")).select(F.col("fresh").alias("late"), F.col("other").alias("early"), F.lit(True).alias("old")))
     return out
 
 
-def _repetitions(links: DataFrame) -> DataFrame:
-    """The h of the classes that aren't accepted: those with a link to an accepted earlier class; what is old is accepted.
+def _repetitions(links: DataFrame, keep: Callable[[DataFrame], str]) -> list[str]:
+    """Tables, written by ``keep``, of the h of the classes that aren't accepted: those with a link to an accepted
+    earlier class; what is old is accepted.
 
     In each round, what has no link to something earlier is accepted, what has a link to it is a repetition, and both
     leave, with the links to repetitions. The rounds are as many as the longest chain of decisions, commonly two.
@@ -237,11 +241,12 @@ def _repetitions(links: DataFrame) -> DataFrame:
     spark, done = links.sparkSession, []
     while not links.isEmpty():
         late = links.select(F.col("late").alias("early")).distinct()
-        cases = materialize(links.filter("old").select("late").unionByName(links.filter("not old").join(late, "early", "left_anti").select("late")).distinct(), "history-cases")
-        done.append(cases)
+        cases = links.filter("old").select("late").unionByName(links.filter("not old").join(late, "early", "left_anti").select("late")).distinct()
+        done.append(keep(cases.select(F.col("late").alias("h"))))
+        cases = spark.read.schema("h long").parquet(done[-1]).select(F.col("h").alias("late"))
         rest = links.join(cases, "late", "left_anti").filter("not old").join(cases.select(F.col("late").alias("early")), "early", "left_anti")
         links = materialize(rest.select("late", "early", "old"), "history-links")
-    return reduce(DataFrame.unionByName, done).select(F.col("late").alias("h")) if done else spark.createDataFrame([], "h long")
+    return done
 
 
 def _near_sketches(a: str, b: str) -> Column:
@@ -268,57 +273,140 @@ def _tiles(own: DataFrame, others: DataFrame, tile: int) -> DataFrame:
     return rows.join(columns, ["key", "i", "j"]).filter((F.col("fresh") != F.col("other")) & _near_sketches("s", "o")).select("fresh", "other", "old").distinct()
 
 
+class _Tables:
+    """Rows of one kind in a folder: a base, laid out by the workspaces' part and bucketed by a key, and runs appended
+    to it, bucketed alike, so that neither moves in a join by that key. Both are registered only while a batch is
+    taken in; ``run`` tells which rows are committed."""
+
+    def __init__(self, spark: SparkSession, folder: str, kind: str, key: str, state: dict) -> None:
+        self.spark, self.folder, self.kind, self.key, self.state = spark, folder, kind, key, state
+        self.names: dict[str, str] = {}
+
+    def _path(self, which: str) -> str:
+        return f"{self.folder}/{self.kind}-{which}-{self.state['version']}"
+
+    def _named(self, which: str, schema: str) -> str:
+        """The name under which the files of the base or the runs stand in the catalog."""
+        if which not in self.names:
+            name = f"corvane_{self.kind}_{which}_{uuid.uuid4().hex}"
+            parts = "PARTITIONED BY (part)" if which == "base" else ""
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet OPTIONS (compression 'zstd') {parts} CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {self.state['buckets']} BUCKETS LOCATION '{self._path(which)}'")
+            self.names[which] = name
+            if which == "base" and self.state["runs"]:
+                self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return self.names[which]
+
+    def append(self, rows: DataFrame, run: int) -> DataFrame:
+        """Appends ``rows`` (with part) as a run, to the base if there is none yet, and gives them as they are stored."""
+        which = "runs" if self.state["runs"] else "base"
+        stored = rows.repartition(self.state["buckets"], self.key).withColumn("run", F.lit(run).cast("long"))
+        columns = [c for c in stored.columns if c != "part"] + ["part"]
+        schema = ", ".join(f"{c} {stored.schema[c].dataType.simpleString()}" for c in columns)
+        self.state.setdefault("schemas", {})[self.kind] = schema
+        name = self._named(which, schema)
+        stored.select(*columns).write.mode("append").format("parquet").insertInto(name)
+        self.spark.catalog.refreshTable(name)
+        return self.spark.table(name).filter(F.col("run") == run)
+
+    def frames(self, parts: list[int] | None = None) -> list[DataFrame]:
+        """The committed rows of the base and of the runs that lie in the given parts. Of the base, no other part is read."""
+        if not self.state["runs"]:
+            return []
+        schema = self.state["schemas"][self.kind]
+        out = []
+        for which, runs in (("base", self.state["runs"][:1]), ("runs", self.state["runs"][1:])):
+            if runs:
+                df = self.spark.table(self._named(which, schema)).filter(F.col("run").isin(runs))
+                out.append(df if parts is None else df.filter(F.col("part").isin(parts)))
+        return out
+
+    def close(self) -> None:
+        """Takes the names out of the catalog; the files stay."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = {}
+
+
 class AcceptedHistory:
     """Accepted classes and the sorted runs of their keys, in a folder that all executors share.
 
-    The classes of each batch are a table bucketed by h; classes that turned out to be repetitions are listed apart and
-    leave the runs when these are merged. Runs are merged with a batch that is large against them or once there are more
-    than ``max_runs``; a small batch is sorted and added as a run of its own.
+    A batch adds a run of class rows and a run of key entries and reads of the history only what meets it: of the base
+    the parts of its workspaces, there the blocks with a key of its own. Neither base nor runs are written, sorted or
+    shuffled again for it. Classes that turned out to be repetitions are listed apart, left out in reading and dropped
+    when runs are merged, which happens once there are more than ``max_runs``. What counts is told by a manifest in the
+    folder, written last, so that a batch that broke off leaves nothing, and a new object on the folder goes on.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, window: int = WINDOW, max_runs: int = MAX_RUNS) -> None:
         self.spark, self.window, self.max_runs = spark, window, max_runs
         self.folder = folder or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-        self._tables: list[str] = []
-        self._runs: list[tuple[str, int]] = []
-        self._gone: list[str] = []
+        self.state = self._opened() or {"version": 0, "number": 0, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "gone": []}
+        self._tables()
+
+    def _tables(self) -> None:
+        self.classes, self.entries = _Tables(self.spark, self.folder, "classes", "h", self.state), _Tables(self.spark, self.folder, "entries", "key", self.state)
+
+    def _hadoop(self, path: str) -> tuple:
+        made = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return made, made.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _opened(self) -> dict | None:
+        """The state of the last manifest."""
+        pattern, files = self._hadoop(f"{self.folder}/manifest-*.json")
+        names = sorted(str(f.getPath().toString()) for f in files.globStatus(pattern) or [])
+        return json.loads(self.spark.read.text(names[-1], wholetext=True).first()[0]) if names else None
+
+    def _commit(self) -> None:
+        """Writes the manifest under another name first, so that it is there as a whole or not at all."""
+        self.state["number"] += 1
+        final, files = self._hadoop(f"{self.folder}/manifest-{self.state['number']:09d}.json")
+        part, _ = self._hadoop(f"{self.folder}/_{uuid.uuid4().hex}")
+        out = files.create(part)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        if not files.rename(part, final):
+            raise OSError(f"cannot write {final}")
 
     def _keep(self, df: DataFrame, kind: str) -> str:
         path = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def _bucketed(self, df: DataFrame) -> str:
-        name = f"corvane_classes_{uuid.uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("path", f"{self.folder}/{name}").option("compression", "zstd").bucketBy(buckets, "h").sortBy("h").saveAsTable(name)
-        return name
+    def _listed(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema("h long").parquet(*paths) if paths else self.spark.createDataFrame([], "h long")
 
-    def _all(self, paths: list[str]) -> DataFrame | None:
-        return self.spark.read.parquet(*paths) if paths else None
+    def _gone(self) -> DataFrame | None:
+        """The h of the classes that are repetitions but still stand in base or runs."""
+        return self._listed(self.state["gone"]) if self.state["gone"] else None
 
-    def accepted(self) -> DataFrame | None:
-        """The accepted classes of all batches so far."""
-        if not self._tables:
-            return None
-        found = reduce(DataFrame.unionByName, [self.spark.table(t).filter("kept_id is null").drop("kept_id") for t in self._tables])
-        return found.join(self._all(self._gone), "h", "left_anti")
-
-    def runs(self) -> DataFrame | None:
-        """The entries of all runs, none of them fresh."""
-        paths = [p for p, _ in self._runs]
-        return None if not paths else self._all(paths).select("key", "h", F.col("sketch").bitwiseAND(F.lit(~_FRESH)).alias("sketch"))
+    def accepted(self, parts: list[int] | None = None) -> list[DataFrame]:
+        """The class rows of base and runs that aren't copies of an accepted class; those in ``_gone`` aren't accepted."""
+        return [df.filter("kept_id is null").drop("kept_id", "many") for df in self.classes.frames(parts)]
 
     @staticmethod
     def _sorted(entries: DataFrame) -> DataFrame:
         return entries.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
 
     def compact(self) -> None:
-        """Merges all runs into one, without the entries of repetitions."""
-        if len(self._runs) > 1:
-            left = self.runs().join(self._all(self._gone), "h", "left_anti")
-            path = self._keep(self._sorted(left), "run")
-            self._runs = [(path, self._all([path]).count())]
+        """Merges base and runs into a new base, without repetitions and copies, with as many buckets as the session
+        has shuffle partitions."""
+        if len(self.state["runs"]) < 2 and not self.state["gone"]:
+            return
+        gone, run = self._gone(), secrets.randbits(62)
+        whole = lambda frames: reduce(DataFrame.unionByName, frames).drop("run")
+        old = self.state
+        classes, entries = whole([df.filter("kept_id is null") for df in self.classes.frames()]), whole(self.entries.frames())
+        if gone is not None:
+            classes, entries = classes.join(gone, "h", "left_anti"), entries.join(gone, "h", "left_anti")
+        closing = (self.classes, self.entries)
+        self.state = {"version": old["version"] + 1, "number": old["number"], "buckets": int(self.spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "gone": []}
+        self._tables()
+        self.classes.append(classes, run)
+        self.entries.append(entries.withColumn("sketch", F.col("sketch").bitwiseAND(F.lit(~_FRESH))), run)
+        self.state["runs"] = [run]
+        for tables in (*closing, self.classes, self.entries):
+            tables.close()
+        self._commit()
 
     def add(self, chunks: DataFrame) -> DataFrame:
         """Takes in a batch (or several, in the order of batch_no, created_at, chunk_index, id) and gives (case_id,
@@ -330,29 +418,35 @@ class AcceptedHistory:
         pair of copies is ever formed, but each copy comes out with what its class repeats of the chunks accepted before
         the copy, or with the class's first chunk.
         """
+        return self.add_features(materialize(word_features(chunks), "history-features"))
+
+    def add_features(self, features: DataFrame) -> DataFrame:
+        """As ``add``, for the ``word_features`` of a batch, which are read several times."""
         first = F.min(F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep"))).alias("o")
-        grouped = word_features(chunks).groupBy("h").agg(first, F.max("id").alias("top"), F.min("id").alias("bottom"), F.first("guest_id").alias("guest_id"), F.first("n").alias("n"), F.first("code").alias("code"))
-        batch = grouped.select("h", "o.*", (F.col("top") != F.col("bottom")).alias("many"), "guest_id", "n", "code")
-        history = self.accepted()
-        batch = batch.withColumn("kept_id", F.lit(None).cast("string")) if history is None else batch.join(history.select("h", F.col("rep").alias("kept_id")), "h", "left")
-        name = self._bucketed(batch)
-        batch = self.spark.table(name)
+        grouped = features.groupBy("h").agg(first, F.max("id").alias("top"), F.min("id").alias("bottom"), F.first("guest_id").alias("guest_id"), F.first("n").alias("n"), F.first("code").alias("code"))
+        part = F.pmod(F.xxhash64("guest_id"), F.lit(PARTS)).cast("int")
+        batch = grouped.select("h", "o.*", (F.col("top") != F.col("bottom")).alias("many"), "guest_id", "n", "code", part.alias("part"))
+        run, gone = secrets.randbits(62), self._gone()
+        # not more than PARTS numbers
+        parts = [r[0] for r in features.select(part).distinct().collect()] if self.state["runs"] else []
+        history = self.accepted(parts)
+        kept_id = F.lit(None).cast("string")
+        for n, classes in enumerate(history):
+            known = classes.select("h", F.col("rep").alias(f"_rep{n}"))
+            batch = batch.join(known if gone is None else known.join(gone, "h", "left_anti"), "h", "left")
+            kept_id = F.coalesce(F.col(f"_rep{n}"), kept_id)
+        batch = batch.withColumn("kept_id", kept_id).drop(*[f"_rep{n}" for n in range(len(history))])
+        before = self.entries.frames(parts)
+        batch = self.classes.append(batch, run).drop("run")
         new = batch.filter("kept_id is null")
-        entries = key_entries(new)
-        if history is None:
-            path = self._keep(self._sorted(entries), "run")
-            runs = [(path, self._all([path]).count())]
-        else:
-            # merged into the key ranges of the runs so far
-            merged = self.runs().unionByName(entries)
-            path = self._keep(self._sorted(merged), "run")
-            size, before = self._all([path]).count(), sum(n for _, n in self._runs)
-            large = 4 * (size - before) >= before or len(self._runs) >= self.max_runs
-            runs = [(path, size)] if large else [*self._runs, (self._keep(self._sorted(self._all([path]).filter(F.col("sketch").bitwiseAND(F.lit(_FRESH)) != 0)), "run"), size - before)]
-        links, repetitions = self._compared(self._all([path]).withColumn("src", F.xxhash64("_metadata.file_path")), new, history)
-        kept = batch.select("h", F.col("rep").alias("kept_id"), F.struct("batch_no", "at", "chunk_index", "rep").alias("kept_at"))
-        known = batch.filter("kept_id is not null").select("h", "kept_id", F.lit(None).cast(kept.schema["kept_at"].dataType).alias("kept_at"))
-        copies = new.filter("many").join(repetitions, "h", "left_anti").select("h", F.col("rep").alias("kept_id"), F.struct("batch_no", "at", "chunk_index", "rep").alias("kept_at"))
+        fresh = self.entries.append(key_entries(new), run).select("key", "h", "sketch")
+        links, gone_now = self._compared(self._merged(fresh, before, gone), new, history)
+        repetitions = self._listed(gone_now)
+        order = F.struct("batch_no", "at", "chunk_index", "rep")
+        kept = batch.select("h", F.col("rep").alias("kept_id"), order.alias("kept_at"))
+        none = F.lit(None).cast(kept.schema["kept_at"].dataType).alias("kept_at")
+        known = batch.filter("kept_id is not null").select("h", "kept_id", none)
+        copies = new.filter("many").join(repetitions, "h", "left_anti").select("h", F.col("rep").alias("kept_id"), order.alias("kept_at"))
         lasting = links.join(repetitions.select(F.col("h").alias("late")), "late", "left_semi")
         within = lasting.filter("not old").join(repetitions.select(F.col("h").alias("early")), "early", "left_anti")
         named = within.join(kept.withColumnRenamed("h", "early"), "early").select(F.col("late").alias("h"), "kept_id", "kept_at")
@@ -361,40 +455,52 @@ class AcceptedHistory:
         after = links.filter("not old").join(rejected, "early", "left_semi").join(repetitions.select(F.col("h").alias("late")), "late", "left_anti")
         renamed = after.join(kept.withColumnRenamed("h", "late"), "late").select(F.col("early").alias("h"), "kept_id", "kept_at")
         verdicts = known.unionByName(copies).unionByName(named).unionByName(renamed)
-        if history is not None:
-            verdicts = verdicts.unionByName(lasting.filter("old").join(history.select(F.col("h").alias("early"), F.col("rep").alias("kept_id")), "early").select(F.col("late").alias("h"), "kept_id", F.lit(None).cast(kept.schema["kept_at"].dataType).alias("kept_at")))
+        for classes in history:
+            verdicts = verdicts.unionByName(lasting.filter("old").join(classes.select(F.col("h").alias("early"), F.col("rep").alias("kept_id")), "early").select(F.col("late").alias("h"), "kept_id", none))
         verdicts = materialize(verdicts, "history-verdicts")
-        self._tables.append(name)
-        self._runs = runs
-        self._gone.append(self._keep(repetitions, "gone"))
-        # the texts are read once more for the ids alone, which is less than to keep them all
-        members = word_features(chunks, codes=False).select("id", "h", F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep")).alias("at_id"))
+        self.state["gone"] += gone_now
+        self.state["runs"].append(run)
+        self.classes.close()
+        self.entries.close()
+        self._commit()
+        if len(self.state["runs"]) > self.max_runs:
+            self.compact()
+        members = features.select("id", "h", F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep")).alias("at_id"))
         found = members.join(verdicts, "h").filter("id <> kept_id and (kept_at is null or at_id > kept_at)")
         return found.select(F.col("id").alias("case_id"), "kept_id").distinct()
 
-    def _compared(self, merged: DataFrame, new: DataFrame, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Links (late, early, old) between similar classes, and the h of the classes that are repetitions."""
-        gone = self._all(self._gone)
+    def _merged(self, fresh: DataFrame, before: list[DataFrame], gone: DataFrame | None) -> DataFrame:
+        """The entries of all blocks (records of one key) that hold a fresh record and another one, in the order of their
+        keys. Entries of base and runs meet the fresh ones bucket by bucket; only what such blocks hold is sorted."""
+        keys = fresh.select("key")
+        matched = [df.join(keys, "key", "left_semi").select("key", "h", F.col("sketch").bitwiseAND(F.lit(~_FRESH)).alias("sketch")) for df in before]
+        several = fresh.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+        if not matched:
+            return materialize(self._sorted(fresh.join(several, "key", "left_semi")), "history-merged")
+        old = reduce(DataFrame.unionByName, matched)
+        old = materialize(old if gone is None else old.join(gone, "h", "left_anti"), "history-matched")
+        live = fresh.join(several.unionByName(old.select("key")).distinct(), "key", "left_semi")
+        return materialize(self._sorted(live.unionByName(old)), "history-merged")
+
+    def _compared(self, merged: DataFrame, new: DataFrame, history: list[DataFrame]) -> tuple[DataFrame, list[str]]:
+        """Links (late, early, old) between similar classes, and the tables of the h of the classes that are repetitions."""
         is_fresh = F.col("sketch").bitwiseAND(F.lit(_FRESH)) != 0
+        keep = lambda df: self._keep(df, "gone")
 
         def checked(pairs: DataFrame) -> DataFrame:
-            pairs = pairs.select("fresh", "other", "old").distinct()
-            if gone is not None:
-                pairs = pairs.filter("not old").unionByName(pairs.filter("old").join(gone.withColumnRenamed("h", "other"), "other", "left_anti").select("fresh", "other", "old"))
-            return _verified(pairs, new, history).distinct()
+            one_way = lambda pick, c: F.when(F.col("old"), F.col(c)).otherwise(pick("fresh", "other")).alias(c)
+            return _verified(pairs.select(one_way(F.greatest, "fresh"), one_way(F.least, "other"), "old").distinct(), new, history)
 
-        found = materialize(_scan(merged, self.window), "history-windows")
+        found = materialize(_scan(merged.withColumn("src", F.xxhash64("_metadata.file_path")), self.window), "history-windows")
         links = materialize(checked(found.filter("fresh is not null")), "history-links")
-        repetitions = _repetitions(links)
+        listed = _repetitions(links, keep)
         wide = self._cut(found)
         if wide is None:
-            return links, repetitions
+            return links, listed
         # blocks wider than a window: again with what is accepted now, which any of them may hold, until nothing changes
         merged = materialize(merged.join(wide, "key", "left_semi").select("key", "h", "sketch"), "history-wide")
-        if gone is not None:
-            merged = merged.filter(is_fresh).unionByName(merged.filter(~is_fresh).join(gone, "h", "left_anti"))
         while True:
-            left = materialize(merged.filter(is_fresh).join(repetitions, "h", "left_anti").unionByName(merged.filter(~is_fresh)), "history-wide")
+            left = materialize(merged.filter(is_fresh).join(self._listed(listed), "h", "left_anti").unionByName(merged.filter(~is_fresh)), "history-wide")
             found = materialize(_scan(self._sorted(left).withColumn("src", F.lit(0).cast("long")), self.window), "history-windows")
             more = materialize(checked(found.filter("fresh is not null")).join(links, ["late", "early"], "left_anti"), "history-links")
             if more.isEmpty():
@@ -407,22 +513,29 @@ class AcceptedHistory:
                 if more.isEmpty():
                     break
             links = links.unionByName(more.select(links.columns))
-            repetitions = _repetitions(links)
+            listed = _repetitions(links, keep)
         # a repetition left before it met all of its block: now with everything accepted there, which changes no verdict
-        cases = merged.filter(is_fresh).join(repetitions, "h", "left_semi")
+        cases = merged.filter(is_fresh).join(self._listed(listed), "h", "left_semi")
         more = materialize(checked(_tiles(cases, left, 8 * self.window)).join(links, ["late", "early"], "left_anti"), "history-links")
-        return links.unionByName(more.select(links.columns)), repetitions
+        return links.unionByName(more.select(links.columns)), listed
 
     def _cut(self, found: DataFrame) -> DataFrame | None:
         marks = found.filter("fresh is null")
         wide = marks.filter("not old").select("key")
         split = marks.filter("old").groupBy("key").count().filter("count > 1").select("key")
-        keys = materialize(wide.unionByName(split).distinct(), "history-cut")
-        return None if keys.isEmpty() else keys
-
-
-def repeated_chunks(chunks: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(case_id, kept_id) over all batches: batch 0 founds the history, the later ones are merged into it in order."""
-    history = AcceptedHistory(chunks.sparkSession, window=window)
-    number = F.coalesce(F.col("batch_no"), F.lit(0))
-    return history.add(chunks.filter(number <= 0)).unionByName(history.add(chunks.filter(number > 0)))
+        keys = wide.unionByName(split).distinct()
+        return None if keys.isEmpty() else materialize(keys, "history-cut")
+
+
+def repeated_chunks(chunks: DataFrame, window: int = WINDOW, max_runs: int = MAX_RUNS) -> DataFrame:
+    """(case_id, kept_id) over all batches: batch 0 founds the history, the later ones are added one by one in order.
+    The words of all chunks are read once and laid down by batch, so each batch reads its own rows only."""
+    spark = chunks.sparkSession
+    history = AcceptedHistory(spark, window=window, max_runs=max_runs)
+    path = f"{history.folder}/batches"
+    features = word_features(chunks).withColumn("_batch", F.greatest(F.col("batch_no"), F.lit(0)))
+    features.write.partitionBy("_batch").parquet(path)
+    rows = spark.read.schema(features.schema).parquet(path)
+    numbers = sorted(r[0] for r in rows.select("_batch").distinct().collect())
+    found = [history.add_features(rows.filter(F.col("_batch") == n).drop("_batch")) for n in numbers]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "case_id string, kept_id string")

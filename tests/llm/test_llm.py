@@ -273,7 +273,8 @@ def test_history_against_brute_force(spark, window):
     df = spark.createDataFrame(rows, "id string, guest_id string, batch_no int, chunk_index int, text string").withColumn("created_at", F.lit(None).cast("timestamp")).withColumn("h", F.lit("clash")).withColumn("code", F.lit(0))
     got = set(map(tuple, history.repeated_chunks(df, window=window).collect()))
     expected = _brute([(r[0], r[1], r[2], r[3], r[4]) for r in rows])
-    assert {a for a, _ in got} == {a for a, _ in expected} and got <= expected
+    # keys are lost by chance only: at least nine links of ten, in fact all of these
+    assert {a for a, _ in got} == {a for a, _ in expected} and got <= expected and len(got) >= 0.99 * len(expected)
 
 
 @pytest.mark.parametrize("window", [2, 32])
@@ -310,15 +311,49 @@ def test_later_copies_repeat_what_came_between(spark):
     assert sorted(tuple(r) for n in range(3) for r in store.add(df.filter(F.col("batch_no") == n)).collect()) == expected
 
 
-def test_history_by_batch(spark):
+def _chunk_rows(spark, rows):
+    return spark.createDataFrame([(i, g, b, 0, t) for i, g, b, t in rows], "id string, guest_id string, batch_no int, chunk_index int, text string").withColumn("created_at", F.lit(None).cast("timestamp"))
+
+
+def test_history_goes_on_in_a_new_object(spark, tmp_path):
     base = " ".join(f"w{n}" for n in range(30))
-    make = lambda rows: spark.createDataFrame([(i, "g", b, 0, t) for i, b, t in rows], "id string, guest_id string, batch_no int, chunk_index int, text string").withColumn("created_at", F.lit(None).cast("timestamp"))
-    store = history.AcceptedHistory(spark, max_runs=1)
-    assert store.add(make([("a", 0, base)])).count() == 0
-    assert list(map(tuple, store.add(make([("b", 1, base + " x"), ("c", 1, base)])).orderBy("case_id").collect())) == [("b", "a"), ("c", "a")]
-    assert store.add(make([("d", 2, "other " * 12)])).count() == 0 and store.add(make([]).limit(0)).count() == 0
-    store.compact()
-    assert list(map(tuple, store.add(make([("e", 3, base + " y"), ("f", 3, "other " * 13)])).orderBy("case_id").collect())) == [("e", "a"), ("f", "d")]
+    folder = f"file://{tmp_path}/history"
+    open_again = lambda: history.AcceptedHistory(spark, folder, max_runs=2)
+    assert open_again().add(_chunk_rows(spark, [("a", "g", 0, base)])).count() == 0
+    found = open_again().add(_chunk_rows(spark, [("b", "g", 1, base + " x"), ("c", "g", 1, base), ("d", "g", 1, "other " * 12)]))
+    assert sorted(map(tuple, found.collect())) == [("b", "a"), ("c", "a")]
+    # a batch that broke off: its rows lie in the tables, but no manifest tells of them
+    broken = open_again()
+    broken.classes.append(broken.classes.frames()[0].drop("run").withColumn("rep", F.lit("ghost")).withColumn("h", F.lit(1).cast("long")), 77)
+    broken.classes.close()
+    store = open_again()
+    assert store.add(_chunk_rows(spark, [])).count() == 0 and len(store.state["runs"]) == 1, "the third run has been merged"
+    assert store.state["gone"] == [] and sum(df.count() for df in store.accepted()) == 2 and sum(df.count() for df in store.entries.frames()) == 2 * history.KEYS
+    store.classes.close(), store.entries.close()
+    found = open_again().add(_chunk_rows(spark, [("e", "g", 3, base + " y"), ("f", "g", 3, "other " * 13)]))
+    assert sorted(map(tuple, found.collect())) == [("e", "a"), ("f", "d")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("corvane_")]
+
+
+def test_a_batch_reads_and_adds_in_proportion(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(30))
+    texts = {(g, k): text() for g in range(100) for k in range(20)}
+    store = history.AcceptedHistory(spark, f"file://{tmp_path}/history")
+    store.add(_chunk_rows(spark, [(f"a{g}-{k}", f"g{g}", 0, t) for (g, k), t in texts.items()]))
+    # one workspace in a hundred brings a batch of 1 %: 10 new texts and 10 changed ones
+    batch = _chunk_rows(spark, [(f"b{k}", "g7", 1, text()) for k in range(10)] + [(f"c{k}", "g7", 1, texts[7, k] + " more") for k in range(10)])
+    part = batch.select(F.pmod(F.xxhash64("guest_id"), F.lit(history.PARTS)).alias("p")).first().p
+    (base,) = store.entries.frames([part])
+    plan = base._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters" in plan and base.count() < 0.3 * 2000 * history.KEYS
+    merged, counts = store._merged, []
+    store._merged = lambda *x: counts.append((out := merged(*x)).count()) or out
+    assert sorted(map(tuple, store.add(batch).collect())) == [(f"c{k}", f"a7-{k}") for k in range(10)]
+    runs = store.entries.frames()
+    assert runs[0].count() == 2000 * history.KEYS and runs[1].count() == 20 * history.KEYS and store.state["runs"][1:]
+    # all that was sorted is the blocks that a record of the batch shares with another
+    assert 0 < counts[0] <= 2 * 20 * history.KEYS
 
 
 @settings(deadline=None, max_examples=40)
