@@ -41,6 +41,27 @@ def test_fill_respects_limits(items):
         assert (sizes[bins == b].sum(axis=0) <= limits).all()
 
 
+def test_fill_of_vectors_and_bad_items():
+    with pytest.raises(ValueError):
+        packing.fill(np.array([[51, 1, 1]]), np.array([50, 6, 60]))
+    assert packing.fill(np.empty((0, 3)), np.array([50, 6, 60])).tolist() == []
+    # segments and loss within the tokens' limits decide nothing
+    assert packing.binding(np.array([[5, 1, 5], [9, 1, 2]]), np.array([10, 10, 10])) == [0]
+    rng = np.random.default_rng(0)
+    tokens = np.clip(rng.lognormal(5.2, 1.0, 3000), 5, 2048).astype(int)
+    sizes = np.stack([tokens, np.ones(3000, int), np.clip(tokens * rng.beta(2, 2, 3000), 1, 1200).astype(int)], axis=1)
+    limits = np.array([2048, 16, 1200])
+    bins = packing.fill(sizes, limits)
+    assert all((np.bincount(bins, weights=sizes[:, d]) <= limits[d]).all() for d in range(3))
+    assert bins.max() + 1 <= 1.03 * np.ceil(sizes.sum(axis=0) / limits).max()
+
+
+def test_instruction_items(spark):
+    df = spark.createDataFrame([("a", "one two", "three"), ("b", None, "x"), ("c", "y", None), ("d", None, None)], "pair_id string, question string, answer string")
+    got = {r.pair_id: (r.n_tokens, r.n_loss) for r in packing.instruction_items(df).collect()}
+    assert got["b"][0] == got["b"][1] > 0 and got["c"][1] == 0 and got["d"] == (0, 0) and got["a"][0] > got["a"][1] > 0
+
+
 def test_packing(spark):
     rng = random.Random(3)
     sizes = [None, 0, 100, 100, 250, 7] + [rng.randint(1, 60) for _ in range(400)]
@@ -56,6 +77,7 @@ def test_packing(spark):
     assert parts == [(0, 0, 100), (1, 100, 100), (2, 200, 50)]
     assert all(sum(r.doc_id == n for r in got) == 1 for n in range(len(sizes)) if n not in (4, 5)) and [r.container_id for r in got if r.doc_id in (0, 1)] == [None, None]
     assert packing.pack(df.limit(0), "doc_id", capacity=100).count() == 0
+    assert {r.container_id[0] for r in got if r.container_id} <= set("fgs") and "l" not in got[0].asDict()
     few = packing.pack(df, "doc_id", capacity=100, max_segments=2).filter("container_id is not null").groupBy("container_id").count()
     assert few.agg(F.max("count")).first()[0] == 2
 
@@ -189,6 +211,27 @@ def test_chats(spark):
     assert [(r.session_no, r.turn_no, r.role) for r in got] == [(1, 1, "user"), (1, 2, "assistant"), (1, 3, "user"), (1, 4, "assistant")]
     assert conversations.conversations(chats, m, gap_seconds=3600).filter("chat_id = 'good'").agg(F.max("session_no")).first()[0] == 2
     assert conversations.chat_verdicts(chats.limit(0), m.limit(0)).count() == 0
+    for gap in (0.5, 3600.0, 1e9):  # whole chats don't depend on where sessions are cut
+        assert {r.chat_id for r in conversations.chat_verdicts(chats, m, gap).filter("kept").collect()} == {"good", "system", "tie"}
+    by_session = conversations.conversations(chats, m, gap_seconds=4 * 3600, whole_chats=False).collect()
+    assert {r.chat_id for r in by_session} == {"good", "system", "tie", "role", "unlisted"} and [r.role for r in by_session if r.chat_id == "role"] == ["user", "assistant"]
+
+
+def test_sessions_and_calibrated_gap(spark):
+    hours = [0, 0.01, 0.02, 0.03, 30, 30.01, 61, 61.02, 61.03, 61.04]  # short pauses within, long ones between
+    roles = ["u", "a", "u", "a", "u", "u", "u", "a", "u", "a"]
+    rows = [(f"{c}{n}", c, {"u": "user", "a": "bot"}[r], "x", 1.7e9 + h * 3600 + k, 1) for k, c in enumerate("pqrs") for n, (h, r) in enumerate(zip(hours, roles))]
+    m = spark.createDataFrame(rows, "id string, chat_id string, role string, content string, s double, received_at int").withColumn("created_at", F.timestamp_seconds("s"))
+    instants = conversations._instants(conversations.turns_of(m))
+    gap = conversations.calibrated_gap(instants)
+    assert 200 < gap < 20 * 3600
+    sessions = {(r.session_no, r.turns, r.reciprocal) for r in conversations.sessions_of(instants, gap).filter("chat_id = 'p'").collect()}
+    assert sessions == {(1, 4, True), (2, 2, False), (3, 4, True)}
+    chats = spark.createDataFrame([("p",)], "id string")
+    assert conversations.conversations(chats, m).count() == 0, "one session lacks its reply"
+    left = conversations.conversations(chats, m, whole_chats=False).filter("chat_id = 'p'").orderBy("turn_no").collect()
+    assert [(r.session_no, r.turn_no, r.role) for r in left] == [(s, n + 1, "user" if n % 2 == 0 else "assistant") for n, s in enumerate([1] * 4 + [3] * 4)]
+    assert conversations.calibrated_gap(instants.limit(0)) == float("inf")
 
 
 def test_spam(spark):
