@@ -15,6 +15,7 @@ shares a key with it is lost, and no block is gathered in one task or compared a
 from __future__ import annotations
 
 import json
+import math
 import re
 import secrets
 import uuid
@@ -25,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.context import materialize, shared_folder
@@ -33,6 +34,8 @@ from corvane.context import materialize, shared_folder
 KEYS, GRAM, WINDOW, MAX_RUNS = 10, 3, 32, 6
 #: Parts of the workspaces by which the base is laid out.
 PARTS = 8
+#: Entries of a bucket, some 24 bytes each.
+BUCKET_ENTRIES = 2_000_000
 #: Words per allowed edit.
 PART = 10
 _WORDS = re.compile(r"[^\W_]+")
@@ -205,13 +208,24 @@ def _scan(run_sorted: DataFrame, window: int) -> DataFrame:
     return run_sorted.select("key", "h", "sketch", "src").mapInArrow(run, "fresh long, other long, old boolean, key long")
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64("guest_id"), F.lit(PARTS)).cast("int").alias("part")
+
+
 def _order(prefix: str = "") -> Column:
-    return F.struct(*[F.col(prefix + c) for c in ("batch_no", "at", "chunk_index", "rep")])
+    return F.struct(*[F.col(prefix + c).alias(c) for c in ("batch_no", "at", "chunk_index", "rep")])
+
+
+def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``materialize``, with the number of rows, which is counted in writing."""
+    seen = Observation()
+    kept = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return kept, int(seen.get["n"])
 
 
 def _verified(pairs: DataFrame, batch: DataFrame, history: list[DataFrame]) -> DataFrame:
-    """(late, early, old) of the (fresh, other, old) pairs whose words differ by few enough edits. The tables are
-    bucketed by h, so only the pairs move."""
+    """LINKS of the (fresh, other, old) pairs whose words differ by few enough edits. The tables are bucketed by h, so only
+    the pairs move."""
     columns = ["guest_id", "n", "code", "batch_no", "at", "chunk_index", "rep"]
 
     def side(table: DataFrame, name: str, key: str) -> DataFrame:
@@ -222,30 +236,35 @@ def _verified(pairs: DataFrame, batch: DataFrame, history: list[DataFrame]) -> D
         # not an equality, which would become a join key and cost the tables their buckets
         return found.filter(f"not (a_guest_id < b_guest_id or a_guest_id > b_guest_id) and abs(a_n - b_n) <= {most} and levenshtein(a_code, b_code, {most}) >= 0")
 
+    def links(found: DataFrame, first: Column, old: bool) -> DataFrame:
+        pick = lambda a, b: F.when(first, a).otherwise(b)
+        ends = [(pick(F.col("other"), F.col("fresh")), _order("b_"), _order("a_")), (pick(F.col("fresh"), F.col("other")), _order("a_"), _order("b_"))]
+        (late, b_late, a_late), (early, a_early, b_early) = ends
+        return found.select(late.alias("late"), early.alias("early"), F.lit(old).alias("old"), pick(b_late, a_late).alias("late_at"), pick(a_early, b_early).alias("early_at"))
+
     left = pairs.join(side(batch, "a", "fresh"), "fresh")
-    both = near(left.filter("not old").join(side(batch, "b", "other"), "other"))
-    first = _order("a_") < _order("b_")
-    out = both.select(F.when(first, F.col("other")).otherwise(F.col("fresh")).alias("late"), F.when(first, F.col("fresh")).otherwise(F.col("other")).alias("early"), F.lit(False).alias("old"))
+    out = links(near(left.filter("not old").join(side(batch, "b", "other"), "other")), _order("a_") < _order("b_"), False)
     for classes in history:
-        out = out.unionByName(near(left.filter("old").join(side(classes, "b", "other"), "other")).select(F.col("fresh").alias("late"), F.col("other").alias("early"), F.lit(True).alias("old")))
+        out = out.unionByName(links(near(left.filter("old").join(side(classes, "b", "other"), "other")), F.lit(False), True))
     return out
 
 
-def _repetitions(links: DataFrame, keep: Callable[[DataFrame], str]) -> list[str]:
+def _repetitions(links: DataFrame, n: int, keep: Callable[[DataFrame], str]) -> list[str]:
     """Tables, written by ``keep``, of the h of the classes that aren't accepted: those with a link to an accepted
-    earlier class; what is old is accepted.
+    earlier class; what is old is accepted. ``n`` is the number of links.
 
     In each round, what has no link to something earlier is accepted, what has a link to it is a repetition, and both
     leave, with the links to repetitions. The rounds are as many as the longest chain of decisions, commonly two.
     """
     spark, done = links.sparkSession, []
-    while not links.isEmpty():
+    links = links.select("late", "early", "old")
+    while n:
         late = links.select(F.col("late").alias("early")).distinct()
         cases = links.filter("old").select("late").unionByName(links.filter("not old").join(late, "early", "left_anti").select("late")).distinct()
         done.append(keep(cases.select(F.col("late").alias("h"))))
         cases = spark.read.schema("h long").parquet(done[-1]).select(F.col("h").alias("late"))
         rest = links.join(cases, "late", "left_anti").filter("not old").join(cases.select(F.col("late").alias("early")), "early", "left_anti")
-        links = materialize(rest.select("late", "early", "old"), "history-links")
+        links, n = _counted(rest.select("late", "early", "old"), "history-links")
     return done
 
 
@@ -273,6 +292,13 @@ def _tiles(own: DataFrame, others: DataFrame, tile: int) -> DataFrame:
     return rows.join(columns, ["key", "i", "j"]).filter((F.col("fresh") != F.col("other")) & _near_sketches("s", "o")).select("fresh", "other", "old").distinct()
 
 
+def _cases(features: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """(case_id, kept_id): the members of the classes with what they repeat."""
+    members = features.select("id", *keys, F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep")).alias("at_id"))
+    found = members.join(verdicts, keys).filter("id <> kept_id and (kept_at is null or at_id > kept_at)")
+    return found.select(F.col("id").alias("case_id"), "kept_id").distinct()
+
+
 class _Tables:
     """Rows of one kind in a folder: a base, laid out by the workspaces' part and bucketed by a key, and runs appended
     to it, bucketed alike, so that neither moves in a join by that key. Both are registered only while a batch is
@@ -340,7 +366,7 @@ class AcceptedHistory:
     def __init__(self, spark: SparkSession, folder: str | None = None, window: int = WINDOW, max_runs: int = MAX_RUNS) -> None:
         self.spark, self.window, self.max_runs = spark, window, max_runs
         self.folder = folder or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-        self.state = self._opened() or {"version": 0, "number": 0, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "gone": []}
+        self.state = self._opened() or {"version": 0, "number": 0, "buckets": 0, "runs": [], "gone": []}
         self._tables()
 
     def _tables(self) -> None:
@@ -387,9 +413,14 @@ class AcceptedHistory:
     def _sorted(entries: DataFrame) -> DataFrame:
         return entries.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
 
+    def _buckets(self, chunks: int) -> int:
+        """Buckets for a base of so many chunks: a core for each, or more where these would hold over ``BUCKET_ENTRIES``, up
+        to the session's shuffle partitions."""
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(most, max(self.spark.sparkContext.defaultParallelism, math.ceil(chunks * KEYS / BUCKET_ENTRIES))))
+
     def compact(self) -> None:
-        """Merges base and runs into a new base, without repetitions and copies, with as many buckets as the session
-        has shuffle partitions."""
+        """Merges base and runs into a new base, without repetitions and copies."""
         if len(self.state["runs"]) < 2 and not self.state["gone"]:
             return
         gone, run = self._gone(), secrets.randbits(62)
@@ -399,7 +430,7 @@ class AcceptedHistory:
         if gone is not None:
             classes, entries = classes.join(gone, "h", "left_anti"), entries.join(gone, "h", "left_anti")
         closing = (self.classes, self.entries)
-        self.state = {"version": old["version"] + 1, "number": old["number"], "buckets": int(self.spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "gone": []}
+        self.state = {"version": old["version"] + 1, "number": old["number"], "buckets": self._buckets(sum(df.count() for df in self.classes.frames())), "runs": [], "gone": []}
         self._tables()
         self.classes.append(classes, run)
         self.entries.append(entries.withColumn("sketch", F.col("sketch").bitwiseAND(F.lit(~_FRESH))), run)
@@ -422,13 +453,18 @@ class AcceptedHistory:
 
     def add_features(self, features: DataFrame) -> DataFrame:
         """As ``add``, for the ``word_features`` of a batch, which are read several times."""
+        parts = [r[0] for r in features.select(_part()).distinct().collect()]  # not more than PARTS numbers
+        return _cases(features, self.spark.read.parquet(self._judged(features, parts)), ["h"])
+
+    def _judged(self, features: DataFrame, parts: list[int]) -> str:
+        """Takes in a batch and gives the table (h, kept_id, kept_at) of what its classes repeat; kept_at is the place from
+        which on a copy repeats that, null for all."""
         first = F.min(F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep"))).alias("o")
         grouped = features.groupBy("h").agg(first, F.max("id").alias("top"), F.min("id").alias("bottom"), F.first("guest_id").alias("guest_id"), F.first("n").alias("n"), F.first("code").alias("code"))
-        part = F.pmod(F.xxhash64("guest_id"), F.lit(PARTS)).cast("int")
-        batch = grouped.select("h", "o.*", (F.col("top") != F.col("bottom")).alias("many"), "guest_id", "n", "code", part.alias("part"))
+        batch = grouped.select("h", "o.*", (F.col("top") != F.col("bottom")).alias("many"), "guest_id", "n", "code", _part())
         run, gone = secrets.randbits(62), self._gone()
-        # not more than PARTS numbers
-        parts = [r[0] for r in features.select(part).distinct().collect()] if self.state["runs"] else []
+        if not self.state["runs"]:
+            self.state["buckets"] = self._buckets(features.count())
         history = self.accepted(parts)
         kept_id = F.lit(None).cast("string")
         for n, classes in enumerate(history):
@@ -441,23 +477,15 @@ class AcceptedHistory:
         new = batch.filter("kept_id is null")
         fresh = self.entries.append(key_entries(new), run).select("key", "h", "sketch")
         links, gone_now = self._compared(self._merged(fresh, before, gone), new, history)
+        verdicts = batch.filter("kept_id is not null").select("h", "kept_id", F.lit(None).cast(links.schema["late_at"].dataType).alias("kept_at"))
         repetitions = self._listed(gone_now)
-        order = F.struct("batch_no", "at", "chunk_index", "rep")
-        kept = batch.select("h", F.col("rep").alias("kept_id"), order.alias("kept_at"))
-        none = F.lit(None).cast(kept.schema["kept_at"].dataType).alias("kept_at")
-        known = batch.filter("kept_id is not null").select("h", "kept_id", none)
-        copies = new.filter("many").join(repetitions, "h", "left_anti").select("h", F.col("rep").alias("kept_id"), order.alias("kept_at"))
-        lasting = links.join(repetitions.select(F.col("h").alias("late")), "late", "left_semi")
-        within = lasting.filter("not old").join(repetitions.select(F.col("h").alias("early")), "early", "left_anti")
-        named = within.join(kept.withColumnRenamed("h", "early"), "early").select(F.col("late").alias("h"), "kept_id", "kept_at")
+        # of a link both ends' fates: the later one of a repetition and what it repeats, if that is accepted
+        fates = links.join(repetitions.select(F.col("h").alias("late"), F.lit(True).alias("late_gone")), "late", "left").join(repetitions.select(F.col("h").alias("early"), F.lit(True).alias("early_gone")), "early", "left").filter("late_gone is null or early_gone is null")
+        named = fates.filter("late_gone is not null").select(F.col("late").alias("h"), F.col("early_at.rep").alias("kept_id"), F.when(~F.col("old"), F.col("early_at")).alias("kept_at"))
         # what was accepted after the first member of a rejected class: its later members repeat that, too
-        rejected = repetitions.join(new.filter("many").select("h"), "h", "left_semi").select(F.col("h").alias("early"))
-        after = links.filter("not old").join(rejected, "early", "left_semi").join(repetitions.select(F.col("h").alias("late")), "late", "left_anti")
-        renamed = after.join(kept.withColumnRenamed("h", "late"), "late").select(F.col("early").alias("h"), "kept_id", "kept_at")
-        verdicts = known.unionByName(copies).unionByName(named).unionByName(renamed)
-        for classes in history:
-            verdicts = verdicts.unionByName(lasting.filter("old").join(classes.select(F.col("h").alias("early"), F.col("rep").alias("kept_id")), "early").select(F.col("late").alias("h"), "kept_id", none))
-        verdicts = materialize(verdicts, "history-verdicts")
+        renamed = fates.filter("early_gone is not null and not old").select(F.col("early").alias("h"), F.col("late_at.rep").alias("kept_id"), F.col("late_at").alias("kept_at"))
+        copies = new.filter("many").join(repetitions, "h", "left_anti").select("h", F.col("rep").alias("kept_id"), _order().alias("kept_at"))
+        path = self._keep(verdicts.unionByName(copies).unionByName(named).unionByName(renamed), "verdicts")
         self.state["gone"] += gone_now
         self.state["runs"].append(run)
         self.classes.close()
@@ -465,9 +493,7 @@ class AcceptedHistory:
         self._commit()
         if len(self.state["runs"]) > self.max_runs:
             self.compact()
-        members = features.select("id", "h", F.struct("batch_no", "at", "chunk_index", F.col("id").alias("rep")).alias("at_id"))
-        found = members.join(verdicts, "h").filter("id <> kept_id and (kept_at is null or at_id > kept_at)")
-        return found.select(F.col("id").alias("case_id"), "kept_id").distinct()
+        return path
 
     def _merged(self, fresh: DataFrame, before: list[DataFrame], gone: DataFrame | None) -> DataFrame:
         """The entries of all blocks (records of one key) that hold a fresh record and another one, in the order of their
@@ -492,8 +518,8 @@ class AcceptedHistory:
             return _verified(pairs.select(one_way(F.greatest, "fresh"), one_way(F.least, "other"), "old").distinct(), new, history)
 
         found = materialize(_scan(merged.withColumn("src", F.xxhash64("_metadata.file_path")), self.window), "history-windows")
-        links = materialize(checked(found.filter("fresh is not null")), "history-links")
-        listed = _repetitions(links, keep)
+        links, n = _counted(checked(found.filter("fresh is not null")), "history-links")
+        listed = _repetitions(links, n, keep)
         wide = self._cut(found)
         if wide is None:
             return links, listed
@@ -502,18 +528,18 @@ class AcceptedHistory:
         while True:
             left = materialize(merged.filter(is_fresh).join(self._listed(listed), "h", "left_anti").unionByName(merged.filter(~is_fresh)), "history-wide")
             found = materialize(_scan(self._sorted(left).withColumn("src", F.lit(0).cast("long")), self.window), "history-windows")
-            more = materialize(checked(found.filter("fresh is not null")).join(links, ["late", "early"], "left_anti"), "history-links")
-            if more.isEmpty():
+            more, extra = _counted(checked(found.filter("fresh is not null")).join(links, ["late", "early"], "left_anti"), "history-links")
+            if not extra:
                 cut = self._cut(found)
                 if cut is None:
                     break
                 rest = left.join(cut, "key", "left_semi")
                 pairs = _tiles(rest.filter(is_fresh), rest, 8 * self.window).filter("old or fresh < other")
-                more = materialize(checked(pairs).join(links, ["late", "early"], "left_anti"), "history-links")
-                if more.isEmpty():
+                more, extra = _counted(checked(pairs).join(links, ["late", "early"], "left_anti"), "history-links")
+                if not extra:
                     break
-            links = links.unionByName(more.select(links.columns))
-            listed = _repetitions(links, keep)
+            links, n = links.unionByName(more.select(links.columns)), n + extra
+            listed = _repetitions(links, n, keep)
         # a repetition left before it met all of its block: now with everything accepted there, which changes no verdict
         cases = merged.filter(is_fresh).join(self._listed(listed), "h", "left_semi")
         more = materialize(checked(_tiles(cases, left, 8 * self.window)).join(links, ["late", "early"], "left_anti"), "history-links")
@@ -534,8 +560,14 @@ def repeated_chunks(chunks: DataFrame, window: int = WINDOW, max_runs: int = MAX
     history = AcceptedHistory(spark, window=window, max_runs=max_runs)
     path = f"{history.folder}/batches"
     features = word_features(chunks).withColumn("_batch", F.greatest(F.col("batch_no"), F.lit(0)))
-    features.write.partitionBy("_batch").parquet(path)
+    features.write.partitionBy("_batch").option("compression", "zstd").parquet(path)
     rows = spark.read.schema(features.schema).parquet(path)
-    numbers = sorted(r[0] for r in rows.select("_batch").distinct().collect())
-    found = [history.add_features(rows.filter(F.col("_batch") == n).drop("_batch")) for n in numbers]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "case_id string, kept_id string")
+    # a number of each batch and, with it, at most PARTS others
+    parts: dict[int, list[int]] = {}
+    for r in rows.select("_batch", _part()).distinct().collect():
+        parts.setdefault(r[0], []).append(r[1])
+    tables = [(n, history._judged(rows.filter(F.col("_batch") == n).drop("_batch"), parts[n])) for n in sorted(parts)]
+    if not tables:
+        return spark.createDataFrame([], "case_id string, kept_id string")
+    verdicts = reduce(DataFrame.unionByName, [spark.read.parquet(table).withColumn("_batch", F.lit(n)) for n, table in tables])
+    return _cases(rows, verdicts, ["_batch", "h"])
