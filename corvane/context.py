@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,20 +52,36 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where the setting is missing (tests on
-    one machine) a temporary folder stands in; it is made once per process."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where the setting is missing, a temporary folder
+    stands in on one machine (local mode, as in tests); on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
     return _LOCAL[0]
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it back, which cuts the lineage: what an executor
     lost is read again from there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialize`` wrote in this application, and gives their number. Results that are yet to
+    be read from them must have been written elsewhere first."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

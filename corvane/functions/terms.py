@@ -58,15 +58,29 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.lower(text), "(?U)\\s+", " ")), 256)
 
 
+def _decimal_references(text: Column) -> Column:
+    """The text with decimal references (&#8217;) read; those of no character stay as they are."""
+
+    def read(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^(\d{1,7});", 1).try_cast("bigint")
+        good = number.between(1, 0xD7FF) | number.between(0xE000, 0xFFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 4, "0")), "UTF-16BE")
+        return F.when(good, F.concat(char, F.regexp_replace(part, r"^\d+;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#", -1)
+    read_all = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), read), ""))
+    return F.when(F.contains(text, F.lit("&#")), read_all).otherwise(text)
+
+
 def html_to_text(raw: Column) -> Column:
-    """Visible text of HTML; blocks become lines, six named entities and &#39; are read."""
+    """Visible text of HTML; blocks become lines, six named entities and decimal references are read."""
     steps = (
         (r"(?s)<!--.*?-->", " "), (r"(?is)<(script|style|noscript|template).*?</\1>", " "), (r"(?i)<br\s*/?>", "\n"), (f"(?i)</(?:{BLOCK_TAGS})>", "\n\n"), (f"(?i)<(?:{BLOCK_TAGS})\\b[^>]*>", "\n"), ("<[^>]+>", " "),
         ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", "\""), ("(?i)&#39;|&apos;", "'"),
     )
     for pattern, new in steps:
         raw = F.regexp_replace(raw, pattern, new)
-    return normalize_text(raw)
+    return normalize_text(_decimal_references(raw))
 
 
 def source_type(filename: Column) -> Column:

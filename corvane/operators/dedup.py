@@ -2,29 +2,142 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.terms import fingerprint
-from corvane.operators.dense import top_k
+from corvane.functions.terms import fingerprint, rounded
+from corvane.operators.dense import _units, top_k
 
+NEAR = 0.95
+#: Tables of hyperplanes and hyperplanes in a table: vectors at cosine 0.95 share a bucket of one table or more with odds of
+#: 1 - (1 - 0.9 ** 12) ** 24, more than 0.999.
+TABLES, PLANES = 24, 12
 
-def exact_duplicates(docs: DataFrame, key: str, scope: str, text: str = "text") -> DataFrame:
-    """key, kept_key of every row whose fingerprint an earlier row (by key) of its scope has. The first row of each
-    fingerprint comes from a map-side minimum and goes back to its copies by a join, so a fingerprint of any number of
-    copies is in no window. Null texts are no duplicates."""
-    marked = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(scope).alias("scope"), fingerprint(F.col(text)).alias("hash"))
-    first = marked.groupBy("scope", "hash").agg(F.min("key").alias("kept_key"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+
+def exact_duplicates(docs: DataFrame, key: str, scope: str, text: str = "text", order: list[str] | None = None) -> DataFrame:
+    """key, kept_key of every row whose fingerprint an earlier row of its scope has: earlier by ``order`` (columns such as
+    the arrival, nulls first), then by key. The first row of each fingerprint comes from a map-side minimum and goes
+    back to its copies by a join, so a fingerprint of any number of copies is in no window. Null texts are no
+    duplicates."""
+    place = F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate(order or [])], F.col(key).alias("k"))
+    marked = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(scope).alias("scope"), fingerprint(F.col(text)).alias("hash"), place.alias("place"))
+    first = marked.groupBy("scope", "hash").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("scope", "hash", F.col("first.k").alias("kept_key"))
     known = first.withColumnsRenamed({"scope": "its_scope", "hash": "its_hash"})
     return marked.join(known, (F.col("hash") == F.col("its_hash")) & F.col("scope").eqNullSafe(F.col("its_scope"))).filter("key <> kept_key").select("key", "kept_key")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """query, doc and score: each vector's most similar vector of another scope, if the cosine is ``threshold`` or more."""
+def near_duplicates(vectors: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """query, doc and score: each vector's most similar vector of another scope, if the cosine is ``threshold`` or more.
+    Exact: every pair of blocks is multiplied, which is for sets of some ten thousand vectors; beyond, take
+    ``near_duplicates_hashed``."""
     return top_k(vectors.select(F.col("doc").alias("query"), "vector", "scope"), vectors, 1, least=threshold).select("query", "doc", "score")
 
 
+def near_duplicates_hashed(vectors: DataFrame, threshold: float = NEAR, tables: int = TABLES, planes: int = PLANES, block: int = 512) -> DataFrame:
+    """As ``near_duplicates``, from candidates that share a bucket: the signs against random hyperplanes, the same for all
+    rows, in each of ``tables`` tables. Found by chance but nearly always; what is found is compared exactly.
+
+    Equal vectors of a scope are one row, so copies make no hot bucket; a bucket of more than ``block`` vectors is dealt
+    into tiles, and each pair of tiles is a group of its own.
+    """
+    doc = vectors.schema["doc"].dataType.simpleString()
+    # by scope and vector the first two rows are enough: the other one for a row is never itself
+    kept = vectors.filter("vector is not null").select("doc", F.col("vector").cast("array<double>").alias("vector"), F.col("scope").cast("string").alias("scope"))
+    firsts = kept.groupBy("scope", "vector").agg(F.min("doc").alias("doc"))
+
+    def signs(batches):
+        normals = None
+        for b in batches:
+            if b.empty:
+                continue
+            m = np.array(b["vector"].tolist(), np.float64)
+            if normals is None:
+                normals = np.random.default_rng(7).standard_normal((m.shape[1], tables * planes))
+            bits = ((m @ normals) > 0).reshape(len(m), tables, planes)
+            codes = bits @ (1 << np.arange(planes))
+            for t in range(tables):
+                yield pd.DataFrame({"t": t, "code": codes[:, t], "doc": b["doc"], "scope": b["scope"], "vector": b["vector"]})
+
+    hashed = firsts.mapInPandas(signs, f"t int, code long, doc {doc}, scope string, vector array<double>")
+    sizes = hashed.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("tiles"))
+    placed = hashed.join(sizes, ["t", "code"]).withColumn("i", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left, right = placed.withColumn("j", each), placed.withColumnRenamed("i", "j").withColumn("i", each)
+    keys = ["t", "code", "i", "j"]
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": [], "doc": [], "score": []})
+        b = b.sort_values("doc", ignore_index=True)
+        score = np.floor(_units(a["vector"]) @ _units(b["vector"]).T * 1e6 + 0.5) / 1e6
+        own = (a["scope"].to_numpy()[:, None] == b["scope"].to_numpy()[None, :]) & a["scope"].notna().to_numpy()[:, None]
+        score[own | (a["doc"].to_numpy()[:, None] == b["doc"].to_numpy()[None, :])] = -2
+        best = score.argmax(axis=1)
+        top = score[np.arange(len(a)), best]
+        rows = np.flatnonzero(top >= threshold)
+        return pd.DataFrame({"query": a["doc"].to_numpy()[rows], "doc": b["doc"].to_numpy()[best[rows]], "score": top[rows]})
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, f"query {doc}, doc {doc}, score double")
+    best = found.groupBy("query").agg(F.max(F.struct("score", F.struct("doc").alias("d"))).alias("b"), F.max("score").alias("score"))
+    # ties go to the first document
+    first = found.join(best.select("query", F.col("score").alias("top")), "query").filter("score = top").groupBy("query").agg(F.min("doc").alias("doc"), F.max("score").alias("score"))
+    # a copy has the partner of its first row
+    copies = kept.join(firsts.select("scope", "vector", F.col("doc").alias("query")).withColumnsRenamed({"scope": "its_scope", "vector": "its_vector"}), (F.col("vector") == F.col("its_vector")) & F.col("scope").eqNullSafe(F.col("its_scope")))
+    return copies.select(F.col("doc").alias("_own"), "query").join(first, "query").select(F.col("_own").alias("query"), "doc", "score")
+
+
+def dedupe_batch(batch: DataFrame, existing: DataFrame, corpus: DataFrame, threshold: float = NEAR, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(kept, skipped) of the chunks of incoming documents.
+
+    batch: document, chunk_index, page, hash, vector; existing: hash (of the workspace's other documents); corpus: doc,
+    vector, scope (their vectors). A chunk is skipped as 'exact' (similarity 1) if its hash exists or an earlier chunk of
+    its document has it; else as 'near' if its nearest vector of another document reaches ``threshold`` (matched_chunk), or
+    the first earlier kept chunk of its own document that does. kept: document, chunk_index (dense from 0), old_index,
+    hash, vector; skipped: document, chunk_index, page, reason, similarity, matched_chunk. With ``enabled`` false all are
+    kept. Documents go one by one through the last step, which depends on the order of their chunks.
+    """
+    data = batch.select("document", "chunk_index", "page", "hash", "vector")
+    if not enabled:
+        return renumbered(data.withColumn("old_index", F.col("chunk_index")), "document", "old_index").drop("chunk_index").withColumnRenamed("new_index", "chunk_index").select("document", "chunk_index", "old_index", "hash", "vector"), data.select("document", "chunk_index", "page", F.lit("").alias("reason"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("matched_chunk")).filter("false")
+    again = Window.partitionBy("document", "hash").orderBy("chunk_index")
+    marked = data.withColumn("_n", F.row_number().over(again)).join(existing.select("hash").distinct().withColumn("_known", F.lit(True)), "hash", "left")
+    exact = F.col("_known").isNotNull() | (F.col("_n") > 1)
+    marked = marked.withColumn("exact", exact).drop("_n", "_known")
+    asked = marked.filter("not exact").select(F.concat_ws("#", "document", "chunk_index").alias("query"), "vector", F.col("document").alias("scope"))
+    near = top_k(asked, corpus.select(F.col("doc").cast("string").alias("doc"), "vector", "scope"), 1, least=threshold).select("query", F.col("doc").alias("matched_chunk"), F.col("score").alias("best"))
+    joined = marked.withColumn("query", F.concat_ws("#", "document", "chunk_index")).join(near, "query", "left").drop("query")
+    kind = batch.schema["document"].dataType.simpleString()
+    schema = f"document {kind}, chunk_index int, page int, hash string, vector array<double>, reason string, similarity double, matched_chunk string"
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk_index", ignore_index=True)
+        reasons, similar, kept = [], [], []
+        for row, exact, best in zip(group["vector"], group["exact"], group["best"]):
+            reason, value = None, None
+            if exact:
+                reason, value = "exact", 1.0
+            elif best == best and best is not None:
+                reason, value = "near", float(best)
+            elif row is not None:
+                v = np.asarray(row, np.float64)
+                v = v / (np.linalg.norm(v) or 1.0)
+                close = np.flatnonzero(np.array(kept) @ v >= threshold) if kept else []
+                if len(close):
+                    reason, value = "near", float(kept[close[0]] @ v)
+                else:
+                    kept.append(v)
+            reasons.append(reason)
+            similar.append(value)
+        return group.assign(reason=reasons, similarity=similar)[["document", "chunk_index", "page", "hash", "vector", "reason", "similarity", "matched_chunk"]]
+
+    judged = joined.groupBy("document").applyInPandas(one, schema)
+    kept = renumbered(judged.filter("reason is null").withColumnRenamed("chunk_index", "old_index"), "document", "old_index")
+    return kept.select("document", F.col("new_index").alias("chunk_index"), "old_index", "hash", "vector"), judged.filter("reason is not null").select("document", "chunk_index", "page", "reason", rounded(F.col("similarity")).alias("similarity"), "matched_chunk")
+
+
 def renumbered(kept: DataFrame, document: str, order: str) -> DataFrame:
     """Kept chunks with dense numbers from 0 in their document."""
     return kept.withColumn("new_index", F.row_number().over(Window.partitionBy(document).orderBy(order)) - 1)

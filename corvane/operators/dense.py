@@ -26,34 +26,60 @@ def cosine_column(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), np.float64)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _cosines(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """All cosines of two lists of vectors; those of unequal length are compared over the shorter one's places."""
+    sizes = [v.map(len).to_numpy() for v in (left, right)]
+    if len(set(sizes[0]) | set(sizes[1])) == 1:
+        return _units(left) @ _units(right).T
+    out = np.zeros((len(left), len(right)))
+    for a in set(sizes[0]):
+        for b in set(sizes[1]):
+            rows, columns, n = np.flatnonzero(sizes[0] == a), np.flatnonzero(sizes[1] == b), min(a, b)
+            if n:
+                cut = lambda v, at, n=n: v.iloc[at].map(lambda x: x[:n])
+                out[np.ix_(rows, columns)] = _units(cut(left, rows)) @ _units(cut(right, columns)).T
+    return out
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, block: int = BLOCK) -> DataFrame:
     """query, doc, rank and score (6 digits) of the ``k`` most similar rows of each query, by cosine, ties by doc.
 
     ``queries`` has query, vector and, like ``rows`` (doc, vector), a scope; rows of the query's scope are left out where
-    both have one (own documents). Null vectors match nothing; a zero vector has cosine 0. Every query meets every row,
-    in blocks: both sides are dealt into blocks of about ``block`` by a hash, and one task multiplies a pair of blocks,
-    keeping k rows a query before the shuffle. Nothing is broadcast or collected.
+    both have one (own documents); a null scope is none. Where ``queries`` has a column allowed (ARRAY<STRING>) that
+    isn't null, only rows whose document it holds are given. Null vectors match nothing; a zero vector has cosine 0;
+    vectors of unequal length are compared over the shorter one's places. Every query meets every row, in blocks: both
+    sides are dealt into blocks of about ``block`` by a hash, and one task multiplies a pair of blocks, keeping k rows
+    a query before the shuffle. Nothing is broadcast or collected.
     """
     scoped = "scope" in queries.columns and "scope" in rows.columns
-    keep = lambda df, key: df.filter("vector is not null").select(key, "vector", F.col("scope").cast("string") if scoped else F.lit(None).cast("string").alias("scope"))
-    q, r = keep(queries, "query"), keep(rows, "doc")
+    limited = "allowed" in queries.columns and "document" in rows.columns
+    text = lambda there, name: (F.col(name) if there else F.lit(None)).cast("string").alias(name)
+    keep = lambda df, key, *more: df.filter("vector is not null").select(key, "vector", text(scoped, "scope"), *more)
+    q = keep(queries, "query", (F.col("allowed") if limited else F.lit(None)).cast("array<string>").alias("allowed"))
+    r = keep(rows, "doc", text(limited, "document"))
     n_q, n_r = (max(1, math.ceil(x.count() / block)) for x in (q, r))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(n_q))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_r - 1).cast("bigint"))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("doc"), F.lit(n_r))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.array(vectors.tolist(), np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["query", "doc", "score"]
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in columns})
         right = right.sort_values("doc", ignore_index=True)
-        score = np.floor(unit(left["vector"]) @ unit(right["vector"]).T * 1e6 + 0.5) / 1e6
+        score = np.floor(_cosines(left["vector"], right["vector"]) * 1e6 + 0.5) / 1e6
         if scoped:
-            score[(left["scope"].to_numpy()[:, None] == right["scope"].to_numpy()[None, :])] = -2
+            own = left["scope"].to_numpy()[:, None] == right["scope"].to_numpy()[None, :]
+            score[own & left["scope"].notna().to_numpy()[:, None]] = -2
+        if limited:
+            for n, allowed in enumerate(left["allowed"]):
+                if allowed is not None:
+                    score[n, ~right["document"].isin(set(allowed)).to_numpy()] = -2
         if least is not None:
             score[score < least] = -2
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]
@@ -65,6 +91,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, least: float | None = Non
     return ranked(q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(pair, schema), k)
 
 
+def letter_profile(text: Column) -> Column:
+    """How often each letter from a to z comes in a text, in lower case: a vector that needs no model. Null for null."""
+    lower = F.lower(text)
+    return F.when(text.isNotNull(), F.array(*[(F.length(lower) - F.length(F.translate(lower, c, ""))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"]))
+
+
 def embed(df: DataFrame, text: str, embedder, out: str = "vector", keep: list[str] | None = None) -> DataFrame:
     """Vectors of texts by a given function from a list of texts to a list of vectors, a batch at a time; a null text is
     embedded as the empty one."""

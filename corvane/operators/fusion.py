@@ -36,21 +36,26 @@ def weighted_rrf(dense: DataFrame, sparse: DataFrame, weights: tuple[float, floa
 
 
 def mode_overlap(runs: DataFrame) -> DataFrame:
-    """For each pair of modes of runs (mode, query, doc): shared documents and their share of the union (3 digits)."""
+    """For each pair of modes of runs (mode, query, doc) and each query of any mode: shared documents and their share of
+    the union (3 digits); 0 where a mode found nothing."""
     items = runs.select("mode", "query", "doc").distinct()
-    sizes = items.groupBy("mode", "query").agg(F.count(F.lit(1)).alias("n"))
+    every = items.select("mode").distinct().crossJoin(items.select("query").distinct())  # a few modes
+    sizes = every.join(items.groupBy("mode", "query").agg(F.count(F.lit(1)).alias("n")), ["mode", "query"], "left").select("mode", "query", F.coalesce("n", F.lit(0)).alias("n"))
     a, b = sizes.select(F.col("mode").alias("mode_a"), "query", F.col("n").alias("n_a")), sizes.select(F.col("mode").alias("mode_b"), "query", F.col("n").alias("n_b"))
     shared = items.select(F.col("mode").alias("mode_a"), "query", "doc").join(items.select(F.col("mode").alias("mode_b"), "query", "doc"), ["query", "doc"]).filter("mode_a < mode_b").groupBy("mode_a", "mode_b", "query").agg(F.count(F.lit(1)).alias("shared"))
     pairs = a.join(b, "query").filter("mode_a < mode_b").join(shared, ["mode_a", "mode_b", "query"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    return pairs.select("query", "mode_a", "mode_b", "shared", rounded(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+    return pairs.select("query", "mode_a", "mode_b", "shared", F.coalesce(rounded(F.try_divide("shared", F.col("n_a") + F.col("n_b") - F.col("shared"))), F.lit(0.0)).alias("jaccard"))
 
 
 def neighbours(primary: DataFrame, passages: DataFrame, budget: int, radius: int = RADIUS) -> DataFrame:
-    """Passages at most ``radius`` places from a primary one in its document: query, passage, anchor_rank and place in the
-    list of at most ``budget``. primary: query, rank, document, idx; passages: passage, document, page, idx. A passage
-    belongs to its best-ranked primary; primaries themselves are left out. Joined on document and place, so a long
-    document is spread over its places."""
-    near = primary.select("query", "rank", "document", F.explode(F.sequence(F.col("idx") - radius, F.col("idx") + radius)).alias("idx")).groupBy("query", "document", "idx").agg(F.min("rank").alias("anchor_rank"))
+    """Passages at most ``radius`` places from a primary one in its document: query, passage, anchor_rank, anchor_score and
+    place in the list of at most ``budget``. primary: query, rank, document, idx and, if there is one, score; passages:
+    passage, document, page, idx. A passage belongs to its best-ranked primary; places of primaries are left out.
+    Joined on document and place, so a long document is spread over its places."""
+    scored = primary if "score" in primary.columns else primary.withColumn("score", F.lit(None).cast("double"))
+    around = scored.select("query", "rank", "score", "document", F.explode(F.sequence(F.col("idx") - radius, F.col("idx") + radius)).alias("idx"))
+    near = around.groupBy("query", "document", "idx").agg(F.min("rank").alias("anchor_rank"), F.min_by("score", "rank").alias("anchor_score"))
     near = near.join(primary.select("query", "document", "idx"), ["query", "document", "idx"], "left_anti")
     w = Window.partitionBy("query").orderBy("anchor_rank", "page", "idx", "passage")
-    return near.join(passages.select("passage", "document", "page", "idx"), ["document", "idx"]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= budget).select("query", "passage", "anchor_rank", "place")
+    found = near.join(passages.select("passage", "document", "page", "idx"), ["document", "idx"])
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= budget).select("query", "passage", "anchor_rank", "anchor_score", "place")

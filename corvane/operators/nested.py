@@ -178,6 +178,24 @@ def verdicts(messages: DataFrame) -> DataFrame:
     return _one(messages, "citations", "citations.verdicts[]").filter("n.fields is not null").select("message_id", F.col("n.place").alias("verdict_no"), F.col("n.pre").alias("pre"), F.col("n.post").alias("post"), *_typed(fields))
 
 
+def verdict_lists(messages: DataFrame) -> DataFrame:
+    """message_id, verdict_no, status, citations and supported_by (ARRAY<INT>, entries that are no whole numbers left out)
+    of each verdict."""
+    verdict = "citations.verdicts[]"
+    paths = [f"{verdict}.{which}[]" for which in ("citations", "supported_by")]
+    rows = message_nodes(messages, ["citations"], (verdict, *paths), ("status",)).select("message_id", "nodes", F.explode(of_path(F.col("nodes"), verdict)).alias("v")).filter("v.fields is not null")
+    numbers = lambda path: F.filter(F.transform(below(F.col("nodes"), path, F.col("v")), lambda n: whole_number(n["value"]).cast("int")), lambda n: n.isNotNull())
+    return rows.select("message_id", F.col("v.place").alias("verdict_no"), field(F.col("v"), "status").alias("status"), numbers(paths[0]).alias("citations"), numbers(paths[1]).alias("supported_by"))
+
+
+def all_nodes(messages: DataFrame, column: str) -> DataFrame:
+    """message_id, path, place, pre and post of every node of a column, with parent_pre, the label of the innermost node
+    that holds it (null for the root): the intervals of a record are nested, so that is the latest one still open."""
+    rows = message_nodes(messages, [column]).select("message_id", F.explode("nodes").alias("n"), "nodes")
+    around = F.array_max(F.transform(F.filter("nodes", lambda p: (p["pre"] < F.col("n.pre")) & (p["post"] > F.col("n.post"))), lambda p: p["pre"]))
+    return rows.select("message_id", "n.path", "n.place", "n.pre", "n.post", around.alias("parent_pre"))
+
+
 def verdict_numbers(messages: DataFrame, which: str) -> DataFrame:
     """message_id, verdict_no, place and number of each entry of a verdict's ``which`` (citations or supported_by); the
     number is null if the entry is no whole number."""

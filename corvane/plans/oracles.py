@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corvane.functions.terms import BLOCK_TAGS, RAW_TOKEN, SOURCE_TYPES, STOPWORDS
+from corvane.operators import quality
 from corvane.operators.nested import CONFIDENCE_FIELDS, REPORT_FIELDS, SOURCE_FIELDS, STAT_FIELDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -26,13 +27,64 @@ def _terms(name: str, source: str, key: str, text: str, expand: bool = True) ->
 
 
 _ASKED = "asked AS (SELECT DISTINCT id, question FROM questions)"
-_INDEX = f"""{_terms('dt', 'documents', 'doc_id', 'text')}, postings AS (SELECT k AS doc, term, count(*) AS tf FROM dt GROUP BY 1, 2),
+
+
+def _index(source: str, key: str, text: str) -> str:
+    return f"""{_terms('dt', source, key, text)}, postings AS (SELECT k AS doc, term, count(*) AS tf FROM dt GROUP BY 1, 2),
     lengths AS (SELECT doc, sum(tf) AS dl FROM postings GROUP BY 1), vocabulary AS (SELECT term, count(*) AS df FROM postings GROUP BY 1), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths)"""
-_SCORES = f"""{_ASKED}, {_INDEX}, {_terms('qt', 'asked', 'id', 'question')}, qterms AS (SELECT DISTINCT k AS query, term FROM qt),
+
+
+def _scores(source: str, key: str, text: str) -> str:
+    return f"""{_ASKED}, {_index(source, key, text)}, {_terms('qt', 'asked', 'id', 'question')}, qterms AS (SELECT DISTINCT k AS query, term FROM qt),
     scores AS (SELECT query, p.doc, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1e6 + 0.5) / 1e6 AS score, count(*) AS matched
         FROM qterms JOIN vocabulary USING (term) JOIN postings p USING (term) JOIN lengths l ON p.doc = l.doc, stats GROUP BY 1, 2)"""
+
+
+_INDEX, _SCORES = _index("documents", "doc_id", "text"), _scores("documents", "doc_id", "text")
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scores"
-_TWO = f"""WITH {_SCORES}, s AS (SELECT * FROM ({_RANKED}) WHERE rank <= 20), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY matched DESC, doc) AS rank FROM scores) WHERE rank <= 20)"""
+
+
+def _profile(x: str) -> str:
+    return "[" + ", ".join(f"(length(lower({x})) - length(replace(lower({x}), '{c}', '')))::DOUBLE" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+def _similar(source: str, key: str, text: str, k: int) -> str:
+    """The rows of ``source`` most similar to each question by their letters; a vector without a norm has cosine 0."""
+    zero = "list_sum(list_transform({0}, lambda x: x * x)) = 0"
+    return f"""qv AS (SELECT id AS query, {_profile('question')} AS v FROM asked), dv AS (SELECT {key} AS doc, {_profile(text)} AS v FROM {source} WHERE {text} IS NOT NULL),
+    cosines AS (SELECT query, doc, CASE WHEN {zero.format('qv.v')} OR {zero.format('dv.v')} THEN 0 ELSE floor(list_cosine_similarity(qv.v, dv.v) * 1e6 + 0.5) / 1e6 END AS score FROM qv, dv),
+    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM cosines) WHERE rank <= {k})"""
+
+
+_TWO = f"""WITH {_SCORES}, s AS (SELECT * FROM ({_RANKED}) WHERE rank <= 20), {_similar('documents', 'doc_id', 'text', 20)}"""
+_FUSED = "fs AS (SELECT coalesce(d.query, s.query) AS query, coalesce(d.doc, s.doc) AS doc, d.rank AS dr, s.rank AS sr, d.score AS ds, s.score AS ss, coalesce({0}::DOUBLE / (60 + d.rank), 0) + coalesce({1}::DOUBLE / (60 + s.rank), 0) AS f FROM d FULL JOIN s ON d.query = s.query AND d.doc = s.doc), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(f, 12) DESC, dr NULLS LAST, sr NULLS LAST, doc) AS rank FROM fs)"
+_PASSAGES = "c AS (SELECT DISTINCT id, document_id, coalesce(chunk_index, 0) AS idx, coalesce(page, 1) AS page, text, concat_ws(' ', heading, text) AS told FROM chunks)"
+
+
+def _round(x: str, digits: int = 3) -> str:
+    return f"floor({x} * 1e{digits} + 0.5) / 1e{digits}"
+
+
+def _retrieved(mode: str, expand: bool) -> str:
+    """Statements up to ``found`` (the sources) for a mode: lists of 24, of which 20 are reranked and 8 kept."""
+    lists = f"WITH {_PASSAGES}, {_scores('c', 'id', 'told')}, s0 AS (SELECT query, doc, score, rank FROM ({_RANKED}) WHERE rank <= 24), {_similar('c', 'id', 'text', 24).replace('d AS (', 'd0 AS (')}"
+    lists += f", s AS (SELECT * FROM s0 WHERE {mode != 'dense'}), d AS (SELECT query, doc, score, rank FROM d0 WHERE {mode != 'sparse'})"
+    weights = {"hybrid": ("0.7", "0.3"), "dense": ("1", "0"), "sparse": ("0", "1")}[mode]
+    score = "f" if mode == "hybrid" else "coalesce(ds, ss)"
+    around = """near AS (SELECT p.query, p.document_id, i.idx, min(p.rank) AS anchor, min_by(p.score, p.rank) AS score FROM placed p, LATERAL (SELECT unnest(range(p.idx - 2, p.idx + 3)) AS idx) i GROUP BY 1, 2, 3),
+        around AS (SELECT n.query, c.id AS doc, n.score, row_number() OVER (PARTITION BY n.query ORDER BY anchor, page, c.idx, c.id) AS place FROM near n JOIN c ON c.document_id = n.document_id AND c.idx = n.idx WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.query = n.query AND p.document_id = n.document_id AND p.idx = n.idx)),"""
+    return f"""{lists}, {_FUSED.format(*weights)}, fused AS (SELECT query, doc, rank, {_round(score)} AS score, ds, ss, concat_ws(',', CASE WHEN dr IS NOT NULL THEN 'dense' END, CASE WHEN sr IS NOT NULL THEN 'sparse' END) AS retrieved_by FROM ranked WHERE rank <= 24),
+        pool AS (SELECT *, count(*) OVER (PARTITION BY query) AS p FROM fused WHERE rank <= 20), wide AS (SELECT query, count(*) AS q FROM qterms GROUP BY 1),
+        has AS (SELECT pool.query, pool.doc, p, qterms.term FROM pool JOIN qterms USING (query) JOIN postings ON postings.doc = pool.doc AND postings.term = qterms.term), dfs AS (SELECT query, term, count(*) AS pdf FROM has GROUP BY 1, 2),
+        sums AS (SELECT query, doc, sum(ln(1 + p / pdf)) AS s FROM has JOIN dfs USING (query, term) GROUP BY 1, 2),
+        scored AS (SELECT pool.*, CASE WHEN p > 1 AND q IS NOT NULL THEN {_round('least(1.0, coalesce(sums.s / (q * ln(1 + p)), 0))', 6)} END AS rr FROM pool LEFT JOIN wide USING (query) LEFT JOIN sums USING (query, doc)),
+        prime AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query ORDER BY rr DESC NULLS LAST, rank, doc) AS rank) FROM scored), pri AS (SELECT * FROM prime WHERE rank <= 8),
+        placed AS (SELECT pri.*, c.document_id, c.idx FROM pri JOIN c ON pri.doc = c.id), {around if expand else ''}
+        every AS (SELECT query, doc, 0 AS part, rank, score, ds, ss, rr, retrieved_by FROM pri {"UNION ALL SELECT query, doc, 1, place, score, NULL, NULL, NULL, 'neighbor' FROM around WHERE place <= 4" if expand else ''}),
+        found AS (SELECT query AS question_id, row_number() OVER (PARTITION BY query ORDER BY part, rank, doc) AS citation, doc AS chunk_id, score, {_round('ds')} AS dense_score, {_round('ss')} AS sparse_score, {_round('rr')} AS rerank_score, retrieved_by FROM every)"""
+
+
+_COVERAGE = f"""{_terms('ct', 'asked', 'id', 'question', expand=False)}, cq AS (SELECT DISTINCT k, term FROM ct), coverages AS (SELECT asked.id AS query, floor(coalesce(count(v.term) / nullif(count(cq.term), 0), 0) * 1e6 + 0.5) / 1e6 AS coverage FROM asked LEFT JOIN cq ON asked.id = cq.k LEFT JOIN vocabulary v ON cq.term = v.term GROUP BY 1)"""
 
 _PAIRS = "SELECT q.vec_id AS query, e.vec_id AS doc, floor(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) * 1e6 + 0.5) / 1e6 AS score, q.label AS ql, e.label AS el FROM embeddings q, embeddings e"
 _LATEST = "SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST) = 1"
@@ -58,7 +110,9 @@ def _html(x: str) -> str:
         ("&nbsp;", " ", "gi"), ("&amp;", "&", "gi"), ("&lt;", "<", "gi"), ("&gt;", ">", "gi"), ("&quot;", '"', "gi"), ("&#39;|&apos;", "''", "gi"),
     ):
         x = f"regexp_replace({x}, '{pattern}', {_quoted(new)}, '{flags}')"
-    return _normal(x)
+    number = r"TRY_CAST(regexp_extract(p, '^(\d{1,7});', 1) AS BIGINT)"
+    read = rf"CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 65535 THEN chr({number}::INT) || regexp_replace(p, '^\d+;', '') ELSE '&#' || p END"
+    return _normal(f"(string_split({x}, '&#')[1] || array_to_string(list_transform(string_split({x}, '&#')[2:], lambda p: {read}), ''))")
 
 
 def _json(x: str) -> str:
@@ -125,7 +179,80 @@ _D = "least(1.0, greatest(0.0, (top_dense_score - 0.55::DOUBLE) / (0.85::DOUBLE
 _K = "least(1.0, greatest(0.0, keyword_coverage))"
 _R = "least(1.0, greatest(0.0, mean_rerank_score))"
 
+_EDGES = r"^[\s\x0b]+|[\s\x0b]+$"
+_UNITS = r"string_split(regexp_replace({0}, '([.!?])[\s\x0b]+([A-Z(“\"''\d])', '\1' || chr(30) || '\2', 'g'), chr(30))"
+
+
+def _bare(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '{_CITATION}', '', 'g'), '{_WHITE}{{2,}}', ' ', 'g'), '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+
+
+_CITED_INTS = f"list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all({{0}}, '{_CITATION}', 1), lambda m: string_split(m, ','))), lambda n: trim(n)::INT)))"
+_CLAIMS = rf"""a AS (SELECT id AS key, content FROM ({_LATEST}) WHERE {_ROLE} = 'assistant' AND content IS NOT NULL),
+        l1 AS (SELECT key, unnest(ls) AS raw, unnest(range(len(ls))) AS l FROM (SELECT key, string_split(regexp_replace(content, '```.*?```', ' ', 'gs'), E'\n') AS ls FROM a)), l2 AS (SELECT key, l, regexp_replace(raw, '{_EDGES}', '', 'g') AS line FROM l1),
+        l3 AS (SELECT *, regexp_replace(regexp_replace(line, '^([-*+]|\d+[.)])[\s\x0b]+', ''), '{_EDGES}', '', 'g') AS body FROM l2 WHERE line <> '' AND NOT regexp_matches(line, '^#{{1,6}}[\s\x0b]') AND NOT regexp_matches(line, '^([-*_][\s\x0b]*){{3,}}$')),
+        l4 AS (SELECT key, l, unnest(us) AS raw, unnest(range(len(us))) AS u FROM (SELECT key, l, CASE WHEN body <> line THEN [body] ELSE {_UNITS.format('body')} END AS us FROM l3 WHERE body <> '')), l5 AS (SELECT key, l, u, regexp_replace(raw, '{_EDGES}', '', 'g') AS unit FROM l4),
+        l6 AS (SELECT *, {_bare('unit')} AS bare FROM l5), l7 AS (SELECT *, len(list_filter(regexp_split_to_array(bare, '[\s\x0b]+'), lambda w: w <> '')) AS words FROM l6),
+        cl AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY l, u) AS claim_no, bare AS claim, {_CITED_INTS.format('unit')} AS cites FROM l7
+            WHERE bare <> '' AND NOT ends_with(bare, '?') AND NOT (ends_with(bare, ':') AND words <= 8) AND NOT regexp_matches(bare, '^\*\*[^*]+\*\*:?$') AND regexp_matches(bare, '[a-zA-Z]') AND words >= 4)"""
+
+
+def _whole_list(which: str) -> str:
+    return f"list_filter(list_transform({_array(_member('x', which))}, lambda v: TRY_CAST(json_extract_string(v, '$') AS INT)), lambda v: v IS NOT NULL)"
+
+
+_JUDGED = f"""{_PARSED}, {_VERDICTS}, j1 AS (SELECT message_id AS key, place AS claim_no, lower(coalesce(json_extract_string(x, '$.status'), '')) AS said, {_whole_list('citations')} AS cites, list_filter({_whole_list('supported_by')}, lambda v: v > 0) AS sup FROM ve WHERE json_type(x) = 'OBJECT'),
+    j2 AS (SELECT key, claim_no, CASE WHEN said IN ('supported', 'unsupported') THEN said WHEN said IN ('partial', 'partially_supported') THEN 'partial' ELSE 'unverified' END AS norm, cites, CASE WHEN claim_no >= 24 THEN [] ELSE sup END AS sup FROM j1),
+    jc AS (SELECT key, claim_no, cites, sup, CASE WHEN claim_no >= 24 THEN 'unverified' WHEN norm = 'supported' AND len(cites) > 0 AND NOT list_has_any(cites, sup) THEN 'partial' ELSE norm END AS status FROM j2),
+    report AS (SELECT key, count(*) AS total_claims, count(*) FILTER (len(cites) > 0) AS cited_claims, count(*) FILTER (len(cites) > 0 AND status = 'supported') AS supported_claims, count(*) FILTER (status = 'unsupported') AS unsupported_claims, count(*) FILTER (status IN ('supported', 'partial')) AS grounded_claims,
+        count(*) FILTER (len(cites) > 0 AND status = 'partial' AND len(sup) > 0 AND NOT list_has_any(cites, sup)) AS miscited_claims FROM jc GROUP BY 1)"""
+_CONFIDENCE = f"CASE WHEN coalesce(passages_returned, 0) = 0 AND coalesce(fused_candidates, 0) = 0 THEN 0 ELSE floor(least(1.0, greatest(0.0, CASE WHEN mean_rerank_score IS NULL AND mode = 'sparse' THEN {_K} WHEN mean_rerank_score IS NULL THEN 0.65::DOUBLE * {_D} + 0.35::DOUBLE * {_K} WHEN mode = 'sparse' THEN 0.7::DOUBLE * {_R} + 0.3::DOUBLE * {_K} ELSE 0.55::DOUBLE * {_R} + 0.3::DOUBLE * {_D} + 0.15::DOUBLE * {_K} END)) * 1000 + 0.5) / 1000 END"
+_SCORED = f"""{_JUDGED}, st AS (SELECT message_id, {_fields('r', STAT_FIELDS)} FROM m WHERE json_type(r) = 'OBJECT'), li AS (SELECT message_id, unnest({_array(_member('c', 'invalid_citations'))}) AS x FROM m), iv AS (SELECT message_id, list_sort(list({_NUMBER})) AS invalid FROM li WHERE {_NUMBER} IS NOT NULL GROUP BY 1), vf AS (SELECT message_id, {_value('c', 'verified', 'boolean')} AS verified FROM m WHERE json_type(c) = 'OBJECT'),
+    sc AS (SELECT st.*, {_CONFIDENCE} AS retrieval, coalesce(invalid, []) AS invalid, coalesce(verified, false) AS verified, coalesce(total_claims, 0) AS tc, coalesce(cited_claims, 0) AS cc, coalesce(supported_claims, 0) AS sc, coalesce(unsupported_claims, 0) AS uc, coalesce(miscited_claims, 0) AS mc
+        FROM st LEFT JOIN report ON st.message_id = report.key LEFT JOIN iv ON st.message_id = iv.message_id LEFT JOIN vf ON st.message_id = vf.message_id),
+    sd AS (SELECT *, CASE WHEN tc > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS completeness, CASE WHEN tc = 0 THEN 0.0::DOUBLE WHEN verified THEN least(1.0, greatest(0.0, sc / tc - CASE WHEN len(invalid) > 0 THEN 0.15::DOUBLE ELSE 0 END - 0.3::DOUBLE * mc / tc)) ELSE least(1.0, greatest(0.0, 0.6::DOUBLE * cc / tc)) END AS citation FROM sc)"""
+_PERCENT = "(floor({0} * 100 + 0.5)::BIGINT || '%')"
+_LISTED = f"so AS (SELECT message_id, place AS source_no, {_fields('x', SOURCE_FIELDS)} FROM (SELECT message_id, unnest({_array('s')}) AS x, unnest(range(len({_array('s')}))) AS place FROM m) WHERE json_type(x) = 'OBJECT'), sl AS (SELECT message_id, list({{'citation': coalesce(citation, source_no + 1), 'filename': coalesce(filename, 'document'), 'heading': heading, 'page': coalesce(page, 1), 'text': text}} ORDER BY source_no) AS sources FROM so GROUP BY 1)"
+_WHERE = "(CASE WHEN coalesce(x.heading, '') <> '' THEN x.filename || ' › ' || x.heading ELSE x.filename || ' · page ' || x.page END)"
+_CLEAN = f"regexp_replace(regexp_replace(coalesce(x.text, ''), '{_WHITE}+', ' ', 'g'), '^ +| +$', '', 'g')"
+
+
+def _once(items: str) -> str:
+    """A list without repetitions, in its order."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+_TOPICS = _once(f"list_transform(coalesce(sources, [])[:5], lambda x: {_WHERE} || ' — ' || CASE WHEN length({_CLEAN}) > 120 THEN {_CLEAN}[:120] || '…' ELSE {_CLEAN} END)")
+_FILES = "(" + _once("list_transform(coalesce(sources, []), lambda x: x.filename)") + ")[:5]"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _lines(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda x: '- ' || x), chr(10))"
+
+
 ORACLES: dict[str, str] = {
+    "claim_rows": f"WITH {_CLAIMS} SELECT key, claim_no::INT AS claim_no, claim, array_to_string(cites, ',') AS citations FROM cl",
+    "citation_reports": f"""WITH {_CLAIMS}, {_PARSED}, {_SOURCES}, n AS (SELECT message_id AS key, count(*) FILTER (json_type(x) = 'OBJECT')::INT AS n FROM so GROUP BY 1), own AS (SELECT key, count(*) AS total, count(*) FILTER (len(cites) > 0) AS cited, list_sort(list_distinct(flatten(list(cites)))) AS numbers FROM cl GROUP BY 1)
+        SELECT a.key, coalesce(total, 0) AS total_claims, coalesce(cited, 0) AS cited_claims, coalesce(numbers, []) AS cited_numbers, list_filter(coalesce(numbers, []), lambda x: x < 1 OR x > coalesce(n.n, 0)) AS invalid_citations, list_filter(range(1, coalesce(n.n, 0) + 1), lambda x: NOT list_contains(coalesce(numbers, []), x))::INT[] AS unused_sources FROM a LEFT JOIN n USING (key) LEFT JOIN own USING (key)""",
+    "judged_claims": f"WITH {_JUDGED} SELECT key, claim_no, status, len(cites)::INT AS cited, len(sup)::INT AS supporting FROM jc",
+    "verdict_reports": f"WITH {_JUDGED} SELECT * FROM report",
+    "answer_scores": f"""WITH {_SCORED}, z AS (SELECT *, {_round('least(1.0, greatest(0.0, 0.4::DOUBLE * retrieval + 0.35::DOUBLE * citation + 0.25::DOUBLE * completeness))')} AS score FROM sd)
+        SELECT message_id, retrieval, {_round('citation')} AS citation_coverage, completeness, score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS band FROM z""",
+    "score_reasons": f"""WITH {_SCORED}, z AS (SELECT message_id, list_filter([
+            CASE WHEN retrieval < 0.5 THEN 'Weak retrieval signal (top similarity ' || printf('%.2f', floor(coalesce(top_dense_score, 0) * 100 + 0.5) / 100) || ', keyword coverage ' || {_PERCENT.format('coalesce(keyword_coverage, 0)')} || ').' END,
+            CASE WHEN mode = 'hybrid' AND (coalesce(dense_hits, 0) = 0 OR coalesce(sparse_hits, 0) = 0) THEN 'Only one retriever returned results (' || coalesce(dense_hits, 0) || ' dense, ' || coalesce(sparse_hits, 0) || ' sparse).' END,
+            CASE WHEN NOT coalesce(rerank_used, false) THEN 'Reranking was skipped, so passage ordering is unfiltered.' END, CASE WHEN rerank_used AND rerank_backend = 'lexical' THEN 'LLM reranker was unavailable; lexical fallback was used.' END,
+            CASE WHEN NOT verified THEN 'Citations were not verified against the sources.' END, CASE WHEN verified AND uc > 0 THEN uc || ' of ' || tc || ' claims were not supported by any retrieved source.' END, CASE WHEN verified AND mc > 0 THEN mc || ' claims cited the wrong source number.' END,
+            CASE WHEN verified AND len(invalid) > 0 THEN 'Answer referenced non-existent sources: ' || array_to_string(list_transform(invalid, lambda n: '[' || n || ']'), ', ') || '.' END, CASE WHEN completeness < 0.75 THEN 'Part of the question appears unanswered.' END], lambda r: r IS NOT NULL) AS rs FROM sd)
+        SELECT message_id, CASE WHEN len(rs) > 0 THEN array_to_string(rs, chr(10)) ELSE 'All claims verified against retrieved sources.' END AS reasons FROM z""",
+    "abstain_texts": f"""WITH {_SCORED}, {_LISTED} SELECT sd.message_id, {_text(quality.ABSTAIN_START)} || chr(10) || chr(10) || '**Retrieval confidence** ' || {_PERCENT.format('retrieval')} || ' (threshold 35%)' || chr(10) || chr(10) || '**What I did find**' || chr(10) || CASE WHEN len({_TOPICS}) > 0 THEN {_lines(_TOPICS)} ELSE {_text(quality.NOTHING_FOUND)} END || chr(10) || chr(10) || '**What is missing**' || chr(10)
+            || CASE WHEN coalesce(keyword_coverage, 0) < 0.5 THEN 'Several terms from your question do not appear anywhere in the indexed text (keyword coverage ' || {_PERCENT.format('coalesce(keyword_coverage, 0)')} || ').' ELSE {_text(quality.NOT_TIED)} END || CASE WHEN len({_FILES}) > 0 THEN chr(10) || chr(10) || '**Worth checking manually**' || chr(10) || {_lines(_FILES)} ELSE '' END || chr(10) || chr(10) || {_text(quality.ABSTAIN_END)} AS answer
+        FROM sd LEFT JOIN sl ON sd.message_id = sl.message_id WHERE len(coalesce(sources, [])) = 0 OR retrieval < 0.35""",
+    "prompts": f"""WITH {_PARSED}, {_LISTED}, t AS (SELECT id, content FROM ({_LATEST})) SELECT sl.message_id, 'CONTEXT' || chr(10) || array_to_string(list_transform(sources, lambda x: '[' || x.citation || '] ' || {_WHERE} || chr(10) || coalesce(x.text, '')), chr(10) || chr(10)) || chr(10) || chr(10) || 'QUESTION' || chr(10) || coalesce(content, '') || chr(10) || chr(10) || {_text(quality.PROMPT_END)} AS prompt FROM sl JOIN t ON sl.message_id = t.id""",
     "p4_found": _cited("citations"),
     "p4_supporting_sources": _cited("supported_by"),
     "p4_sources": f"WITH {_PARSED}, {_SOURCES} SELECT message_id, place AS source_no, {_fields('x', SOURCE_FIELDS)} FROM so",
@@ -148,18 +275,25 @@ ORACLES: dict[str, str] = {
     "knn_exclude_own": f"SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM ({_PAIRS} WHERE q.vec_id % 100 = 0 AND q.label <> e.label)) WHERE rank <= 5",
     "near_dupe_vectors": f"SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM ({_PAIRS} WHERE q.label <> e.label)) WHERE rank = 1 AND score >= 0.4",
     "vector_pad_trim": "SELECT vec_id, list_resize(embedding::DOUBLE[], 80, 0.0) AS padded, (embedding::DOUBLE[])[1:8] AS trimmed FROM embeddings",
-    "rrf_fusion": f"""{_TWO}, f AS (SELECT coalesce(d.query, s.query) AS query, coalesce(d.doc, s.doc) AS doc, d.rank AS dr, s.rank AS sr, coalesce(0.7::DOUBLE / (60 + d.rank), 0) + coalesce(0.3::DOUBLE / (60 + s.rank), 0) AS fs FROM d FULL JOIN s ON d.query = s.query AND d.doc = s.doc)
-        SELECT query AS question_id, doc AS doc_id, rank, floor(fs * 1e6 + 0.5) / 1e6 AS fused_score, concat_ws(',', CASE WHEN dr IS NOT NULL THEN 'dense' END, CASE WHEN sr IS NOT NULL THEN 'sparse' END) AS retrieved_by
-        FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(fs, 12) DESC, dr NULLS LAST, sr NULLS LAST, doc) AS rank FROM f) WHERE rank <= 10""",
-    "mode_overlap": f"""{_TWO}, a AS (SELECT query, count(*) AS n FROM d WHERE rank <= 10 GROUP BY 1), b AS (SELECT query, count(*) AS n FROM s WHERE rank <= 10 GROUP BY 1), c AS (SELECT d.query, count(*) AS n FROM d JOIN s ON d.query = s.query AND d.doc = s.doc WHERE d.rank <= 10 AND s.rank <= 10 GROUP BY 1)
-        SELECT a.query AS question_id, 'dense' AS mode_a, 'sparse' AS mode_b, coalesce(c.n, 0) AS shared, floor(coalesce(c.n, 0) / (a.n + b.n - coalesce(c.n, 0)) * 1000 + 0.5) / 1000 AS jaccard FROM a JOIN b USING (query) LEFT JOIN c USING (query)""",
-    "lexical_rerank": f"""WITH {_SCORES}, pool AS (SELECT query, doc FROM ({_RANKED}) WHERE rank <= 20), sizes AS (SELECT query, count(*) AS p FROM pool GROUP BY 1), wide AS (SELECT query, count(*) AS q FROM qterms GROUP BY 1),
+    "rrf_fusion": f"""{_TWO}, {_FUSED.format('0.7', '0.3')} SELECT query AS question_id, doc AS doc_id, rank, {_round('f', 6)} AS fused_score, concat_ws(',', CASE WHEN dr IS NOT NULL THEN 'dense' END, CASE WHEN sr IS NOT NULL THEN 'sparse' END) AS retrieved_by FROM ranked WHERE rank <= 10""",
+    "mode_overlap": f"""{_TWO}, a AS (SELECT query, count(*) AS n FROM d WHERE rank <= 10 GROUP BY 1), b AS (SELECT query, count(*) AS n FROM s WHERE rank <= 10 GROUP BY 1), c AS (SELECT d.query, count(*) AS n FROM d JOIN s ON d.query = s.query AND d.doc = s.doc WHERE d.rank <= 10 AND s.rank <= 10 GROUP BY 1), q AS (SELECT query FROM a UNION SELECT query FROM b)
+        SELECT q.query AS question_id, 'dense' AS mode_a, 'sparse' AS mode_b, coalesce(c.n, 0) AS shared, floor(coalesce(c.n, 0) / (coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(c.n, 0)) * 1000 + 0.5) / 1000 AS jaccard FROM q LEFT JOIN a USING (query) LEFT JOIN b USING (query) LEFT JOIN c USING (query)""",
+    "lexical_rerank": f"""WITH {_SCORES}, pool AS (SELECT query, doc, rank FROM ({_RANKED}) WHERE rank <= 20), sizes AS (SELECT query, count(*) AS p FROM pool GROUP BY 1), wide AS (SELECT query, count(*) AS q FROM qterms GROUP BY 1),
         has AS (SELECT pool.query, pool.doc, term FROM pool JOIN postings ON pool.doc = postings.doc JOIN qterms USING (query, term)), dfs AS (SELECT query, term, count(*) AS pdf FROM has GROUP BY 1, 2),
         sums AS (SELECT query, doc, sum(ln(1 + p / pdf)) AS s FROM has JOIN dfs USING (query, term) JOIN sizes USING (query) GROUP BY 1, 2),
-        r AS (SELECT query, doc, floor(least(1.0, coalesce(s / (q * ln(1 + p)), 0)) * 1e6 + 0.5) / 1e6 AS rerank_score FROM pool JOIN sizes USING (query) JOIN wide USING (query) LEFT JOIN sums USING (query, doc))
-        SELECT query AS question_id, doc AS doc_id, row_number() OVER (PARTITION BY query ORDER BY rerank_score DESC, doc) AS rank, rerank_score FROM r""",
-    "neighbor_expansion": """WITH c AS (SELECT DISTINCT id, document_id, page, chunk_index FROM chunks), p AS (SELECT DISTINCT document_id FROM c WHERE chunk_index = 2)
-        SELECT document_id, id AS chunk_id, place FROM (SELECT c.*, row_number() OVER (PARTITION BY document_id ORDER BY page, chunk_index, id) AS place FROM c JOIN p USING (document_id) WHERE chunk_index BETWEEN 0 AND 4 AND chunk_index <> 2) WHERE place <= 3""",
+        r AS (SELECT query, doc, rank AS prior, floor(least(1.0, coalesce(s / (q * ln(1 + p)), 0)) * 1e6 + 0.5) / 1e6 AS rerank_score FROM pool JOIN sizes USING (query) JOIN wide USING (query) LEFT JOIN sums USING (query, doc))
+        SELECT query AS question_id, doc AS doc_id, row_number() OVER (PARTITION BY query ORDER BY rerank_score DESC, prior, doc) AS rank, rerank_score FROM r""",
+    "hybrid_search": f"{_retrieved('hybrid', True)} SELECT * FROM found",
+    "mode_comparison": " UNION ALL ".join(f"SELECT question_id, '{mode}' AS mode, least(length(text), 600) AS shown, citation, chunk_id, score, dense_score, sparse_score, rerank_score, retrieved_by FROM ({_retrieved(mode, False)} SELECT found.*, c.text FROM found JOIN c ON found.chunk_id = c.id)" for mode in ("hybrid", "dense", "sparse")),
+    "retrieval_stats": f"""{_retrieved('hybrid', True)}, {_COVERAGE}, files AS (SELECT count(DISTINCT document_id) AS n FROM c), dn AS (SELECT query, count(*) AS n, max(score) AS top FROM d GROUP BY 1), sn AS (SELECT query, count(*) AS n FROM s GROUP BY 1), fn AS (SELECT query, count(*) AS n FROM fused GROUP BY 1), pn AS (SELECT query, avg(rr) AS mean, max(CASE WHEN p > 1 THEN 'lexical' ELSE 'none' END) AS backend FROM pri GROUP BY 1), en AS (SELECT question_id AS query, count(*) AS n FROM found GROUP BY 1)
+        SELECT asked.id AS question_id, 'hybrid' AS mode, 0.7::DOUBLE AS dense_weight, 0.3::DOUBLE AS sparse_weight, coalesce(dn.n, 0) AS dense_hits, coalesce(sn.n, 0) AS sparse_hits, coalesce(fn.n, 0) AS fused_candidates, coalesce(backend, 'none') <> 'none' AS rerank_used, coalesce(backend, 'none') AS rerank_backend,
+            {_round('greatest(0.0, coalesce(top, 0.0))')} AS top_dense_score, {_round('mean')} AS mean_rerank_score, {_round('coverage')} AS keyword_coverage, files.n AS documents_searched, coalesce(en.n, 0) AS passages_returned
+        FROM asked LEFT JOIN dn ON asked.id = dn.query LEFT JOIN sn ON asked.id = sn.query LEFT JOIN fn ON asked.id = fn.query LEFT JOIN pn ON asked.id = pn.query LEFT JOIN en ON asked.id = en.query LEFT JOIN coverages ON asked.id = coverages.query, files""",
+    "bm25_scoped": f"""WITH {_PASSAGES}, {_scores('c', 'id', 'told')}, cases AS (SELECT DISTINCT id, len(coalesce(expected_sources, [])) > 0 AS wants, expected_sources FROM questions), wanted AS (SELECT DISTINCT e.id AS query, d.id AS document_id FROM (SELECT id, unnest(expected_sources) AS filename FROM cases) e JOIN documents d USING (filename)),
+        kept AS (SELECT s.* FROM scores s JOIN c ON s.doc = c.id JOIN cases ON cases.id = s.query WHERE NOT wants OR EXISTS (SELECT 1 FROM wanted w WHERE w.query = s.query AND w.document_id = c.document_id))
+        SELECT query AS question_id, doc AS chunk_id, rank, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM kept) WHERE rank <= 5""",
+    "neighbor_expansion": """WITH c AS (SELECT DISTINCT id, document_id, page, chunk_index FROM chunks)
+        SELECT chunk_id, id AS neighbour_id, place FROM (SELECT p.id AS chunk_id, c.id, row_number() OVER (PARTITION BY p.id ORDER BY c.page, c.chunk_index, c.id) AS place FROM c p JOIN c ON p.document_id = c.document_id WHERE abs(c.chunk_index - p.chunk_index) <= 2 AND c.chunk_index <> p.chunk_index) WHERE place <= 3""",
     "source_types": f"SELECT doc_id, CASE {' '.join(f'''WHEN {_EXTENSION} IN ({', '.join(repr(e) for e in endings)}) THEN '{name}' ''' for name, endings in SOURCE_TYPES.items())} END AS kind FROM documents",
     "normalized_text": f"SELECT doc_id, {_normal('text')} AS normal FROM documents",
     "fingerprints": r"""SELECT DISTINCT id, sha256(text) AS raw_hash, sha256(trim(regexp_replace(lower(text), '""" + _WHITE + r"""+', ' ', 'g'), ' ')) AS fingerprint FROM chunks WHERE text IS NOT NULL""",
@@ -167,10 +301,14 @@ ORACLES: dict[str, str] = {
         u AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^([-*+•]|\d+[.)]|\||#{1,6}\s)') OR length(line) < 80 THEN [line] ELSE string_split(regexp_replace(line, '([.!?])[\s\x0b]+([A-Z(“"''\d])', '\1' || chr(30) || '\2', 'g'), chr(30)) END AS us FROM l WHERE line <> ''),
         e AS (SELECT doc_id, regexp_replace(unnest(us), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS unit FROM u)
         SELECT doc_id, count(*) AS units, max(length(unit)) AS longest FROM e WHERE unit <> '' GROUP BY 1""",
-    "html_text": f"SELECT doc_id, {_html('text')} AS plain FROM documents WHERE text LIKE '<h1>%'",
-    "html_text_all": f"SELECT doc_id, {_html('text')} AS plain FROM documents WHERE source_type = 'html' OR regexp_matches(text, '</?[A-Za-z][^>]*>')",
-    "exact_duplicates": r"""WITH c AS (SELECT DISTINCT id, guest_id, trim(regexp_replace(lower(text), '""" + _WHITE + r"""+', ' ', 'g'), ' ') AS t FROM chunks WHERE text IS NOT NULL)
-        SELECT id AS key, kept_key FROM (SELECT id, min(id) OVER (PARTITION BY guest_id, t) AS kept_key FROM c) WHERE id <> kept_key""",
+    "html_text": f"SELECT doc_id, {_html('text')} AS plain FROM documents WHERE source_type = 'html' OR regexp_matches(text, '</?[A-Za-z][^>]*>')",
+    "html_section_rows": rf"""WITH pages AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '<body[^>]*>(.*?)</body>', 1, 'si'), ''), text) AS body, nullif(trim(regexp_extract(text, '<title[^>]*>(.*?)</title>', 1, 'si')), '') AS title FROM documents WHERE source_type = 'html' OR regexp_matches(text, '</?[A-Za-z][^>]*>')),
+        cut AS (SELECT doc_id, title, string_split(regexp_replace(body, '(<h[1-6])', chr(30) || '', 'gi'), chr(30)) AS ps FROM pages), parts AS (SELECT doc_id, title, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM cut),
+        own AS (SELECT doc_id, title, n, TRY_CAST(regexp_extract(p, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 1, 'si') AS INT) AS level, {_html("regexp_extract(p, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 2, 'si')")} AS name, {_html('p')} AS text FROM parts),
+        trails AS (SELECT a.doc_id, a.n, string_agg(CASE WHEN b.name <> '' THEN b.name END, ' › ' ORDER BY b.level) AS trail FROM own a JOIN own b ON a.doc_id = b.doc_id AND b.n <= a.n AND b.level <= a.level WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.doc_id = a.doc_id AND x.n > b.n AND x.n <= a.n AND x.level <= b.level) GROUP BY 1, 2)
+        SELECT o.doc_id, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.n)::INT AS page, CASE WHEN o.level IS NULL THEN title ELSE coalesce(trail, '') END AS heading, text FROM own o LEFT JOIN trails t ON o.doc_id = t.doc_id AND o.n = t.n WHERE text <> ''""",
+    "exact_duplicates": r"""WITH c AS (SELECT DISTINCT id, guest_id, batch_no, created_at, chunk_index, trim(regexp_replace(lower(text), '""" + _WHITE + r"""+', ' ', 'g'), ' ') AS t FROM chunks WHERE text IS NOT NULL)
+        SELECT id AS key, kept_key FROM (SELECT id, first_value(id) OVER (PARTITION BY guest_id, t ORDER BY batch_no NULLS FIRST, created_at NULLS FIRST, chunk_index NULLS FIRST, id) AS kept_key FROM c) WHERE id <> kept_key""",
     "duplicate_totals": r"""WITH c AS (SELECT DISTINCT id, guest_id, document_id, trim(regexp_replace(lower(text), '""" + _WHITE + r"""+', ' ', 'g'), ' ') AS t FROM chunks), d AS (SELECT *, t IS NOT NULL AND id <> min(id) OVER (PARTITION BY guest_id, t) AS dup FROM c)
         SELECT document_id, count(*) AS chunks, count(*) FILTER (dup) AS duplicates FROM d GROUP BY 1""",
     "extract_citations": rf"""WITH a AS (SELECT id, content FROM ({_LATEST}) WHERE {_ROLE} = 'assistant' AND content IS NOT NULL)
@@ -190,8 +328,6 @@ ORACLES: dict[str, str] = {
     "workspace_totals": "SELECT guest_id, count(*) AS documents, sum(chunk_count)::BIGINT AS chunks, sum(duplicate_chunks)::BIGINT AS duplicates FROM documents GROUP BY 1",
     "recent_chats": "SELECT id, CASE WHEN length(title) > 48 THEN title[:48] || '…' ELSE title END AS title FROM (SELECT DISTINCT id, title, updated_at FROM chats ORDER BY updated_at DESC, id LIMIT 50)",
     "chat_history": f"""WITH n AS (SELECT *, {_ROLE} AS r, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, id DESC) AS back FROM ({_LATEST}) WHERE chat_id IS NOT NULL)
-        SELECT chat_id, back, id, r AS role, content[:200] AS content FROM n WHERE back <= 6 AND r IN ('user', 'assistant')""",
-    "chat_history_full": f"""WITH n AS (SELECT *, {_ROLE} AS r, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, id DESC) AS back FROM ({_LATEST}) WHERE chat_id IS NOT NULL)
         SELECT chat_id, back, id, r AS role, content[:2000] AS content FROM n WHERE back <= 12 AND r IN ('user', 'assistant')""",
     "chat_documents": "WITH c AS (SELECT DISTINCT id, coalesce(document_ids[1], document_id) AS document_id FROM chats) SELECT c.id, c.document_id, coalesce(filename, 'document') AS filename FROM c LEFT JOIN documents d ON c.document_id = d.id",
     "delete_cascade": """WITH g AS (SELECT id FROM documents WHERE status = 'failed') SELECT 'documents' AS table_name, count(*) AS n FROM documents WHERE id NOT IN (SELECT id FROM g)

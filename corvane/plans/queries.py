@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.context import table
+from corvane.context import materialize, table
 from corvane.functions import terms as t
 from corvane.functions.text import clean_role
-from corvane.operators import chunking, dedup, dense, evaluation, fusion, nested, quality, sparse, store
+from corvane.operators import chunking, dedup, dense, evaluation, fusion, nested, quality, retrieval, sparse, store
 from corvane.operators.deliveries import latest_deliveries
 from corvane.plans.oracles import ORACLES  # noqa: F401
 from corvane.sources import loaders
@@ -41,6 +41,7 @@ _messages("p4_unused", lambda m: nested.report_numbers(m, "unused_sources"))
 _messages("p4_reasons", nested.reasons)
 _messages("p4_statistics", lambda m: nested.objects(m, "retrieval_stats", nested.STAT_FIELDS))
 _messages("p4_reports", lambda m: nested.objects(m, "citations", nested.REPORT_FIELDS))
+_messages("p4_nodes", lambda m: nested.all_nodes(m, "citations"))
 _messages("p4_confidences", lambda m: nested.objects(m, "confidence", nested.CONFIDENCE_FIELDS))
 
 
@@ -105,10 +106,16 @@ def vector_pad_trim(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("vec_id", dense.pad_or_trim(F.col("embedding"), 80).alias("padded"), dense.pad_or_trim(F.col("embedding"), 8).alias("trimmed"))
 
 
+def _dense_list(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """The documents most similar to each question by their letters."""
+    profile = dense.letter_profile
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), profile(F.col("text")).alias("vector"))
+    return dense.top_k(_asked(spark, folder).select(F.col("id").alias("query"), profile(F.col("question")).alias("vector")), documents, k)
+
+
 def _two_rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """A second ranking of the BM25 pool, by matched terms, stands in for a dense one."""
-    scored = _index(spark, folder).scores(_asked(spark, folder), "id", F.col("question")).withColumn("score", t.rounded(F.col("score"), 6))
-    return sparse.ranked(scored.withColumn("score", F.col("matched").cast("double")), 20).select("query", "doc", "rank", "score"), sparse.ranked(scored, 20).select("query", "doc", "rank", "score")
+    by_term = _index(spark, folder).search(_asked(spark, folder), "id", F.col("question"), 20)
+    return _dense_list(spark, folder, 20), by_term.select("query", "doc", "rank", "score")
 
 
 @query
@@ -122,22 +129,65 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 def mode_overlap(spark: SparkSession, folder: str) -> DataFrame:
     d, s = _two_rankings(spark, folder)
     runs = d.filter("rank <= 10").select(F.lit("dense").alias("mode"), "query", "doc").unionByName(s.filter("rank <= 10").select(F.lit("sparse").alias("mode"), "query", "doc"))
-    return fusion.mode_overlap(runs).withColumnRenamed("query", "question_id")
+    return fusion.mode_overlap(materialize(runs, "runs")).withColumnRenamed("query", "question_id")
 
 
 @query
 def lexical_rerank(spark: SparkSession, folder: str) -> DataFrame:
-    asked = _asked(spark, folder)
-    pool = _index(spark, folder).search(asked, "id", F.col("question"), 20).select("query", F.col("doc").alias("doc_id")).join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "doc")
-    return sparse.lexical_rerank(pool, asked, "id", F.col("question")).select(F.col("query").alias("question_id"), F.col("doc").alias("doc_id"), "rank", "rerank_score")
+    asked, index = _asked(spark, folder), _index(spark, folder)
+    pool = materialize(index.search(asked, "id", F.col("question"), 20).select("query", "doc", "rank"), "pool")
+    return sparse.lexical_rerank(pool, asked, "id", F.col("question"), index.postings).select(F.col("query").alias("question_id"), F.col("doc").alias("doc_id"), "rank", "rerank_score")
+
+
+def _passages(spark: SparkSession, folder: str) -> retrieval.Passages:
+    return retrieval.passages_of(table(spark, folder, "chunks"), table(spark, folder, "documents"))
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return _asked(spark, folder).select(F.col("id").alias("query"), F.col("question").alias("text"), dense.letter_profile(F.col("question")).alias("vector"))
+
+
+def _sources(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.col("query").alias("question_id"), *more, "citation", F.col("chunk").alias("chunk_id"), "score", "dense_score", "sparse_score", "rerank_score", "retrieved_by")
+
+
+@query
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Every question over all chunks: both lists, fused, reranked by their terms, with neighbours."""
+    return _sources(retrieval.retrieve(_passages(spark, folder), _questions(spark, folder))[0])
+
+
+@query
+def retrieval_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.retrieve(_passages(spark, folder), _questions(spark, folder))[1].withColumnRenamed("query", "question_id")
+
+
+@query
+def mode_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    found = retrieval.compare_modes(_passages(spark, folder), _questions(spark, folder))
+    return _sources(found, "mode", F.length("text").alias("shown"))
+
+
+@query
+def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of the documents whose files a question expects, or of all where it expects none; counts stay those of
+    the whole index."""
+    cases = table(spark, folder, "questions").select("id", "question", "expected_sources").distinct()
+    files = table(spark, folder, "documents").select("id", "filename")
+    wanted = cases.select("id", F.explode("expected_sources").alias("filename")).distinct().join(files.withColumnRenamed("id", "document"), "filename").groupBy("id").agg(F.collect_set("document").alias("found"))
+    some = F.size(F.coalesce("expected_sources", F.array().cast("array<string>"))) > 0
+    asked = cases.join(wanted, "id", "left").select("id", "question", F.when(some, F.coalesce("found", F.array().cast("array<string>"))).alias("allowed"))
+    index = _passages(spark, folder).index
+    return index.search(asked, "id", F.col("question"), 5).select(F.col("query").alias("question_id"), F.col("doc").alias("chunk_id"), "rank", "score", "matched")
 
 
 @query
 def neighbor_expansion(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunks around the chunk with index 2 of every document."""
+    """The three best chunks around every chunk, which is a query of its own."""
     chunks = table(spark, folder, "chunks").select("id", "document_id", "page", "chunk_index").distinct()
-    primary = chunks.filter("chunk_index = 2").select(F.col("document_id").alias("query"), F.lit(1).alias("rank"), F.col("document_id").alias("document"), F.col("chunk_index").alias("idx")).distinct()
-    return fusion.neighbours(primary, chunks.select(F.col("id").alias("passage"), F.col("document_id").alias("document"), "page", F.col("chunk_index").alias("idx")), 3).select(F.col("query").alias("document_id"), F.col("passage").alias("chunk_id"), "place")
+    primary = chunks.select(F.col("id").alias("query"), F.lit(1).alias("rank"), F.col("document_id").alias("document"), F.col("chunk_index").alias("idx"))
+    found = fusion.neighbours(primary, chunks.select(F.col("id").alias("passage"), F.col("document_id").alias("document"), "page", F.col("chunk_index").alias("idx")), 3)
+    return found.select(F.col("query").alias("chunk_id"), F.col("passage").alias("neighbour_id"), "place")
 
 
 # texts
@@ -164,19 +214,13 @@ def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
     return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.max(F.length("unit")).alias("longest"))
 
 
-@query
-def html_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").filter("text like '<h1>%'").select("doc_id", t.html_to_text(F.col("text")).alias("plain"))
-
-
 def _html_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are HTML by their source_type or hold a tag anywhere."""
     return table(spark, folder, "documents").filter((F.col("source_type") == "html") | F.col("text").rlike("</?[A-Za-z][^>]*>"))
 
 
 @query
-def html_text_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As html_text, whose SQL fixes it to pages that begin with <h1>, over every page with HTML."""
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
     return _html_pages(spark, folder).select("doc_id", t.html_to_text(F.col("text")).alias("plain"))
 
 
@@ -187,7 +231,9 @@ def html_section_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def document_sections(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", "text", F.when(F.col("source_type") == "markdown", "markdown").otherwise("text").alias("kind"))
+    """Every document by its source type (text where it is unknown); the text of a pdf was extracted before."""
+    kind = F.when(F.col("source_type").isin("pdf", "markdown", "html"), F.col("source_type")).otherwise("text")
+    rows = table(spark, folder, "documents").select("doc_id", "text", kind.alias("kind"))
     return loaders.load_sections(rows, "doc_id", "text", "kind").select(F.col("key").alias("doc_id"), F.inline("sections"))
 
 
@@ -202,8 +248,17 @@ for _strategy in ("fixed", "structural", "semantic"):
 
 @query
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "chunks").select("id", "guest_id", "text").distinct()
-    return dedup.exact_duplicates(chunks, "id", "guest_id")
+    """By arrival: of equal chunks of a workspace the first in batch_no, created_at and chunk_index is kept."""
+    chunks = table(spark, folder, "chunks").select("id", "guest_id", "text", "batch_no", "created_at", "chunk_index").distinct()
+    return dedup.exact_duplicates(chunks, "id", "guest_id", order=["batch_no", "created_at", "chunk_index"])
+
+
+@query
+def near_dupe_hashed(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates of chunks of other documents by their letters, from candidates in shared buckets."""
+    chunks = table(spark, folder, "chunks").select("id", "document_id", "text").distinct()
+    vectors = chunks.filter("text is not null").select(F.col("id").alias("doc"), dense.letter_profile(F.col("text")).alias("vector"), F.col("document_id").alias("scope"))
+    return dedup.near_duplicates_hashed(vectors, 0.999)
 
 
 @query
@@ -245,6 +300,72 @@ def confidence_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("message_id", "retrieval", (F.col("retrieval") < quality.ABSTAIN_BELOW).alias("abstain"), quality.band(F.col("retrieval")).alias("band"))
 
 
+def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.verdict_lists(table(spark, folder, "messages")).select(F.col("message_id").alias("key"), F.col("verdict_no").alias("claim_no"), "status", "citations", "supported_by")
+
+
+@query
+def judged_claims(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged_claims(_verdicts(spark, folder)).select("key", "claim_no", "status", F.size("citations").alias("cited"), F.size("supported_by").alias("supporting"))
+
+
+@query
+def verdict_reports(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdict_report(_verdicts(spark, folder))
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics, report and scores of every message that has statistics."""
+    m = table(spark, folder, "messages")
+    stats = nested.objects(m, "retrieval_stats", nested.STAT_FIELDS).withColumn("retrieval", quality.retrieval_confidence())
+    report = quality.verdict_report(_verdicts(spark, folder)).withColumnRenamed("key", "message_id")
+    invalid = nested.report_numbers(m, "invalid_citations").filter("number is not null").groupBy("message_id").agg(F.array_sort(F.collect_list("number")).alias("invalid_citations"))
+    flags = nested.objects(m, "citations", {"verified": "boolean"})
+    rows = stats.join(report, "message_id", "left").join(invalid, "message_id", "left").join(flags, "message_id", "left")
+    rows = rows.withColumn("invalid_citations", F.coalesce("invalid_citations", F.array().cast("array<bigint>"))).withColumn("verified", F.coalesce("verified", F.lit(False)))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    citation = quality.citation_score(F.col("verified"), count("total_claims"), count("cited_claims"), count("supported_claims"), count("miscited_claims"), F.size("invalid_citations"))
+    return rows.withColumn("completeness", quality.completeness(F.lit(0), F.lit(0), count("total_claims"))).withColumn("citation", citation)
+
+
+@query
+def answer_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scored(spark, folder).withColumn("score", quality.composite(F.col("retrieval"), F.col("citation"), F.col("completeness")))
+    return rows.select("message_id", "retrieval", t.rounded(F.col("citation")).alias("citation_coverage"), "completeness", "score", quality.band(F.col("score")).alias("band"))
+
+
+@query
+def score_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).select("message_id", F.array_join(quality.score_reasons(), "\n").alias("reasons"))
+
+
+def _source_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources of each message in order."""
+    rows = nested.sources(table(spark, folder, "messages"))
+    one = F.struct("source_no", F.coalesce("citation", F.col("source_no") + 1).alias("citation"), F.coalesce("filename", F.lit("document")).alias("filename"), "heading", F.coalesce("page", F.lit(1)).alias("page"), "text")
+    return rows.groupBy("message_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))
+
+
+@query
+def abstain_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text in place of an answer for each message whose retrieval doesn't carry one."""
+    rows = _scored(spark, folder).join(_source_lists(spark, folder), "message_id", "left")
+    kept = rows.filter(quality.abstains(F.size(F.coalesce("sources", F.array())), F.col("retrieval")))
+    return kept.select("message_id", quality.abstain_text(F.col("sources"), F.col("retrieval"), F.coalesce("keyword_coverage", F.lit(0.0))).alias("answer"))
+
+
+@query
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt of each message with sources, with its content as the question."""
+    rows = _source_lists(spark, folder).join(latest_deliveries(table(spark, folder, "messages").select("id", "received_at", "content"), ["content"]).select(F.col("id").alias("message_id"), "content"), "message_id")
+    return rows.select("message_id", quality.prompt_text(F.col("content"), F.col("sources")).alias("prompt"))
+
+
+@query
+def linked_markers(spark: SparkSession, folder: str) -> DataFrame:
+    return _answers(spark, folder).select("id", quality.linked_markers(F.col("content")).alias("linked"))
+
+
 @query
 def source_status(spark: SparkSession, folder: str) -> DataFrame:
     m = table(spark, folder, "messages")
@@ -299,12 +420,6 @@ def _chat_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def chat_history(spark: SparkSession, folder: str) -> DataFrame:
-    return store.last_turns(_chat_messages(spark, folder), 6, 200)
-
-
-@query
-def chat_history_full(spark: SparkSession, folder: str) -> DataFrame:
-    """As chat_history, whose SQL fixes it to 6 messages of 200 characters, with the defaults of 12 and 2000."""
     return store.last_turns(_chat_messages(spark, folder))
 
 

@@ -21,9 +21,9 @@ def test_roles_and_seen(spark):
 
 
 def test_terms_and_stems(spark):
-    df = spark.createDataFrame([(1, "The KAI_PDF_STORAGE caches, i.e. db.apply of E1042"), (2, None), (3, "")], "id int, text string")
+    df = spark.createDataFrame([(1, "The NIM_PDF_STORAGE caches, i.e. db.apply of E1042"), (2, None), (3, "")], "id int, text string")
     got = [r.term for r in t.terms(df, F.col("text")).filter("id = 1").collect()]
-    assert sorted(got) == sorted(["kai_pdf_storage", "kai", "pdf", "storage", "cach", "i.e", "db.apply", "db", "apply", "e1042"])
+    assert sorted(got) == sorted(["nim_pdf_storage", "nim", "pdf", "storage", "cach", "i.e", "db.apply", "db", "apply", "e1042"])
     assert t.terms(df, F.col("text")).filter("id > 1").count() == 0
     assert column(spark, ["bus", "class", "policies", "boxes", "cats", "a.bs", "his"], t.stem) == ["bus", "class", "policy", "box", "cat", "a.bs", "his"]
 
