@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corvane.context import materialize, shared_folder
 
-KEYS, GRAM, WINDOW, MAX_RUNS = 10, 3, 32, 6
+KEYS, GRAM, WINDOW, MAX_RUNS, AT_ONCE = 10, 3, 32, 6, 4
 #: Parts of the workspaces by which the base is laid out.
 PARTS = 8
 #: Entries of a bucket, some 24 bytes each.
@@ -553,9 +553,10 @@ class AcceptedHistory:
         return None if keys.isEmpty() else materialize(keys, "history-cut")
 
 
-def repeated_chunks(chunks: DataFrame, window: int = WINDOW, max_runs: int = MAX_RUNS) -> DataFrame:
-    """(case_id, kept_id) over all batches: batch 0 founds the history, the later ones are added one by one in order.
-    The words of all chunks are read once and laid down by batch, so each batch reads its own rows only."""
+def repeated_chunks(chunks: DataFrame, window: int = WINDOW, max_runs: int = MAX_RUNS, at_once: int = AT_ONCE) -> DataFrame:
+    """(case_id, kept_id) over all batches: batch 0 founds the history, the later ones are added in order, ``at_once`` of
+    them in one go, which gives the same as one by one. The words of all chunks are read once and laid down by batch, so
+    each batch reads its own rows only."""
     spark = chunks.sparkSession
     history = AcceptedHistory(spark, window=window, max_runs=max_runs)
     path = f"{history.folder}/batches"
@@ -566,8 +567,17 @@ def repeated_chunks(chunks: DataFrame, window: int = WINDOW, max_runs: int = MAX
     parts: dict[int, list[int]] = {}
     for r in rows.select("_batch", _part()).distinct().collect():
         parts.setdefault(r[0], []).append(r[1])
-    tables = [(n, history._judged(rows.filter(F.col("_batch") == n).drop("_batch"), parts[n])) for n in sorted(parts)]
+    founding = [n for n in sorted(parts) if n == 0]
+    later = [n for n in sorted(parts) if n > 0]
+    groups = [g for g in (founding, *(later[i : i + at_once] for i in range(0, len(later), at_once))) if g]
+    tables = []
+    for group in groups:
+        touched = sorted(set().union(*(parts[n] for n in group)))
+        tables.append((group, history._judged(rows.filter(F.col("_batch").isin(group)).drop("_batch"), touched)))
     if not tables:
         return spark.createDataFrame([], "case_id string, kept_id string")
-    verdicts = reduce(DataFrame.unionByName, [spark.read.parquet(table).withColumn("_batch", F.lit(n)) for n, table in tables])
-    return _cases(rows, verdicts, ["_batch", "h"])
+    number = F.lit(None).cast("int")
+    for k, (group, _) in enumerate(tables):
+        number = F.when(F.col("_batch").isin(group), k).otherwise(number)
+    verdicts = reduce(DataFrame.unionByName, [spark.read.parquet(table).withColumn("_group", F.lit(k)) for k, (_, table) in enumerate(tables)])
+    return _cases(rows.withColumn("_group", number), verdicts, ["_group", "h"])
