@@ -65,7 +65,8 @@ def near_duplicates_hashed(vectors: DataFrame, threshold: float = NEAR, tables:
     sizes = hashed.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("tiles"))
     placed = hashed.join(sizes, ["t", "code"]).withColumn("i", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left, right = placed.withColumn("j", each), placed.withColumnRenamed("i", "j").withColumn("i", each)
+    own = lambda *places: [F.col(c).alias(c) for c in ("t", "code", "doc", "scope", "vector")] + list(places)
+    left, right = placed.select(*own("i", each.alias("j"))), placed.select(*own(each.alias("i"), F.col("i").alias("j")))
     keys = ["t", "code", "i", "j"]
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

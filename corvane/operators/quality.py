@@ -219,8 +219,9 @@ def abstain_text(sources: Column, retrieval: Column, coverage: Column, threshold
         return F.concat(_located(s), F.lit(" — "), F.when(F.length(clean) > SNIPPET_CHARS, F.concat(F.substring(clean, 1, SNIPPET_CHARS), F.lit("…"))).otherwise(clean))
 
     bullets = lambda items: F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
-    own = F.coalesce(sources, F.expr("cast(array() as array<struct<filename:string,heading:string,page:int,text:string>>)"))
-    topics, files = F.array_distinct(F.transform(F.slice(own, 1, 5), described)), F.slice(F.array_distinct(F.transform(own, lambda s: s["filename"])), 1, 5)
+    none = F.array().cast("array<string>")
+    topics = F.coalesce(F.array_distinct(F.transform(F.slice(sources, 1, 5), described)), none)
+    files = F.coalesce(F.slice(F.array_distinct(F.transform(sources, lambda s: s["filename"])), 1, 5), none)
     missing = F.when(coverage < 0.5, F.concat(F.lit("Several terms from your question do not appear anywhere in the indexed text (keyword coverage "), percent(coverage), F.lit(")."))).otherwise(NOT_TIED)
     files_part = F.when(F.size(files) > 0, F.concat(F.lit("\n\n**Worth checking manually**\n"), bullets(files))).otherwise("")
     return F.concat(
@@ -232,7 +233,7 @@ def abstain_text(sources: Column, retrieval: Column, coverage: Column, threshold
 def prompt_text(question: Column, sources: Column) -> Column:
     """The prompt of a question and its sources in order (ARRAY of STRUCT with citation, filename, heading, page, text)."""
     block = lambda s: F.concat(F.lit("["), s["citation"].cast("string"), F.lit("] "), _located(s), F.lit("\n"), F.coalesce(s["text"], F.lit("")))
-    context = F.when(F.size(F.coalesce(sources, F.array())) > 0, F.array_join(F.transform(sources, block), "\n\n")).otherwise(NO_SOURCES)
+    context = F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.array_join(F.transform(sources, block), "\n\n")).otherwise(NO_SOURCES)
     return F.concat(F.lit("CONTEXT\n"), context, F.lit("\n\nQUESTION\n"), F.coalesce(question, F.lit("")), F.lit(f"\n\n{PROMPT_END}"))
 
 

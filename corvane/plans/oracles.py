@@ -303,8 +303,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS units, max(length(unit)) AS longest FROM e WHERE unit <> '' GROUP BY 1""",
     "html_text": f"SELECT doc_id, {_html('text')} AS plain FROM documents WHERE source_type = 'html' OR regexp_matches(text, '</?[A-Za-z][^>]*>')",
     "html_section_rows": rf"""WITH pages AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '<body[^>]*>(.*?)</body>', 1, 'si'), ''), text) AS body, nullif(trim(regexp_extract(text, '<title[^>]*>(.*?)</title>', 1, 'si')), '') AS title FROM documents WHERE source_type = 'html' OR regexp_matches(text, '</?[A-Za-z][^>]*>')),
-        cut AS (SELECT doc_id, title, string_split(regexp_replace(body, '(<h[1-6])', chr(30) || '', 'gi'), chr(30)) AS ps FROM pages), parts AS (SELECT doc_id, title, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM cut),
-        own AS (SELECT doc_id, title, n, TRY_CAST(regexp_extract(p, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 1, 'si') AS INT) AS level, {_html("regexp_extract(p, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 2, 'si')")} AS name, {_html('p')} AS text FROM parts),
+        cut AS (SELECT doc_id, title, string_split(regexp_replace(body, '(<h[1-6]\b)', chr(30) || '\1', 'gi'), chr(30)) AS ps FROM pages), parts AS (SELECT doc_id, title, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM cut),
+        own AS (SELECT doc_id, title, n, TRY_CAST(regexp_extract(p, '<h([1-6])\b[^>]*>(.*?)</h[1-6]>', 1, 'si') AS INT) AS level, {_html("regexp_extract(p, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 2, 'si')")} AS name, {_html('p')} AS text FROM parts),
         trails AS (SELECT a.doc_id, a.n, string_agg(CASE WHEN b.name <> '' THEN b.name END, ' › ' ORDER BY b.level) AS trail FROM own a JOIN own b ON a.doc_id = b.doc_id AND b.n <= a.n AND b.level <= a.level WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.doc_id = a.doc_id AND x.n > b.n AND x.n <= a.n AND x.level <= b.level) GROUP BY 1, 2)
         SELECT o.doc_id, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.n)::INT AS page, CASE WHEN o.level IS NULL THEN title ELSE coalesce(trail, '') END AS heading, text FROM own o LEFT JOIN trails t ON o.doc_id = t.doc_id AND o.n = t.n WHERE text <> ''""",
     "exact_duplicates": r"""WITH c AS (SELECT DISTINCT id, guest_id, batch_no, created_at, chunk_index, trim(regexp_replace(lower(text), '""" + _WHITE + r"""+', ' ', 'g'), ' ') AS t FROM chunks WHERE text IS NOT NULL)

@@ -350,7 +350,7 @@ def _source_lists(spark: SparkSession, folder: str) -> DataFrame:
 def abstain_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The text in place of an answer for each message whose retrieval doesn't carry one."""
     rows = _scored(spark, folder).join(_source_lists(spark, folder), "message_id", "left")
-    kept = rows.filter(quality.abstains(F.size(F.coalesce("sources", F.array())), F.col("retrieval")))
+    kept = rows.filter(quality.abstains(F.when(F.col("sources").isNotNull(), F.size("sources")), F.col("retrieval")))
     return kept.select("message_id", quality.abstain_text(F.col("sources"), F.col("retrieval"), F.coalesce("keyword_coverage", F.lit(0.0))).alias("answer"))
 
 

@@ -42,7 +42,7 @@ def limit_requests(requests: DataFrame, key: str, at: str, request: str, limit:
 def limit_stream(requests: DataFrame, limit: int = 30, window_seconds: int = 60) -> DataFrame:
     """The same for a stream of key STRING, at TIMESTAMP, request STRING, with the open window of a key as its state;
     requests of one micro-batch are taken in the order of time, late ones count in the window that is open. The state of
-    a key goes once it has been silent for ten windows of processing time."""
+    a key goes once the watermark (a window behind the latest request) is past its window."""
     length = window_seconds * 1_000_000
 
     def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,7 +59,7 @@ def limit_stream(requests: DataFrame, limit: int = 30, window_seconds: int = 60)
             out.append((key[0], request, used < limit))
             used += used < limit
         state.update((ends, used))
-        state.setTimeoutDuration(window_seconds * 10_000)
+        state.setTimeoutTimestamp(max(ends // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "request", "allowed"])
 
-    return requests.groupBy("key").applyInPandasWithState(walk, "key string, request string, allowed boolean", "ends long, used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("at", f"{window_seconds} seconds").groupBy("key").applyInPandasWithState(walk, "key string, request string, allowed boolean", "ends long, used int", "append", GroupStateTimeout.EventTimeTimeout)

@@ -172,18 +172,74 @@ def test_store_changes(spark):
     assert [df.count() for df in left] == [1, 1, 2] and left[2].filter("document_id is not null").count() == 0
 
 
-def test_rate_limit_and_stream(spark, tmp_path):
-    from corvane.streaming.ingest import ingest_stream
+def test_rate_limit(spark):
     from corvane.streaming.rate import limit_requests
 
     rows = [("k", s, n) for n, s in enumerate(["00:00:00", "00:00:10", "00:00:20", "00:01:00", "00:01:59", "00:02:00"])]
     df = spark.createDataFrame(rows, "key string, s string, r int").withColumn("at", F.to_timestamp(F.concat(F.lit("2025-01-01 "), "s")))
     got = {r.request: r.allowed for r in limit_requests(df, "key", "at", "r", limit=2, window_seconds=60).collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
+
+
+def test_ingest_keeps_tables_in_step(spark, tmp_path):
+    import json
+
+    from corvane.streaming import ingest
+
+    text = lambda tag: "\n\n".join(f"{tag} paragraph {n} of the page about locks." for n in range(3))
+    drops = [
+        [dict(filename="a.md", workspace="w", content="# H\n" + text("first")), dict(filename="b.bin", workspace="w", content="x"), dict(filename="c.html", workspace="w", content="<h1>T</h1><p>body of the page</p>", strategy="fixed"), dict(filename="a.md", workspace="v", content="# H\n" + text("first"))],
+        [dict(filename="copy.md", workspace="w", content="# H\n" + text("first")), dict(filename="keep.md", workspace="w", content="# H\n" + text("first"), dedupe=False), dict(filename="a.md", workspace="w", content="now shorter")],
+    ]
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"filename": "a.md", "workspace": "w", "content": "# H\\ntext of a section"}\n{"filename": "b.bin", "workspace": "w", "content": "x"}\n')
-    ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["H\ntext of a section"]
+    run = lambda: ingest.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    now = lambda name: ingest.current(spark, str(tmp_path / "out"), name)
+    assert now("chunks") is None
+    for n, rows in enumerate(drops):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        run()
+        status = {(r.workspace, r.filename): (r.status, r.chunk_count, r.duplicate_chunks) for r in now("documents").collect()}
+        ids = {r.id for r in now("chunks").collect()}
+        assert ids == {r.id for r in now("vectors").collect()} == {r.id for r in now("postings").collect()}
+        if n == 0:
+            assert status == {("w", "a.md"): ("ready", 1, 0), ("w", "b.bin"): ("failed", 0, 0), ("w", "c.html"): ("ready", 1, 0), ("v", "a.md"): ("ready", 1, 0)}
+    assert status[("w", "copy.md")] == ("failed", 0, 1) and status[("w", "keep.md")] == ("ready", 1, 0) and status[("w", "a.md")] == ("ready", 1, 0)
+    assert {r.text for r in now("chunks").filter("workspace = 'w' and filename = 'a.md'").collect()} == {"now shorter"}
+    # a batch that broke off before its documents were written doesn't count
+    now("chunks").limit(1).withColumn("batch", F.lit(9)).write.parquet(str(tmp_path / "out" / "chunks" / "run=9"))
+    assert {r.id for r in now("chunks").collect()} == ids
+
+
+def test_rate_limit_of_a_stream(spark, tmp_path):
+    from corvane.streaming.rate import limit_stream
+
+    (tmp_path / "in").mkdir()
+    rows = ["00:00:20", "00:00:00", "00:00:10", "00:01:00"]
+    (tmp_path / "in" / "a.json").write_text("\n".join(f'{{"key": "k", "at": "2025-01-01T{s}", "request": "r{n}"}}' for n, s in enumerate(rows)))
+    stream = spark.readStream.schema("key string, at timestamp, request string").json(str(tmp_path / "in"))
+    limit_stream(stream, 2, 60).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.request: r.allowed for r in spark.table("limited").collect()} == {"r1": True, "r2": True, "r0": False, "r3": True}
+
+
+def test_shared_folder_and_release(spark, monkeypatch):
+    from corvane import context
+
+    kept = context.materialize(spark.range(3), "probe")
+    assert kept.count() == 3 and context.release(spark) > 0 and context.release(spark) == 0
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Cluster()
+
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        with pytest.raises(ValueError):
+            context.shared_folder(Session())
 
 
 MESSAGES = "id string, received_at int, citations string, sources string, confidence string, retrieval_stats string"
@@ -228,7 +284,7 @@ def test_html_pages_that_begin_otherwise(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id int, source_type string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     sections = {(r.doc_id, r.text) for r in QUERIES["html_section_rows"](spark, str(tmp_path)).collect()}
     assert sections == {(1, "A\n\nx"), (2, "one"), (3, "before\ntwo"), (4, "bare")}
-    assert {r.doc_id: r.plain for r in QUERIES["html_text_all"](spark, str(tmp_path)).collect()} == {1: "A\n\nx", 2: "one", 3: "before\ntwo", 4: "bare"}
+    assert {r.doc_id: r.plain for r in QUERIES["html_text"](spark, str(tmp_path)).collect()} == {1: "A\n\nx", 2: "one", 3: "before\ntwo", 4: "bare"}
 
 
 def test_full_chat_history(spark, tmp_path):
@@ -237,5 +293,5 @@ def test_full_chat_history(spark, tmp_path):
     rows = [(f"m{n:02d}", "c", "user", "x" * 3000, n, 1) for n in range(14)]
     df = spark.createDataFrame(rows, "id string, chat_id string, role string, content string, at int, received_at int")
     df.withColumn("created_at", F.timestamp_seconds("at")).write.parquet(f"{tmp_path}/messages.parquet")
-    got = QUERIES["chat_history_full"](spark, str(tmp_path)).collect()
+    got = QUERIES["chat_history"](spark, str(tmp_path)).collect()
     assert sorted(r.id for r in got) == [f"m{n:02d}" for n in range(2, 14)] and {len(r.content) for r in got} == {2000}
