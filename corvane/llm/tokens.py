@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+#: The folder of the vocabularies, on every executor.
+BYTE_BPE = os.path.join(os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
 #: Characters handed to the tokenizer at once, which bounds a worker's memory.
 SLICE_CHARS = 400_000
 
