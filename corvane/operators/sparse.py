@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,29 @@ class SparseIndex:
     """
 
     def __init__(self, docs: DataFrame, doc: str, text: Column, scope: str | None = None) -> None:
-        self.docs = docs.select(F.col(doc).alias("doc"), (F.col(scope) if scope else F.lit(None)).cast("string").alias("scope"))
-        self.scoped = scope is not None
-        counted = terms(docs.select(F.col(doc).alias("doc"), text.alias("_text")), F.col("_text")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self.postings = materialize(counted, "postings")
+        self.columns = (doc, text, scope)
+        self._hold(self._named(docs), materialize(self._counted(docs), "postings"))
+
+    def _named(self, docs: DataFrame) -> DataFrame:
+        doc, _, scope = self.columns
+        return docs.select(F.col(doc).alias("doc"), (F.col(scope) if scope else F.lit(None)).cast("string").alias("scope"))
+
+    def _counted(self, docs: DataFrame) -> DataFrame:
+        doc, text, _ = self.columns
+        return terms(docs.select(F.col(doc).alias("doc"), text.alias("_text")), F.col("_text")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    def refreshed(self, changed: DataFrame, gone: DataFrame | None = None) -> SparseIndex:
+        """The index with the documents of ``changed`` (the columns it was made of) in place of theirs, and without those of
+        ``gone`` (doc). Only the changed texts are cut into terms."""
+        new = self._named(changed)
+        out = new.select("doc") if gone is None else new.select("doc").unionByName(gone.select("doc"))
+        kept = lambda df: df.join(out.distinct(), "doc", "left_anti")
+        other = copy(self)
+        other._hold(materialize(kept(self.docs).unionByName(new), "indexed"), materialize(kept(self.postings).unionByName(self._counted(changed)), "postings"))
+        return other
+
+    def _hold(self, docs: DataFrame, postings: DataFrame) -> None:
+        self.docs, self.postings, self.scoped = docs, postings, self.columns[2] is not None
         self.lengths = self.postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
         self.vocabulary = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         self.stats = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))

@@ -73,6 +73,24 @@ def test_search_in_blocks_is_search_in_one(spark, monkeypatch):
     assert index.search(asked.limit(0), "q", F.col("text")).count() == 0 and sparse.SparseIndex(df.limit(0), "doc", F.col("text")).search(asked, "q", F.col("text")).count() == 0
 
 
+def test_refreshed_index_is_a_new_one(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "doc int, text string")
+    asked = spark.createDataFrame([("q", "alpha beta gamma")], "q string, text string")
+    run = lambda index: sorted(map(tuple, index.search(asked, "q", F.col("text")).collect()))
+    old = sparse.SparseIndex(df((1, "alpha"), (2, "beta beta"), (3, "gamma")), "doc", F.col("text"))
+    new = old.refreshed(df((2, "alpha beta"), (4, "gamma delta")), df((3, None)).select("doc"))
+    assert run(new) == run(sparse.SparseIndex(df((1, "alpha"), (2, "alpha beta"), (4, "gamma delta")), "doc", F.col("text"))) != run(old)
+
+
+def test_files_by_name(spark, tmp_path):
+    from corvane.sources import loaders
+
+    for name in ("b.md", "a.txt", "c.exe"):
+        (tmp_path / name).write_text(name * 3)
+    assert [(r.filename, bytes(r.content)) for r in loaders.read_files(spark, str(tmp_path)).collect()] == [("a.txt", b"a.txt" * 3), ("b.md", b"b.md" * 3)]
+    assert loaders.read_files(spark, str(tmp_path), most_bytes=3).count() == 0
+
+
 def test_vectors_of_unequal_length_and_scopes(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0, 5.0], None), (2, [0.0, 1.0], None), (3, [1.0], "s"), (4, None, "s"), (5, [0.0, 0.0], "s")], "doc int, vector array<double>, scope string")
     asked = spark.createDataFrame([(9, [1.0, 0.0], None), (8, [1.0, 0.0], "s")], "query int, vector array<double>, scope string")
