@@ -130,3 +130,19 @@ def test_dedupe_of_a_batch(spark):
     assert kept.count() == 8 and skipped.count() == 0
     order = spark.createDataFrame([("b", "w", "T", 1), ("a", "w", "t", 2)], "id string, w string, text string, at int")
     assert [tuple(r) for r in dedup.exact_duplicates(order, "id", "w", order=["at"]).collect()] == [("a", "b")]
+
+
+def shuffled(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_hashed_near_duplicates_moves_little_and_misses_none(spark):
+    rng = np.random.default_rng(6)
+    v = 1 + 0.2 * rng.normal(size=(1500, 26))
+    rows = [(n, [float(x) for x in v[n % 1500] + (n >= 1500) * 0.02 * rng.normal(size=26)], n % 7) for n in range(3000)]
+    df = spark.createDataFrame(rows, "doc int, vector array<double>, scope int").cache()
+    for threshold in (0.999, 0.97):
+        exact = {tuple(r) for r in dedup.near_duplicates(df, threshold).collect()}
+        before = shuffled(spark)
+        assert {tuple(r) for r in dedup.near_duplicates_hashed(df, threshold).collect()} == exact and len(exact) > 1000
+        assert shuffled(spark) - before < 8 * 3000 * 26 * 8
