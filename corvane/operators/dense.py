@@ -7,13 +7,17 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType
 
+from corvane.context import materialize
 from corvane.operators.sparse import ranked
 
-BLOCK = 4096
+#: Rows in a piece of a block, and queries that meet it at once; how far below the least score single precision may err.
+BLOCK, PIECE, MARGIN = 4096, 1024, 5e-6
 
 
 def pad_or_trim(vector: Column, size: int) -> Column:
@@ -55,42 +59,85 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, least: float | None = Non
     ``queries`` has query, vector and, like ``rows`` (doc, vector), a scope; rows of the query's scope are left out where
     both have one (own documents); a null scope is none. Where ``queries`` has a column allowed (ARRAY<STRING>) that
     isn't null, only rows whose document it holds are given. Null vectors match nothing; a zero vector has cosine 0;
-    vectors of unequal length are compared over the shorter one's places. Every query meets every row, in blocks: both
-    sides are dealt into blocks of about ``block`` by a hash, and one task multiplies a pair of blocks, keeping k rows
-    a query before the shuffle. Nothing is broadcast or collected.
+    vectors of unequal length are compared over the shorter one's places. Every query meets every row, in blocks: rows
+    are dealt by a hash into about as many blocks as there are cores, queries into as few as memory allows, since each
+    pair of blocks sends k rows a query to the shuffle. A task multiplies its pair piece by piece (``block`` rows),
+    in single precision first; what may be among the best k is computed again in double precision. Nothing is broadcast
+    or collected.
     """
     scoped = "scope" in queries.columns and "scope" in rows.columns
     limited = "allowed" in queries.columns and "document" in rows.columns
     text = lambda there, name: (F.col(name) if there else F.lit(None)).cast("string").alias(name)
-    keep = lambda df, key, *more: df.filter("vector is not null").select(key, "vector", text(scoped, "scope"), *more)
-    q = keep(queries, "query", (F.col("allowed") if limited else F.lit(None)).cast("array<string>").alias("allowed"))
-    r = keep(rows, "doc", text(limited, "document"))
-    n_q, n_r = (max(1, math.ceil(x.count() / block)) for x in (q, r))
+    keep = lambda df, key, *more: df.filter("vector is not null").select(key, F.col("vector").cast("array<double>").alias("vector"), text(scoped, "scope"), *more)
+    q = materialize(keep(queries, "query", (F.col("allowed") if limited else F.lit(None)).cast("array<string>").alias("allowed")), "asked-vectors")
+    r = materialize(keep(rows, "doc", text(limited, "document")), "vectors")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n_q, n_r = max(1, math.ceil(q.count() / (16 * block))), r.count()
+    n_r = max(1, math.ceil(n_r / (64 * block)), min(math.ceil(n_r / block), cores))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(n_q))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_r - 1).cast("bigint"))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("doc"), F.lit(n_r))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query", "doc", "score"]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        right = right.sort_values("doc", ignore_index=True)
-        score = np.floor(_cosines(left["vector"], right["vector"]) * 1e6 + 0.5) / 1e6
-        if scoped:
-            own = left["scope"].to_numpy()[:, None] == right["scope"].to_numpy()[None, :]
-            score[own & left["scope"].notna().to_numpy()[:, None]] = -2
-        if limited:
-            for n, allowed in enumerate(left["allowed"]):
-                if allowed is not None:
-                    score[n, ~right["document"].isin(set(allowed)).to_numpy()] = -2
-        if least is not None:
-            score[score < least] = -2
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(score, best, axis=1)
-        at, col = np.nonzero(found > -2)
-        return pd.DataFrame({"query": left["query"].to_numpy()[at], "doc": right["doc"].to_numpy()[best[at, col]], "score": found[at, col]})
-
-    schema = f"query {q.schema['query'].dataType.simpleString()}, doc {r.schema['doc'].dataType.simpleString()}, score double"
-    return ranked(q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(pair, schema), k)
+    kinds = [("query", q.schema["query"].dataType), ("doc", r.schema["doc"].dataType), ("score", DoubleType())]
+    columns = pa.schema([(name, to_arrow_type(kind)) for name, kind in kinds])
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return columns.empty_table()
+        left, right = left.combine_chunks(), right.sort_by("doc").combine_chunks()
+        same = one_length(left.column("vector"), right.column("vector"))
+        u, v = (rows_of(x.column("vector"), same) for x in (left, right))
+        scopes = pd.factorize(np.concatenate([x.column("scope").to_numpy() for x in (left, right)]))[0] if scoped else None
+        allowed = [(n, a) for n, a in enumerate(left.column("allowed").to_pylist()) if a is not None] if limited else []
+        documents = right.column("document").to_pandas() if allowed else None
+        query, match, value = [], [], []
+        for start in range(0, len(u), PIECE):
+            own, mine = u[start : start + PIECE], [(n - start, a) for n, a in allowed if start <= n < start + PIECE]
+            floor = np.full(len(own), -1.5 if least is None else max(-1.5, least - MARGIN))
+            a, b, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for at in range(0, len(v), block):
+                other = v[at : at + block]
+                score = own.astype(np.float32) @ other.T.astype(np.float32) if same else _cosines(pd.Series(list(own)), pd.Series(list(other)))
+                if scoped:
+                    mark = scopes[start : start + len(own)]
+                    score[(mark[:, None] == scopes[None, len(u) + at : len(u) + at + len(other)]) & (mark >= 0)[:, None]] = -2
+                for n, names in mine:
+                    score[n, ~documents.iloc[at : at + block].isin(set(names)).to_numpy()] = -2
+                short = np.flatnonzero(np.bincount(a, minlength=len(own)) < k)
+                limit = floor.copy()
+                if len(short) and len(other) > k:
+                    limit[short] = np.maximum(limit[short], np.partition(score[short], -k, axis=1)[:, -k] - MARGIN)
+                x, y = np.nonzero(score >= limit[:, None].astype(score.dtype))
+                exact = np.einsum("ij,ij->i", own[x], other[y]) if same else score[x, y]
+                exact = np.floor(exact * 1e6 + 0.5) / 1e6
+                good = slice(None) if least is None else exact >= least
+                a, b, s = np.concatenate([a, x[good]]), np.concatenate([b, y[good] + at]), np.concatenate([s, exact[good]])
+                order = np.lexsort((b, -s, a))
+                a, b, s = a[order], b[order], s[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                a, b, s, last = a[place < k], b[place < k], s[place < k], place[place < k] == k - 1
+                floor[a[last]] = np.maximum(floor[a[last]], s[last] - MARGIN)
+            query, match, value = query + [a + start], match + [b], value + [s]
+        at = lambda x: pa.array(np.concatenate(x))
+        return pa.table([left.column("query").take(at(query)), right.column("doc").take(at(match)), at(value)], names=columns.names).cast(columns)
+
+    schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds)
+    return ranked(q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(pair, schema), k)
+
+
+def one_length(*vectors: pa.ChunkedArray) -> bool:
+    """Whether all vectors of the columns have the same length."""
+    return len(set().union(*(pc.unique(pc.list_value_length(v)).to_pylist() for v in vectors))) == 1
+
+
+def rows_of(vectors: pa.ChunkedArray | pa.Array, same: bool = True) -> np.ndarray:
+    """The vectors of an Arrow column, at length 1 if they have the same number of places, else as they are."""
+    if not same:
+        out = np.empty(len(vectors), object)
+        out[:] = [np.asarray(v, np.float64) for v in vectors.to_pylist()]
+        return out
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 @F.arrow_udf(returnType=ArrayType(DoubleType()))

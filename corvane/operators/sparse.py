@@ -29,7 +29,7 @@ class SparseIndex:
 
     def __init__(self, docs: DataFrame, doc: str, text: Column, scope: str | None = None) -> None:
         self.columns = (doc, text, scope)
-        self._hold(self._named(docs), materialize(self._counted(docs), "postings"))
+        self._hold(self._named(docs), materialize(self._counted(docs).sortWithinPartitions("doc"), "postings"))
 
     def _named(self, docs: DataFrame) -> DataFrame:
         doc, _, scope = self.columns
@@ -37,7 +37,9 @@ class SparseIndex:
 
     def _counted(self, docs: DataFrame) -> DataFrame:
         doc, text, _ = self.columns
-        return terms(docs.select(F.col(doc).alias("doc"), text.alias("_text")), F.col("_text")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+        # dealt by doc before they are cut, so the counts need no shuffle of their own, which would be wider than the texts
+        texts = docs.select(F.col(doc).alias("doc"), text.alias("_text")).repartition("doc")
+        return terms(texts, F.col("_text")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
     def refreshed(self, changed: DataFrame, gone: DataFrame | None = None) -> SparseIndex:
         """The index with the documents of ``changed`` (the columns it was made of) in place of theirs, and without those of
@@ -70,9 +72,10 @@ class SparseIndex:
         asked = materialize(words, "asked-terms")
         known = asked.select("term").distinct()
         n, avgdl = self.stats.first() or (0, None)
-        n_queries = every.count()
-        n_q = max(1, math.ceil(n_queries / BLOCK))
-        n_d = max(1, math.ceil(n / BLOCK), min(math.ceil(n / LEAST_BLOCK), self.postings.sparkSession.sparkContext.defaultParallelism))
+        # few blocks of queries, since each moves all postings once, and no more of documents than there are cores or a
+        # task can hold, since each sends the best of every query
+        n_q = max(1, math.ceil(every.count() / (16 * BLOCK)))
+        n_d = max(1, math.ceil(n / (16 * BLOCK)), min(math.ceil(n / LEAST_BLOCK), self.postings.sparkSession.sparkContext.defaultParallelism))
         idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighted = asked.join(self.vocabulary.join(known, "term", "left_semi"), "term").select("query", "term", idf.alias("idf"))
         scopes = every.select("query", "allowed").filter("allowed is not null").withColumn("term", F.lit(None).cast("string")).withColumn("idf", F.lit(None).cast("double"))
@@ -81,7 +84,7 @@ class SparseIndex:
         every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = left.withColumn("qb", deal("query", n_q)).withColumn("db", every_block(n_d))
         of_doc = self.lengths.join(self.docs.filter("scope is not null").distinct(), "doc", "left") if self.scoped else self.lengths.withColumn("scope", F.lit(None).cast("string"))
-        right = self.postings.join(known, "term", "left_semi").select("doc", "term", "tf", F.lit(None).cast("string").alias("scope")).unionByName(of_doc.select("doc", F.lit(None).cast("string").alias("term"), F.col("dl").alias("tf"), "scope"))
+        right = self.postings.select("doc", "term", "tf", F.lit(None).cast("string").alias("scope")).unionByName(of_doc.select("doc", F.lit(None).cast("string").alias("term"), F.col("dl").alias("tf"), "scope"))
         right = right.withColumn("db", deal("doc", n_d)).withColumn("qb", every_block(n_q))
         mean = float(avgdl or 1.0)
         columns = ["query", "doc", "score", "matched"]
@@ -90,13 +93,13 @@ class SparseIndex:
             nothing = pd.DataFrame({c: [] for c in columns})
             if q.empty or d.empty:
                 return nothing
-            whole, hits = d[d["term"].isna()].sort_values("doc", kind="stable"), d[d["term"].notna()]
+            whole, hits = d[d["term"].isna()].sort_values("doc", kind="stable"), d[d["term"].isin(q["term"].dropna().unique())]
             docs, lengths = whole["doc"].to_numpy(), whole["tf"].to_numpy(np.float64)
             place = pd.Index(docs).get_indexer(hits["doc"])
             tf = hits["tf"].to_numpy(np.float64)
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[place] / mean))
             of, names = pd.factorize(hits["term"])
-            order = np.argsort(of, kind="stable")
+            order = np.lexsort((place, of))
             place, part, ends = place[order], part[order], np.searchsorted(of[order], np.arange(len(names) + 1))
             number = {name: i for i, name in enumerate(names)}
             limits = {k: set(a) for k, a in zip(q["query"], q["allowed"]) if a is not None and not np.isscalar(a)} if q["allowed"].notna().any() else {}
@@ -107,14 +110,28 @@ class SparseIndex:
                     continue
                 at = np.concatenate([place[ends[i] : ends[i + 1]] for i, _ in spans])
                 scores = np.bincount(at, weights=np.concatenate([w * part[ends[i] : ends[i + 1]] for i, w in spans]), minlength=len(docs))
-                matched = np.bincount(at, minlength=len(docs))
                 if k in limits:
-                    matched = np.where(whole["scope"].isin(limits[k]).to_numpy(), matched, 0)
-                rows = np.flatnonzero(matched)
+                    scores[~whole["scope"].isin(limits[k]).to_numpy()] = 0
+                # the greatest of some stretches bound the last of the best from below; a document with a term scores above 0
+                least = 0.0
+                if len(docs) >= 64 * limit:
+                    tops = scores[: len(docs) // 32 * 32].reshape(-1, 32).max(axis=1)
+                    least = np.partition(tops, -limit)[-limit] - 2e-6
+                rows = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores)
                 value = np.floor(scores[rows] * 1e6 + 0.5) / 1e6
                 best = np.argsort(-value, kind="stable")[:limit]
-                found.append(pd.DataFrame({"query": k, "doc": docs[rows[best]], "score": value[best], "matched": matched[rows[best]]}))
-            return pd.concat(found) if found else nothing
+                rows, value = rows[best], value[best]
+                matched = np.zeros(len(rows), np.int64)
+                for i, _ in spans:
+                    held = place[ends[i] : ends[i + 1]]
+                    spot = np.minimum(np.searchsorted(held, rows), len(held) - 1)
+                    matched += held[spot] == rows
+                found.append((k, rows, value, matched))
+            if not found:
+                return nothing
+            names, rows, value, matched = zip(*found)
+            rows = np.concatenate(rows)
+            return pd.DataFrame({"query": np.repeat(np.array(names, object), [len(x) for x in value]), "doc": docs[rows], "score": np.concatenate(value), "matched": np.concatenate(matched)})
 
         schema = f"query {left.schema['query'].dataType.simpleString()}, doc {right.schema['doc'].dataType.simpleString()}, score double, matched long"
         return ranked(left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(lambda q, d: block(q, d)[columns], schema), limit)

@@ -146,3 +146,39 @@ def test_hashed_near_duplicates_moves_little_and_misses_none(spark):
         before = shuffled(spark)
         assert {tuple(r) for r in dedup.near_duplicates_hashed(df, threshold).collect()} == exact and len(exact) > 1000
         assert shuffled(spark) - before < 8 * 3000 * 26 * 8
+
+
+def test_vector_search_moves_little(spark):
+    rng = np.random.default_rng(8)
+    q, v = rng.normal(size=(300, 26)), rng.normal(size=(3000, 26))
+    frame = lambda m, key: spark.createDataFrame([(n, [float(x) for x in row]) for n, row in enumerate(m)], f"{key} int, vector array<double>").cache()
+    left, right = frame(q, "query"), frame(v, "doc")
+    left.count(), right.count()
+    before = shuffled(spark)
+    got = {(r["query"], r["rank"]): (r.doc, round(r.score, 6)) for r in dense.top_k(left, right, 10, block=64).collect()}
+    assert shuffled(spark) - before < 3_000_000
+    score = np.floor((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T * 1e6 + 0.5) / 1e6
+    best = np.argsort(-score, axis=1, kind="stable")[:, :10]
+    assert got == {(n, k + 1): (int(d), round(float(score[n, d]), 6)) for n, row in enumerate(best) for k, d in enumerate(row)}
+
+
+def test_term_search_moves_postings_once(spark):
+    rng = np.random.default_rng(9)
+    words = [f"word{n}x" for n in range(60)]
+    docs = spark.createDataFrame([(n, " ".join(rng.choice(words, 12))) for n in range(1500)], "doc int, text string")
+    index = sparse.SparseIndex(docs, "doc", F.col("text"))
+    asked = spark.createDataFrame([(n, " ".join(words[(n + k * 7) % 60] for k in range(4))) for n in range(60)], "query int, text string")
+    got = {(r["query"], r["rank"]): (r.doc, r.score, r.matched) for r in index.search(asked, "query", F.col("text"), 10).collect()}
+    held = {}
+    for r in index.postings.collect():
+        held.setdefault(r.term, {})[r.doc] = r.tf
+    n, mean = 1500, 12.0
+    for r in asked.collect():
+        score, hits = {}, {}
+        for t in sorted(set(r.text.split())):
+            df = len(held[t])
+            for d, tf in held[t].items():
+                score[d] = score.get(d, 0) + np.log(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 12 / mean)))
+                hits[d] = hits.get(d, 0) + 1
+        best = sorted(((-np.floor(s * 1e6 + 0.5) / 1e6, d) for d, s in score.items()))[:10]
+        assert [got[r["query"], k + 1] for k in range(10)] == [(d, -s, hits[d]) for s, d in best]
