@@ -102,15 +102,48 @@ def retrieve(passages: Passages, queries: DataFrame, options: RetrieveOptions |
     rerank_score, retrieved_by: the best ``top_k`` by rank, then their neighbours. statistics: one row for each query,
     also one that finds nothing.
     """
-    o = options or RetrieveOptions()
+    each, asked = _each_once(queries)
+    sources, stats = _retrieve(passages, asked, options or RetrieveOptions(), scorer, _rankings(passages, asked))
+    return _to_all(sources, each), _to_all(stats, each)
+
+
+def _each_once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, asked) and the queries that differ in text, vector or what is allowed, by the first query that has them:
+    what equal ones find is the same, so it is found once."""
+    same = [c for c in ("text", "vector", "allowed") if c in queries.columns]
+    kept = materialize(queries.select("query", *same), "queries")
+    marked = kept.withColumn("_same", F.struct(*same))
+    first = materialize(marked.groupBy("_same").agg(F.min("query").alias("query")).select("query", "_same.*"), "asked")
+    named = first.select(F.col("query").alias("asked"), F.struct(*same).alias("_first"))
+    return materialize(marked.join(named, F.col("_same").eqNullSafe(F.col("_first"))).select("query", "asked"), "each"), first
+
+
+def _to_all(found: DataFrame, each: DataFrame) -> DataFrame:
+    return each.join(found.withColumnRenamed("query", "asked"), "asked").select("query", *[c for c in found.columns if c != "query"])
+
+
+def _rankings(passages: Passages, queries: DataFrame) -> Callable[[str, int], DataFrame]:
+    """The rankings of queries by vector and by term to a limit, each made and written once when it is first asked for."""
+    made: dict[tuple[str, int], DataFrame] = {}
+
+    def ranking(side: str, limit: int) -> DataFrame:
+        if (side, limit) not in made:
+            found = dense.top_k(queries.drop("text"), passages.vectors, limit) if side == "dense" else passages.index.search(queries, "query", F.col("text"), limit)
+            made[side, limit] = materialize(found.select("query", "doc", "score", "rank"), "ranking")
+        return made[side, limit]
+
+    return ranking
+
+
+def _retrieve(passages: Passages, queries: DataFrame, o: RetrieveOptions, scorer: Scorer | None, ranking: Callable[[str, int], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``retrieve`` for queries of which no two are equal."""
     size = o.pool or max(20, 3 * o.top_k)
     limit = max(size, 10)
     weights = fusion.normalize_weights(o.mode, o.dense_weight, o.sparse_weight)
     kinds = f"query {queries.schema['query'].dataType.simpleString()}, doc {passages.chunks.schema['chunk'].dataType.simpleString()}, score double, rank int"
     nothing = passages.chunks.sparkSession.createDataFrame([], kinds)
-    flat = lambda df: materialize(df.select("query", "doc", "score", "rank"), "ranking")
-    by_vector = flat(dense.top_k(queries.drop("text"), passages.vectors, limit)) if o.mode != "sparse" else nothing
-    by_term = flat(passages.index.search(queries, "query", F.col("text"), limit)) if o.mode != "dense" else nothing
+    by_vector = ranking("dense", limit) if o.mode != "sparse" else nothing
+    by_term = ranking("sparse", limit) if o.mode != "dense" else nothing
     fused = fusion.weighted_rrf(by_vector, by_term, weights, size)
     if o.mode == "hybrid":
         spare = by_vector.filter(F.col("rank") <= size).join(fused.select("query").distinct(), "query", "left_anti")
@@ -168,5 +201,7 @@ def _statistics(passages: Passages, queries: DataFrame, o: RetrieveOptions, weig
 def compare_modes(passages: Passages, queries: DataFrame, options: RetrieveOptions | None = None, shown: int = 600) -> DataFrame:
     """The sources of each mode without neighbours, with the mode and texts cut to ``shown`` characters."""
     o = options or RetrieveOptions()
-    runs = [retrieve(passages, queries, RetrieveOptions(m, o.top_k, o.dense_weight, o.sparse_weight, o.rerank, False, o.pool))[0].withColumn("mode", F.lit(m)) for m in MODES]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("text", F.substring("text", 1, shown))
+    each, asked = _each_once(queries)
+    ranking = _rankings(passages, asked)
+    runs = [_retrieve(passages, asked, RetrieveOptions(m, o.top_k, o.dense_weight, o.sparse_weight, o.rerank, False, o.pool), None, ranking)[0].withColumn("mode", F.lit(m)) for m in MODES]
+    return _to_all(runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("text", F.substring("text", 1, shown)), each)

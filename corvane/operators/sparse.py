@@ -75,7 +75,7 @@ class SparseIndex:
         # few blocks of queries, since each moves all postings once, and no more of documents than there are cores or a
         # task can hold, since each sends the best of every query
         n_q = max(1, math.ceil(every.count() / (16 * BLOCK)))
-        n_d = max(1, math.ceil(n / (16 * BLOCK)), min(math.ceil(n / LEAST_BLOCK), self.postings.sparkSession.sparkContext.defaultParallelism))
+        n_d = max(1, math.ceil(n / (4 * BLOCK)), min(math.ceil(n / LEAST_BLOCK), self.postings.sparkSession.sparkContext.defaultParallelism))
         idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighted = asked.join(self.vocabulary.join(known, "term", "left_semi"), "term").select("query", "term", idf.alias("idf"))
         scopes = every.select("query", "allowed").filter("allowed is not null").withColumn("term", F.lit(None).cast("string")).withColumn("idf", F.lit(None).cast("double"))

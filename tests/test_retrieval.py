@@ -148,6 +148,19 @@ def test_hashed_near_duplicates_moves_little_and_misses_none(spark):
         assert shuffled(spark) - before < 8 * 3000 * 26 * 8
 
 
+def test_modes_share_rankings_and_equal_questions_are_asked_once(spark, passages, monkeypatch):
+    asked = questions(spark, [("q1", "lock of the ledger", None), ("q2", "lock of the ledger", None), ("q3", "lock of the ledger", ["d2"]), ("q4", None, None)])
+    seen = []
+    for where, name in ((dense, "top_k"), (sparse.SparseIndex, "search")):
+        real = getattr(where, name)
+        monkeypatch.setattr(where, name, lambda *a, real=real, name=name: (seen.append((name, a[0 if name == "top_k" else 1].count())), real(*a))[1])
+    found = {}
+    for r in retrieval.compare_modes(passages, asked, retrieval.RetrieveOptions(top_k=2)).collect():
+        found.setdefault(r["query"], set()).add((r["mode"], r.citation, r.chunk, r.score))
+    assert sorted(seen) == [("search", 3), ("top_k", 3)]
+    assert found["q1"] == found["q2"] != found["q3"] and "q4" not in found
+
+
 def test_vector_search_moves_little(spark):
     rng = np.random.default_rng(8)
     q, v = rng.normal(size=(300, 26)), rng.normal(size=(3000, 26))
